@@ -1,11 +1,6 @@
 """All queries of the engine by name, and the same in SQL."""
 
-from __future__ import annotations
+from wordloom.plans.catalogue import queries
+from wordloom.plans.oracle import oracle_sql
 
-
-def queries() -> dict:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
