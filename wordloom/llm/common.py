@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -30,18 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/wordloom-{what}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, under this application's own, which goes when the driver ends."""
+    own = f"{shared_dir(spark).rstrip('/')}/wordloom-{spark.sparkContext.applicationId}"
+    if own not in _folders:
+        _folders.add(own)
+        atexit.register(_remove, spark, own)
+    return f"{own}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared folder; what follows starts from those files."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_folders: set[str] = set()
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Like :func:`cut`, as a compressed Parquet table; right for wide rows."""
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        drop_path(spark, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cut(df: DataFrame, what: str = "rows") -> DataFrame:
+    """The rows written once to the shared folder as a table; what follows starts from those files."""
     path = shared_path(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

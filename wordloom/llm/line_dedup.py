@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import LOWER, SPACE, UPPER, cut, partitions, stored
+from wordloom.llm.common import LOWER, SPACE, UPPER, cut, partitions
 
 #: Keys with a larger share of all entries are decided before the shuffle.
 HOT_SHARE = 1024
@@ -60,7 +60,7 @@ def _hot_keys(entries: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(doc_id, th, pos): the lines that go; th is the hash of the text."""
-    entries = stored(_entries(docs, min_chars), "lines")
+    entries = cut(_entries(docs, min_chars), "lines")
     marked = entries.join(F.broadcast(_hot_keys(entries)), ["h1", "h2"], "left")  # at most 4 * HOT_SHARE rows
     frequent = marked.where((F.col("hot_docs") >= min_docs) & ~F.col("doc_id").eqNullSafe(F.col("hot_last"))).select("doc_id", "th", "pos")
 

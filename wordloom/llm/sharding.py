@@ -139,8 +139,8 @@ def kd_shards(docs: DataFrame, shards: int = 40, dimensions: dict[str, Column] |
 def numbered(rows: DataFrame, group: str) -> DataFrame:
     """``slot``: 0, 1, ... within each group in order of uid; groups may be larger than any partition."""
     n = partitions(rows.sparkSession)
-    rows = cut(rows.repartitionByRange(n, group, "uid").sortWithinPartitions(group, "uid"))
-    rows = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    rows = cut(rows.repartitionByRange(n, group, "uid").sortWithinPartitions(group, "uid").withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
     runs = rows.groupBy(group, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))  # partitions and groups at most
     runs = runs.withColumn("_before", F.sum("_n").over(W.partitionBy(group).orderBy("_part")) - F.col("_n")).drop("_n")
     return rows.join(F.broadcast(runs), [group, "_part"]).withColumn("slot", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_part", "_first", "_before")

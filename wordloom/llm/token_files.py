@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import cut, partitions, shared_path, ship
+from wordloom.llm.common import cut, drop_path, partitions, shared_path, ship
 
 MAGIC = b"WLTOKEN1"
 #: Ids of a block, about.
@@ -144,16 +144,10 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> list[tuple[int, str, in
 
     ordered = made.where("ids is not null").select("doc_id", "uid", "part", "ids").repartitionByRange(partitions(spark), "doc_id", "uid").sortWithinPartitions("doc_id", "uid", "part")
     shards = cut(ordered.mapInArrow(run, "shard long, file string, docs long, ids long, bytes long")).collect()  # one row a shard
-    _drop(spark, stage)
+    drop_path(spark, stage)
     return sorted(map(tuple, shards))
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def _blocks(file: str):
     """Yields (doc_ids, flags, counts, ranks) of each block; one block in memory at a time."""
     where, name = _fs(file)
