@@ -86,9 +86,8 @@ def references(counts: DataFrame, min_documents: int = 20) -> dict[str, tuple[li
     return {r["lang"]: (share([r[f"chars{k}"] for k in range(sizes[0])]), share([r[f"common{k}"] for k in range(sizes[1])])) for r in rows}
 
 
-def js_distance(counts: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance of counts from shares."""
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+def js_distance(counts: Column, total: Column, reference: list[float]) -> Column:
+    """Jensen-Shannon distance of counts, whose sum is total, from shares."""
 
     def term(x: Column, q: Column) -> Column:
         p = x / total
@@ -104,11 +103,12 @@ def judged(docs: DataFrame, char_limit: float = 0.25, word_limit: float = 0.35,
     counts = cut(base_counts(docs))
     known = references(counts, min_documents)
     out = counts.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    each = F.array(*(F.struct(js_distance(F.col("chars"), c).alias("c"), js_distance(F.col("common"), w).alias("w")) for c, w in known.values())) if known else None
+    n_chars = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
+    out = out.withColumn("n_chars", n_chars)
+    each = F.array(*(F.struct(js_distance(F.col("chars"), F.col("n_chars"), c).alias("c"), js_distance(F.col("common"), F.col("n_words"), w).alias("w")) for c, w in known.values())) if known else None
     if each is None:
         return out.select("doc_id", *_BASE, "base_failed", F.lit(None).cast("double").alias("char_distance"), F.lit(None).cast("double").alias("word_distance"), (~F.col("base_failed")).alias("kept"))
-    n_chars = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
-    out = out.withColumn("each", F.when(~F.col("base_failed"), each)).withColumn("far_c", n_chars >= min_chars).withColumn("far_w", F.col("n_words") >= min_words)
+    out = out.withColumn("each", F.when(~F.col("base_failed"), each)).withColumn("far_c", F.col("n_chars") >= min_chars).withColumn("far_w", F.col("n_words") >= min_words)
     near = F.exists("each", lambda x: (~F.col("far_c") | (x["c"] <= char_limit)) & (~F.col("far_w") | (x["w"] <= word_limit)))
     return out.select("doc_id", *_BASE, "base_failed", F.array_min("each.c").alias("char_distance"), F.array_min("each.w").alias("word_distance"), (~F.col("base_failed") & F.coalesce(near, F.lit(False))).alias("kept"))
 
