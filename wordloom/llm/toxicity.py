@@ -121,13 +121,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 16_000, active: int =
             found: dict[int, list] = {}
             for i, b in term_buckets(batch.column(0).to_pylist()):
                 found.setdefault(i, []).append(b)
-            terms = [np.unique(np.concatenate(found[i])).tolist() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.list_(pa.int32())), batch.column(1), batch.column(2)], names=["terms", "label", "doc_id"])
+            terms = [np.unique(np.concatenate(found[i])).tobytes() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), batch.column(1), batch.column(2)], names=["terms", "label", "doc_id"])
 
     ship(docs.sparkSession)
     own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "doc_id")  # at most `sample` rows
-    rows = sorted(own.mapInArrow(run, "terms array<int>, label int, doc_id long").collect(), key=lambda r: (r[2], len(r[0])))
-    return train_machine([(np.array(r[0], np.int32), r[1]) for r in rows], active)
+    rows = sorted(own.mapInArrow(run, "terms binary, label int, doc_id long").collect(), key=lambda r: (r[2], len(r[0])))
+    return train_machine([(np.frombuffer(r[0], np.int32), r[1]) for r in rows], active)
 
 
 def score(docs: DataFrame, model: Machine) -> DataFrame:
