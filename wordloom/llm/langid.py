@@ -2,7 +2,7 @@
 
 For each language a suffix automaton of labelled text is built; a text is parsed greedily into the
 longest phrases that occur in it, and the language that needs fewest phrases for a character wins.
-The automata are made total (a character that cannot go on ends the phrase and starts the next), so
+The automata are made total (a character that cannot go on starts the next phrase), so
 numpy steps many blocks of text through all of them at once. Texts are read whole, in blocks of
 ``BLOCK`` characters, each of which starts a new phrase.
 
@@ -72,7 +72,7 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
 
 @dataclass
 class Parser:
-    """All automata in one table: cell [state * width + symbol] holds twice the next row's start, plus 1 if a phrase ended."""
+    """All automata in one table: cell [state * width + symbol] holds twice the next row's start, plus 1 if a phrase starts."""
 
     languages: list[str]
     symbols: np.ndarray  # by code point
@@ -110,7 +110,7 @@ class Parser:
             codes[: lengths[i], k] = blocks[i]
         live = len(blocks) - np.searchsorted(lengths[order][::-1], np.arange(len(codes)), side="right")
         state = np.repeat(self.roots[:, None], len(blocks), axis=1)
-        ended = np.ones(state.shape, np.int32)
+        ended = np.zeros(state.shape, np.int32)
         for t in range(len(codes)):
             n = live[t]
             cell = self.table.take(state[:, :n] + codes[t, :n])
@@ -139,7 +139,7 @@ def build(samples: dict[str, str]) -> Parser:
         rows = np.tile(start, (len(nxt), 1))
         for s, edges in enumerate(nxt):
             for c, to in edges.items():
-                if c:
+                if c and s:  # what leaves the root starts a phrase
                     rows[s, c] = 2 * (base + to * width)
         roots.append(base)
         base += len(nxt) * width
