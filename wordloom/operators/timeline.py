@@ -34,7 +34,29 @@ def to_timeline(points: DataFrame, kept: DataFrame, key: str = "rush_id") -> Dat
     return hit.groupBy(key, "t").agg(F.min_by(F.col("timeline_start") + F.col("t") - F.col("start"), "shot").alias("timeline_t"))
 
 
-def curve(name: str, x: Column) -> Column:
-    """Progress at x in [0, 1] of a named curve; unknown names are smoothstep mixed into linear."""
-    smooth = x * x * (3 - 2 * x)
-    return {"linear": x, "smoothstep": smooth, "smootherstep": x * x * x * (x * (x * 6 - 15) + 10)}.get(name, 0.72 * x + 0.28 * smooth)
+def curve(name: str, x: Column, stiffness: float = 4.0, overshoot: float = 0.11, peak: float = 0.55) -> Column:
+    """Progress at x of a named curve; x is held to [0, 1], and unknown names are ``progressive``.
+
+    ``ballistic`` shoots past its aim by ``overshoot`` at ``peak`` and settles.
+    """
+    x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    soft = lambda t: t * t * t * (t * (t * 6 - 15) + 10)
+    expo = lambda t: (1 - F.exp(-stiffness * t)) / (1 - F.exp(F.lit(-stiffness)))
+    thrown = F.when(x <= peak, (1 + overshoot) * expo(x / peak)).otherwise(1 + overshoot - overshoot * soft((x - peak) / (1 - peak)))
+    known = {"linear": x, "smoothstep": x * x * (3 - 2 * x), "smootherstep": soft(x), "ease_out_expo": expo(x), "ballistic": thrown}
+    return known.get(name, 0.72 * x + 0.28 * soft(x))
+
+
+def smpte(ms: Column, fps: int) -> Column:
+    """``HH:MM:SS:FF`` of milliseconds, to the nearest frame (half to even)."""
+    n = F.rint(ms * fps / 1000.0).cast("long")
+    return F.format_string("%02d:%02d:%02d:%02d", F.floor(n / (3600 * fps)), F.floor(n / (60 * fps)) % 60, F.floor(n / fps) % 60, n % fps)
+
+
+def edit_list(kept: DataFrame, title: str, fps: int = 25, reel: str = "AX", key: str = "rush_id") -> DataFrame:
+    """(key, edl): the shots of a recording as one CMX3600 text of whole-number frame rates."""
+    end = F.col("timeline_start") + F.col("end") - F.col("start")
+    times = F.concat_ws(" ", *(smpte(c, fps) for c in (F.col("start"), F.col("end"), F.col("timeline_start"), end)))
+    line = F.concat(F.format_string("%03d  %-8s AA/V  C        ", F.col("shot") + 1, F.lit(reel)), times, F.lit("\n"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("shot", line.alias("line")))), lambda x: x["line"])
+    return kept.groupBy(key).agg(F.concat(F.lit(f"TITLE: {title}\nFCM: NON-DROP FRAME\n\n"), F.array_join(lines, "\n")).alias("edl"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import lexicon as L
+from wordloom.functions import markers as M
 from wordloom.functions import text as T
-from wordloom.operators import disfluency, intervals, levels, timeline, words
+from wordloom.operators import disfluency, intervals, levels, retakes, seams, timeline, words
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -141,10 +142,70 @@ def weak_markers(spark, sf):
     return c.where(hit).select("conv_id", "turn")
 
 
+def strong_markers(spark, sf):
+    c = _read(spark, sf, "conversations").select("conv_id", "turn", T.normalize_text("text").alias("norm"))
+    return c.select("conv_id", "turn", M.strong_marker(F.col("norm")).alias("strong"), M.standalone_marker(F.col("norm")).alias("alone")).where("strong or alone")
+
+
+def content_words(spark, sf):
+    """Content words of each turn, repeated ones counted each."""
+    c = _read(spark, sf, "conversations")
+    return c.select("conv_id", "turn", F.size(M.content_words(T.tokens("text"))).cast("long").alias("n"))
+
+
+def curve_samples(spark, sf):
+    x = F.col("k") / 100.0
+    names = ("linear", "smoothstep", "smootherstep", "progressive", "ease_out_expo", "ballistic")
+    return spark.range(101).select(F.col("id").alias("k")).select("k", *(F.round(timeline.curve(n, x), 6).alias(n) for n in names))
+
+
+def language_durations(spark, sf):
+    """Spoken milliseconds of each language, by the clock of words."""
+    d = _read(spark, sf, "documents").select("lang", F.explode(F.split(F.trim("text"), r"[ \t\n\r]+")).alias("w")).where("w <> ''")
+    return d.groupBy("lang").agg(F.sum(115 + 52 * F.char_length("w")).alias("spoken_ms"))
+
+
+def onset_strength(spark, sf):
+    """Mean value of the two days from an event on less that of the two days before it, for each user."""
+    e = _read(spark, sf, "events").select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), "value")
+    by = Window.partitionBy("user_id").orderBy("t")
+    own = e.withColumn("after", F.avg("value").over(by.rangeBetween(0, 172800))).withColumn("before", F.avg("value").over(by.rangeBetween(-172800, -1)))
+    return own.select("event_id", F.round(F.col("after") - F.coalesce("before", F.lit(0.0)), 6).alias("onset"))
+
+
+def pair_similarity(spark, sf):
+    p = retakes.utterance_pairs(words.utterances(clock(spark, sf)))
+    keep = ("align", "containment", "bag", "structure", "prefix", "jaccard", "score")
+    return p.select("rush_id", F.col("a.utt_id").cast("long").alias("a"), F.col("b.utt_id").cast("long").alias("b"), *(F.round(F.col("m")[c], 6).alias(c) for c in keep))
+
+
+def retake_groups(spark, sf):
+    return retakes.retakes(words.utterances(clock(spark, sf)))
+
+
+def fragments(spark, sf):
+    u = words.utterances(clock(spark, sf))
+    return retakes.fragments(u, retakes.retakes(u).where("confidence >= 0.6"))
+
+
+def edit_lists(spark, sf):
+    return timeline.edit_list(shots(spark, sf), "rush")
+
+
+def seam_checks(spark, sf):
+    """Joints after the gaps and the hard fillers are cut out."""
+    w = clock(spark, sf)
+    fillers = disfluency.hard_fillers(w).select("rush_id", "idx")
+    spoken = w.join(fillers, ["rush_id", "idx"]).select("rush_id", F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))
+    g = words.gaps(w).where("removed > 0").select("rush_id", (F.col("start") + F.floor(F.col("kept") * 55 / 100)).alias("start"), (F.col("end") - (F.col("kept") - F.floor(F.col("kept") * 55 / 100))).alias("end"))
+    return seams.seams(timeline.shots(w, g.unionByName(spoken)), w, fillers, fillers)
+
+
 QUERIES = (
     word_clock, utterance_sessions, gap_summary, hard_fillers, soft_fillers, stutter_runs, abandoned_words, ngram_phrases, timeline_shots, frame_clips,
     short_shots, merge_intervals, subtract_intervals, interval_totals, spaced_topk, event_sessions, event_level_percentiles, removal_budget,
     cache_retention, content_jaccard, language_characters, role_words, weak_markers,
+    strong_markers, content_words, curve_samples, language_durations, onset_strength, pair_similarity, retake_groups, fragments, edit_lists, seam_checks,
 )
 
 

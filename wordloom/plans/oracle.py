@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from wordloom.functions import lexicon as L
+from wordloom.functions import markers as M
 from wordloom.functions import text as T
+from wordloom.functions import vocabulary as V
 
 
 def q(s: str) -> str:
@@ -86,6 +88,34 @@ def _phrases() -> str:
 TOKENS = f"list_filter(string_split({normal_text('text')}, ' '), lambda x: x <> '')"
 
 
+CONTENT = f"(length(x) >= 2 AND x NOT IN {among([*V.STOPWORDS, *L.HARD_FILLERS])})"
+
+
+def _strong() -> str:
+    weak = q(M._WEAK_WORD)
+    return f"""WITH n AS (SELECT conv_id, turn, {normal_text('text')} AS norm FROM conversations),
+s AS (SELECT *, regexp_matches(norm, {q(M.STRONG)}) AS strong, list_filter(string_split(norm, ' '), lambda x: x <> '') AS said FROM n),
+a AS (SELECT conv_id, turn, strong, CASE WHEN len(said) = 0 THEN false WHEN norm IN {among(V.STANDALONE_MARKERS)} THEN true
+  WHEN strong THEN len(list_filter(regexp_split_to_array(regexp_replace(norm, {q(M.STRONG)}, ' ', 'g'), ' +'), lambda x: {CONTENT})) = 0
+  ELSE len(said) <= 4 AND len(list_filter(said, lambda x: NOT regexp_matches(x, {weak}) AND x NOT IN {among([*L.HARD_FILLERS, *V.STOPWORDS])})) = 0
+    AND len(list_filter(said, lambda x: regexp_matches(x, {weak}))) > 0 END AS alone FROM s)
+SELECT conv_id, turn, strong, alone FROM a WHERE strong OR alone"""
+
+
+def _curves() -> str:
+    soft = lambda t: f"({t}) * ({t}) * ({t}) * (({t}) * (({t}) * 6 - 15) + 10)"
+    expo = lambda t: f"(1 - exp(-4.0::DOUBLE * ({t}))) / (1 - exp(-4.0::DOUBLE))"
+    thrown = f"CASE WHEN x <= 0.55 THEN 1.11 * {expo('x / 0.55::DOUBLE')} ELSE 1.11 - 0.11 * {soft('(x - 0.55::DOUBLE) / 0.45::DOUBLE')} END"
+    known = {"linear": "x", "smoothstep": "x * x * (3 - 2 * x)", "smootherstep": soft("x"), "progressive": f"0.72 * x + 0.28 * {soft('x')}", "ease_out_expo": expo("x"), "ballistic": thrown}
+    return "SELECT k, " + ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS {n}" for n, v in known.items()) + " FROM (SELECT range AS k, range / 100.0::DOUBLE AS x FROM range(101))"
+
+
+EDL = f"""WITH {SHOTS}, times AS (SELECT rush_id, shot, [CAST(round_even(v * 25 / 1000.0, 0) AS BIGINT) FOR v IN ["start", "end", timeline_start, timeline_start + "end" - "start"]] AS n FROM sh),
+codes AS (SELECT rush_id, shot, list_transform(n, lambda f: printf('%02d:%02d:%02d:%02d', f // 90000, (f // 1500) % 60, (f // 25) % 60, f % 25)) AS c FROM times)
+SELECT rush_id, 'TITLE: rush' || chr(10) || 'FCM: NON-DROP FRAME' || chr(10) || chr(10)
+  || string_agg(printf('%03d  AX       AA/V  C        ', shot + 1) || array_to_string(c, ' ') || chr(10), chr(10) ORDER BY shot) AS edl FROM codes GROUP BY rush_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     hard, soft = among(L.HARD_FILLERS), among(L.SOFT_FILLERS)
     return {
@@ -115,5 +145,13 @@ SELECT user_id, id, duration, NOT (total - before > floor(total * 0.35::DOUBLE)
         "content_jaccard": f"WITH b AS (SELECT item_id, list_distinct({TOKENS}) AS w FROM benchmark), t AS (SELECT item_id, len(w) AS n, unnest(w) AS w FROM b), p AS (SELECT t.item_id, u.item_id AS other_id, t.n, u.n AS m, count(*) AS k FROM t JOIN t u ON t.w = u.w AND t.item_id < u.item_id GROUP BY ALL) SELECT item_id, other_id, round(k / (n + m - k), 6) AS jaccard FROM p",
         "language_characters": "SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang",
         "role_words": f"WITH t AS (SELECT role, unnest({TOKENS}) AS w FROM conversations), n AS (SELECT role, w, count(*) AS n FROM t GROUP BY ALL) SELECT role, w, n FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY n DESC, w) AS r FROM n) WHERE r = 1",
+        "strong_markers": _strong(),
+        "content_words": f"SELECT conv_id, turn, CAST(len(list_filter({TOKENS}, lambda x: {CONTENT})) AS BIGINT) AS n FROM conversations",
+        "curve_samples": _curves(),
+        "language_durations": r"SELECT lang, CAST(sum(115 + 52 * length(w)) AS BIGINT) AS spoken_ms FROM (SELECT lang, unnest(regexp_split_to_array(trim(text), '[ \t\n\r]+')) AS w FROM documents) WHERE w <> '' GROUP BY lang",
+        "onset_strength": """WITH e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), o AS (SELECT event_id,
+avg(value) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN CURRENT ROW AND 172800 FOLLOWING) AS a, avg(value) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 172800 PRECEDING AND 1 PRECEDING) AS b FROM e)
+SELECT event_id, round(a - coalesce(b, 0), 6) AS onset FROM o""",
+        "edit_lists": EDL,
         "weak_markers": f"SELECT conv_id, turn FROM conversations WHERE regexp_matches({normal_text('text')}, {q(chr(92) + 'b(' + '|'.join(L.WEAK_MARKERS) + ')' + chr(92) + 'b')})",
     }
