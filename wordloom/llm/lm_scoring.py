@@ -6,10 +6,11 @@ else ``BACKOFF`` * c(v)/N; a first word scores c(v)/N. A document's score is the
 logarithms, kept as whole billionths so that the order of summing cannot show.
 
 Count tables stay partitioned by hash. Words are counted first; a word's place in that table is its
-number, and a bigram is the pair of numbers, never a hash that two bigrams could share. Each
-document's bigrams are dealt by hash to the partition that holds their counts, a packed array for
-each document and partition with every bigram once; there counts and bigrams are joined, and what
-the partition adds to a document comes back as one number. Bigrams of two words that each make up
+number, and a bigram is the pair of numbers, never a hash that two bigrams could share. Bigrams are
+dealt by hash to the partition that holds their counts, every document's once with its count, in a
+packed array for each partition and buffer of documents (about ``BUFFER`` bigrams); there counts and
+bigrams are joined, and what the partition adds to the buffer's documents comes back in one row, to
+be summed where the buffer's rows meet. Bigrams of two words that each make up
 1/1024 of the corpus or more (a million at most by that definition) are counted apart, by partial
 sums, and joined where the document is, so that no partition holds more than 1/1024 of all words
 for one key. The word table is looked up in memory while it has at most ``WORDS_IN_MEMORY`` rows;
@@ -36,6 +37,8 @@ UNIT = 1e9
 WORDS_IN_MEMORY = 1 << 23
 #: Words with a larger share of the corpus than 1/HEAD are counted apart.
 HEAD = 1024
+#: Bigrams of consecutive documents that are dealt together.
+BUFFER = 1 << 19
 
 
 def _lower(texts: list[str | None]) -> list[str]:
@@ -111,7 +114,9 @@ def _head_counts(docs: DataFrame, table: str) -> DataFrame:
 
 
 def _dealt(docs: DataFrame, table: str, head: dict[str, np.ndarray], min_count: int, parts: int) -> DataFrame:
-    """For each document a row with part null: what needs no other document; and its other bigrams by part, 6 bytes a key and 4 its count."""
+    """For each document a row with part null: what needs no other document. For each buffer of
+    documents a row a part with their other bigrams: runs of (document in the buffer, number of
+    keys), 6 bytes a key and 4 its count."""
     sent = docs.sparkSession.sparkContext.broadcast(head)
 
     def run(batches):
@@ -119,12 +124,29 @@ def _dealt(docs: DataFrame, table: str, head: dict[str, np.ndarray], min_count:
         n_head = np.zeros(HEAD * HEAD, np.int64)
         n_head[head["pair"]] = head["n"]
         log_total, log_backoff = int(logs(np.array([max(words.total, 1)]))[0]), int(logs(np.array([BACKOFF]))[0])
-        uid = TaskContext.get().partitionId() << 40
-        names = ["uid", "part", "doc_id", "n_words", "score", "keys", "counts"]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=names)
+        buffer = TaskContext.get().partitionId() << 32
+        rows: list[tuple] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush():
+            nonlocal rows, held, size, buffer
+            keys, times = (np.concatenate(x) for x in zip(*held))
+            owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(k) for k, _ in held])
+            part = (mix(keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            part, owner, times = part[order], owner[order], times[order].astype("<u4")
+            packed = keys[order].astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]
+            for a, b in _equal(part):
+                own, who = times[a:b], owner[a:b]
+                runs = np.array([(who[i], j - i) for i, j in _equal(who)], "<u4")
+                rows.append((buffer, int(part[a]), None, None, None, None, runs.tobytes(), packed[a:b].tobytes(), own.tobytes() if (own > 1).any() else None))
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _DEALT.values())], names=list(_DEALT))
+            rows, held, size, buffer = [], [], 0, buffer + 1
+            return out
+
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
+            ids = batch.column(0).to_pylist()
             for i, h in word_hashes(_lower(batch.column(1).to_pylist())):
                 at, score = words.numbers(h), 0
                 if len(at):
@@ -136,69 +158,108 @@ def _dealt(docs: DataFrame, table: str, head: dict[str, np.ndarray], min_count:
                 kept = n >= min_count
                 score += int((logs(n[kept]) - words.log_n[u[frequent][kept]]).sum())
                 score += int((words.log_n[v[frequent][~kept]] - log_total + log_backoff).sum())
-                rows.append((uid, None, ids[i], len(h), score, None, None))
-                keys, times = np.unique((u[~frequent] << 24) | v[~frequent], return_counts=True)
-                part = (mix(keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
-                order = np.argsort(part, kind="stable")
-                part, packed, times = part[order], keys[order].astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6], times[order].astype("<u4")
-                cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)])) if len(part) else np.zeros(1, np.int64)
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    own = times[a:b]
-                    rows.append((uid, int(part[a]), None, None, None, packed[a:b].tobytes(), own.tobytes() if (own > 1).any() else None))
-                uid += 1
-                if len(rows) > 50_000:
-                    yield pack(rows)
-                    rows = []
-            yield pack(rows)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "uid long, part int, doc_id long, n_words long, score long, keys binary, counts binary")
+                rows.append((buffer, None, len(held), ids[i], len(h), score, None, None, None))
+                held.append(np.unique((u[~frequent] << 24) | v[~frequent], return_counts=True))
+                size += len(held[-1][0])
+                if size >= BUFFER or len(held) >= BUFFER // 8:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return docs.select("doc_id", "text").mapInArrow(run, "buffer long, part int, at int, doc_id long, n_words long, score long, runs binary, keys binary, counts binary")
+
+
+_DEALT = {"buffer": pa.int64(), "part": pa.int32(), "at": pa.int32(), "doc_id": pa.int64(), "n_words": pa.int64(), "score": pa.int64(), "runs": pa.binary(), "keys": pa.binary(), "counts": pa.binary()}
+_SCORED = {"buffer": pa.int64(), "at": pa.int32(), "doc_id": pa.int64(), "n_words": pa.int64(), "score": pa.int64(), "docs": pa.binary(), "sums": pa.binary()}
+
+
+def _equal(x: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of the runs of equal values."""
+    if not len(x):
+        return []
+    cuts = np.concatenate(([0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)])).tolist()
+    return list(zip(cuts[:-1], cuts[1:]))
 
 
 def _joined(dealt: DataFrame, table: str, min_count: int, parts: int) -> DataFrame:
-    """(uid, score, doc_id, n_words): what each part's bigrams add to each document, and the documents' own rows."""
-    out_names, out_types = ["uid", "score", "doc_id", "n_words"], [pa.int64()] * 4
+    """For each part and buffer a row of what the part's bigrams add to the buffer's documents; and the documents' own rows."""
 
-    def own_rows(rows: list[tuple]):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), out_types)], names=out_names)
+    def pack(rows: list[tuple]):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SCORED.values())], names=list(_SCORED))
 
     def score(held: list[tuple]):
         words = WordTable.get(table)
         log_total, log_backoff = int(logs(np.array([words.total]))[0]), int(logs(np.array([BACKOFF]))[0])
-        sizes = np.array([len(k) // 6 for _, k, _ in held])
+        sizes = np.array([len(k) // 6 for _, _, k, _ in held])
         flat = np.zeros((int(sizes.sum()), 8), np.uint8)
-        flat[:, :6] = np.frombuffer(b"".join(k for _, k, _ in held), np.uint8).reshape(-1, 6)
-        times = np.concatenate([np.frombuffer(c, "<u4") if c else np.ones(s, np.uint32) for (_, _, c), s in zip(held, sizes.tolist(), strict=True)]).astype(np.int64)
+        flat[:, :6] = np.frombuffer(b"".join(k for _, _, k, _ in held), np.uint8).reshape(-1, 6)
+        times = np.concatenate([np.frombuffer(c, "<u4") if c else np.ones(s, np.uint32) for (_, _, _, c), s in zip(held, sizes.tolist(), strict=True)]).astype(np.int64)
         keys, inverse = np.unique(flat.view("<i8").reshape(-1), return_inverse=True)
         n = np.bincount(inverse, weights=times, minlength=len(keys)).astype(np.int64)
         u, v = keys >> 24, keys & (1 << 24) - 1
         each = np.where(n >= min_count, logs(np.maximum(n, 1)) - words.log_n[u], words.log_n[v] - log_total + log_backoff)
         upto = np.concatenate(([0], np.cumsum(each[inverse] * times)))
-        ends = np.cumsum(sizes)
-        none = pa.nulls(len(held), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array(upto[ends] - upto[ends - sizes]), none, none], names=out_names)
+        rows, at = [], 0
+        for (buffer, runs, _, _), size in zip(held, sizes.tolist(), strict=True):
+            who, many = np.frombuffer(runs, "<u4").reshape(-1, 2).T
+            ends = at + np.cumsum(many.astype(np.int64))
+            sums = upto[ends] - upto[ends - many]
+            rows.append((buffer, None, None, None, None, who.tobytes(), sums.astype("<i8").tobytes()))
+            at += size
+        return pack(rows)
 
     def run(batches):
         held: list[tuple] = []
         now = None
         for batch in batches:
             rows = []
-            for part, uid, keys, counts, doc_id, n_words, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, buffer, runs, keys, counts, at, doc_id, n_words, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part is None:
-                    rows.append((uid, own, doc_id, n_words))
+                    rows.append((buffer, at, doc_id, n_words, own, None, None))
                     continue
                 if part != now:
                     if held:
                         yield score(held)
                     now, held = part, []
-                held.append((uid, keys, counts))
+                held.append((buffer, runs, keys, counts))
             if rows:
-                yield own_rows(rows)
+                yield pack(rows)
         if held:
             yield score(held)
 
-    own = dealt.select("part", "uid", "keys", "counts", "doc_id", "n_words", "score")
-    to = F.coalesce("part", F.pmod("uid", F.lit(parts)).cast("int"))
-    return own.repartitionById(parts, to).sortWithinPartitions("part").mapInArrow(run, "uid long, score long, doc_id long, n_words long")
+    own = dealt.select("part", "buffer", "runs", "keys", "counts", "at", "doc_id", "n_words", "score")
+    to = F.coalesce("part", F.pmod(F.xxhash64("buffer", "at"), F.lit(parts)).cast("int"))
+    return own.repartitionById(parts, to).sortWithinPartitions("part").mapInArrow(run, "buffer long, at int, doc_id long, n_words long, score long, docs binary, sums binary")
+
+
+def _summed(joined: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, n_words, score): the rows of each buffer brought together."""
+
+    def finish(own: list[tuple], more: list[tuple]):
+        total = np.zeros(len(own), np.int64)
+        for docs, sums in more:
+            total[np.frombuffer(docs, "<u4")] += np.frombuffer(sums, "<i8")  # a document stands once in a row
+        at, ids, n, score = zip(*own)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(total[list(at)] + np.array(score, np.int64))], names=["doc_id", "n_words", "score"])
+
+    def run(batches):
+        own: list[tuple] = []
+        more: list[tuple] = []
+        now = None
+        for batch in batches:
+            for buffer, at, doc_id, n_words, score, docs, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if buffer != now:
+                    if own:
+                        yield finish(own, more)
+                    now, own, more = buffer, [], []
+                if docs is None:
+                    own.append((at, doc_id, n_words, score))
+                else:
+                    more.append((docs, sums))
+        if own:
+            yield finish(own, more)
+
+    return joined.repartition(parts, "buffer").sortWithinPartitions("buffer").mapInArrow(run, "doc_id long, n_words long, score long")
 
 
 def scores(docs: DataFrame, min_count: int = 2, parts: int | None = None, in_memory: int = WORDS_IN_MEMORY) -> DataFrame:
@@ -211,8 +272,7 @@ def scores(docs: DataFrame, min_count: int = 2, parts: int | None = None, in_mem
     parts = parts or partitions(spark)
     head = _head_counts(docs, table).toPandas()  # at most HEAD ** 2 rows
     dealt = _dealt(docs, table, {k: head[k].to_numpy() for k in head}, min_count, parts)
-    sums = _joined(dealt, table, min_count, parts).groupBy("uid").agg(F.sum("score").alias("score"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"))
-    return _finished(sums)
+    return _finished(_summed(_joined(dealt, table, min_count, parts), parts))
 
 
 def _finished(scored: DataFrame) -> DataFrame:
