@@ -63,7 +63,7 @@ def logs(x: np.ndarray) -> np.ndarray:
 
 
 class WordTable:
-    """The word table in memory: sorted hashes and their counts; a word's number is its place."""
+    """The word table in memory: sorted hashes and the logarithms of their counts; a word's number is its place."""
 
     held: dict[str, "WordTable"] = {}
 
@@ -75,17 +75,20 @@ class WordTable:
         t = ds.dataset(base, filesystem=where, format="parquet").to_table(columns=["word", "n"])
         keys = t.column("word").to_numpy().view(np.uint64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.n = keys[order], t.column("n").to_numpy()[order]
-        self.total = int(self.n.sum())
-        self.log_n = logs(np.maximum(self.n, 1))
+        self.keys, n = keys[order], t.column("n").to_numpy()[order]
+        del t, keys, order
+        pa.default_memory_pool().release_unused()
+        self.total = int(n.sum())
+        self.log_n = logs(np.maximum(n, 1))
         self.head = np.full(len(self.keys), -1, np.int16)
-        most = np.flatnonzero(self.n * HEAD >= self.total)
+        most = np.flatnonzero(n * HEAD >= self.total)
         self.head[most] = np.arange(len(most))
 
     @classmethod
     def get(cls, path: str) -> "WordTable":
         if path not in cls.held:
-            cls.held = {path: cls(path)}
+            cls.held.clear()  # a worker outlives a query; two tables at once are one too many
+            cls.held[path] = cls(path)
         return cls.held[path]
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
@@ -195,6 +198,7 @@ def _joined(dealt: DataFrame, table: str, min_count: int, parts: int) -> DataFra
         flat[:, :6] = np.frombuffer(b"".join(k for _, _, k, _ in held), np.uint8).reshape(-1, 6)
         times = np.concatenate([np.frombuffer(c, "<u4") if c else np.ones(s, np.uint32) for (_, _, _, c), s in zip(held, sizes.tolist(), strict=True)]).astype(np.int64)
         keys, inverse = np.unique(flat.view("<i8").reshape(-1), return_inverse=True)
+        del flat
         n = np.bincount(inverse, weights=times, minlength=len(keys)).astype(np.int64)
         u, v = keys >> 24, keys & (1 << 24) - 1
         each = np.where(n >= min_count, logs(np.maximum(n, 1)) - words.log_n[u], words.log_n[v] - log_total + log_backoff)
@@ -269,7 +273,7 @@ def scores(docs: DataFrame, min_count: int = 2, parts: int | None = None, in_mem
     word_counts(docs).write.parquet(table)
     if spark.read.parquet(table).count() > in_memory:
         return scores_by_joins(docs, min_count)
-    parts = parts or partitions(spark)
+    parts = parts or 2 * partitions(spark)  # a task holds a part's bigrams in arrays, several times over while it sorts them
     head = _head_counts(docs, table).toPandas()  # at most HEAD ** 2 rows
     dealt = _dealt(docs, table, {k: head[k].to_numpy() for k in head}, min_count, parts)
     return _finished(_summed(_joined(dealt, table, min_count, parts), parts))
