@@ -105,6 +105,12 @@ def test_lm_scores_agree(spark, mixed):
     assert len(one) == len(mixed)
 
 
+def test_lm_scoring_of_a_text_beyond_a_buffer(spark):
+    texts = ["b a", "a b " * 270_000 + "c", " " * (1 << 20) + "b a", None]
+    d = make(spark, texts)
+    assert sorted(map(tuple, lm_scoring.scores(d).collect())) == sorted(map(tuple, lm_scoring.scores_by_joins(d).collect()))
+
+
 def key(line):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
 

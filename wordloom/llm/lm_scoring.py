@@ -103,8 +103,15 @@ def _head_counts(docs: DataFrame, table: str) -> DataFrame:
         words = WordTable.get(table)
         count = np.zeros(HEAD * HEAD, np.int64)
         for batch in batches:
-            for _, own, w in chunks(_lower(batch.column(0).to_pylist()), BY_SPACE):
+            last = None  # the text that the buffer before ended in, and the place of its last word
+            for idx, own, w in chunks(_lower(batch.column(0).to_pylist()), BY_SPACE):
                 at = words.head[words.numbers(w.hashes)].astype(np.int64)
+                if last and last[0] == idx[0] and own[0]:  # a long text goes on
+                    at, own = np.concatenate(([last[1]], at)), np.concatenate(([own[0] + 1], own[1:]))
+                if own[-1]:
+                    last = idx[-1], at[-1]
+                elif last and last[0] != idx[-1]:
+                    last = None
                 pair = at[:-1] * HEAD + at[1:]
                 ok = (at[:-1] >= 0) & (at[1:] >= 0)
                 ends = np.cumsum(own)[:-1]
