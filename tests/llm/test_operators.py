@@ -191,6 +191,16 @@ def test_quality_base(spark, mixed):
         assert not (failed and r.kept)
 
 
+def test_quality_of_a_rare_language(spark):
+    rng = random.Random(6)
+    common = {"large": "the of and to in that is for on with", "rare": "el y los las del se por una con no"}
+    text = lambda k: " ".join(x for _ in range(60) for x in (rng.choice(common[k].split()), f"{rng.choice('bcdfg')}{rng.randrange(10**6)}"))
+    for n in (1, 7, 19):
+        rows = [(i, text(k), k) for i, k in enumerate(["large"] * 25 + ["rare"] * n)] + [(90, text("rare"), None), (91, "# " + "$%& <|> " * 3 + " ".join(f"$%{i}#|<" for i in range(120)), None)]
+        got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+        assert len(got) == len(rows) and all(r.kept for i, r in got.items() if i < 91) and not got[91].kept
+
+
 def test_toxicity_learns_words_and_pairs(spark):
     rng = random.Random(3)
     texts, labels = [], []

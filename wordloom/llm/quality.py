@@ -7,14 +7,16 @@ language counts, so that lang need not be right. A document is kept if it passes
 is within ``char_limit`` and ``word_limit`` of some language. Texts of fewer than ``min_chars``
 characters or ``min_words`` words are not judged by that histogram.
 
-Null and empty texts have no words and fail the base rules; a null lang adds to no reference;
-languages with fewer than ``min_documents`` documents give none, and without any reference the base
-rules decide alone; repeated rows are judged each for itself; other columns are not read.
+Null and empty texts have no words and fail the base rules; a null lang adds to no reference, any other
+gives one, however few its documents; without any reference the base rules decide alone; repeated rows
+are judged each for itself; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,16 +79,16 @@ def _covered(hashes: Column) -> Column:
     return F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(i, i + 1, i + 2)))))
 
 
-def references(counts: DataFrame, min_documents: int = 20) -> dict[str, tuple[list[float], list[float]]]:
-    """The two histograms of each language as shares."""
+def references(counts: DataFrame) -> DataFrame:
+    """One row: ``refs``, the two histograms of each language as shares."""
     sizes = (len(CLASSES) + 2, len(dict.fromkeys(COMMON_WORDS)) + 1)
     sums = [F.sum(F.get(c, F.lit(k))).alias(f"{c}{k}") for c, n in zip(("chars", "common"), sizes, strict=True) for k in range(n)]
-    rows = counts.where("lang is not null and n_words > 0").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums).where(F.col("n") >= min_documents).orderBy(F.desc("n"), "lang").limit(REFERENCES).collect()
-    share = lambda v: [x / max(1, sum(v)) for x in v]
-    return {r["lang"]: (share([r[f"chars{k}"] for k in range(sizes[0])]), share([r[f"common{k}"] for k in range(sizes[1])])) for r in rows}
+    known = counts.where("lang is not null and n_words > 0").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums).orderBy(F.desc("n"), "lang").limit(REFERENCES)
+    share = lambda c, n: F.transform(F.array(*(F.col(f"{c}{k}") for k in range(n))), lambda x: x / F.greatest(F.lit(1), reduce(add, (F.col(f"{c}{k}") for k in range(n)))))
+    return known.agg(F.collect_list(F.struct(share("chars", sizes[0]).alias("chars"), share("common", sizes[1]).alias("common"))).alias("refs"))
 
 
-def js_distance(counts: Column, total: Column, reference: list[float]) -> Column:
+def js_distance(counts: Column, total: Column, reference: Column) -> Column:
     """Jensen-Shannon distance of counts, whose sum is total, from shares."""
 
     def term(x: Column, q: Column) -> Column:
@@ -94,22 +96,20 @@ def js_distance(counts: Column, total: Column, reference: list[float]) -> Column
         m = (p + q) / 2
         return F.when(p > 0, p * F.log(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log(q / m)).otherwise(0.0)
 
-    parts = F.zip_with(counts, F.array(*map(F.lit, reference)), term)
+    parts = F.zip_with(counts, reference, term)
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / (2 * math.log(2))))
 
 
-def judged(docs: DataFrame, char_limit: float = 0.25, word_limit: float = 0.35, min_chars: int = 200, min_words: int = 100, min_documents: int = 20) -> DataFrame:
+def judged(docs: DataFrame, char_limit: float = 0.25, word_limit: float = 0.35, min_chars: int = 200, min_words: int = 100) -> DataFrame:
     """doc_id, the base columns, base_failed, the distances from the nearest language, kept."""
     counts = cut(base_counts(docs))
-    known = references(counts, min_documents)
+    known = cut(references(counts))
     out = counts.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     n_chars = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
-    out = out.withColumn("n_chars", n_chars)
-    each = F.array(*(F.struct(js_distance(F.col("chars"), F.col("n_chars"), c).alias("c"), js_distance(F.col("common"), F.col("n_words"), w).alias("w")) for c, w in known.values())) if known else None
-    if each is None:
-        return out.select("doc_id", *_BASE, "base_failed", F.lit(None).cast("double").alias("char_distance"), F.lit(None).cast("double").alias("word_distance"), (~F.col("base_failed")).alias("kept"))
+    out = out.withColumn("n_chars", n_chars).crossJoin(F.broadcast(known))
+    each = F.transform("refs", lambda r: F.struct(js_distance(F.col("chars"), F.col("n_chars"), r["chars"]).alias("c"), js_distance(F.col("common"), F.col("n_words"), r["common"]).alias("w")))
     out = out.withColumn("each", F.when(~F.col("base_failed"), each)).withColumn("far_c", F.col("n_chars") >= min_chars).withColumn("far_w", F.col("n_words") >= min_words)
-    near = F.exists("each", lambda x: (~F.col("far_c") | (x["c"] <= char_limit)) & (~F.col("far_w") | (x["w"] <= word_limit)))
+    near = (F.size("refs") == 0) | F.exists("each", lambda x: (~F.col("far_c") | (x["c"] <= char_limit)) & (~F.col("far_w") | (x["w"] <= word_limit)))
     return out.select("doc_id", *_BASE, "base_failed", F.array_min("each.c").alias("char_distance"), F.array_min("each.w").alias("word_distance"), (~F.col("base_failed") & F.coalesce(near, F.lit(False))).alias("kept"))
 
 
