@@ -201,6 +201,14 @@ def test_quality_of_a_rare_language(spark):
         assert len(got) == len(rows) and all(r.kept for i, r in got.items() if i < 91) and not got[91].kept
 
 
+def test_quality_of_many_languages(spark):
+    text = lambda common, k: " ".join(f"{common[i % len(common)]} {'bcdfg'[i % 5]}{k}{i}" for i in range(60))
+    english, spanish = "the of and to in that is for on with".split(), "el y los las del se por una con no".split()
+    rows = [(2 * k + j, text(english, 2 * k + j), f"l{k:03d}") for k in range(260) for j in (0, 1)] + [(900, text(spanish, 900), "zz")]
+    got = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(rows) and all(r.kept for r in got)
+
+
 def test_toxicity_learns_words_and_pairs(spark):
     rng = random.Random(3)
     texts, labels = [], []

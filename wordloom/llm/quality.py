@@ -32,8 +32,6 @@ COMMON_WORDS = (
 ).split()
 #: Character classes, each counted in what the ones before have left; the rest is the last bin.
 CLASSES = ("[a-z]+", "[A-Z]+", "[#*$%&|<>]+", "[0-9]+", "[.,;:!?'\"()\\-]+", "\\p{Ll}+", "\\p{Lu}+")
-#: References that are kept: more than there are two-letter language codes.
-REFERENCES = 256
 _SPACES = "[ \t\n\x0b\x0c\r]+"
 
 
@@ -83,7 +81,7 @@ def references(counts: DataFrame) -> DataFrame:
     """One row: ``refs``, the two histograms of each language as shares."""
     sizes = (len(CLASSES) + 2, len(dict.fromkeys(COMMON_WORDS)) + 1)
     sums = [F.sum(F.get(c, F.lit(k))).alias(f"{c}{k}") for c, n in zip(("chars", "common"), sizes, strict=True) for k in range(n)]
-    known = counts.where("lang is not null and n_words > 0").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums).orderBy(F.desc("n"), "lang").limit(REFERENCES)
+    known = counts.where("lang is not null and n_words > 0").groupBy("lang").agg(*sums)
     share = lambda c, n: F.transform(F.array(*(F.col(f"{c}{k}") for k in range(n))), lambda x: x / F.greatest(F.lit(1), reduce(add, (F.col(f"{c}{k}") for k in range(n)))))
     return known.agg(F.collect_list(F.struct(share("chars", sizes[0]).alias("chars"), share("common", sizes[1]).alias("common"))).alias("refs"))
 
