@@ -60,6 +60,27 @@ def test_detectors_on_a_script(spark):
     assert [(r.norm, r.target) for r in disfluency.abandoned_words(w).collect()] == [("compe", "competition")]
 
 
+def test_disfluencies_in_order(spark):
+    scripts = [
+        "je pense je pense que cela marche", "je euh je vais la", "une compe- competition ouverte", "i i mean it works", "tres tres bien fait",
+        "il faut que il faut que il faut que marcher", "et compe competition", "non nonante jours", "ma- ma- maison",
+    ]
+    rows = []
+    for rush, script in enumerate(scripts):
+        at = 500
+        for idx, text in enumerate(script.split()):
+            rows.append((rush, idx, text, at, at + 115 + 52 * len(text)))
+            at += 150 + 52 * len(text)
+    w = spark.createDataFrame(rows, "rush_id long, idx int, text string, start_ms long, end_ms long").withColumn("norm", T.normalize_word("text"))
+    got = disfluency.disfluencies(w).collect()
+    assert sorted((r.rush_id, r.kind, r.words, r.confidence, r.kept_text) for r in got) == [
+        (0, "stutter", [0, 1], 0.86, "je pense"), (1, "filler", [1], 0.95, ""), (1, "stutter", [0], 0.92, "je"), (2, "abandoned", [1], 0.93, "competition"),
+        (3, "filler_phrase", [1, 2], 0.8, ""), (5, "stutter", [2, 3, 4, 5], 0.86, "il faut que"), (6, "abandoned", [1], 0.66, "competition"),
+        (8, "abandoned", [1], 0.93, "maison"), (8, "stutter", [0], 0.92, "ma-"),
+    ]
+    assert "disfluencies" in catalogue.queries()
+
+
 def test_srt_round_trip(spark, tmp_path):
     path = tmp_path / "a.srt"
     path.write_text("1\n00:00:01,500 --> 00:00:02,000\nbonjour\n\n2\n00:00:03,000 --> 00:00:04,250\nà tous\n", encoding="utf-8")

@@ -1,14 +1,36 @@
-"""Detectors of hesitations, repeated words, abandoned words and stock phrases."""
+"""Detectors of hesitations, repeated words, abandoned words and stock phrases.
+
+Each of ``hard_fillers``, ``soft_fillers``, ``stutter_runs``, ``abandoned_words`` and ``phrase_hits`` says what SQL can
+say of one kind alone. ``disfluencies`` is the whole: all kinds in order within an utterance, where what is found masks
+what comes later.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions import lexicon as L
-from wordloom.operators.words import by_word
+from wordloom.functions import vocabulary as V
+from wordloom.operators.words import by_word, with_utterances
+
+
+@dataclass(frozen=True)
+class DisfluencyRules:
+    """Milliseconds; the middle style."""
+
+    soft: bool = False
+    longest_filler: int = 1200
+    stutter_gap: int = 900
+    longest_group: int = 3
+    most_removed: int = 4
+    least_stem: int = 2
+    longest_abandoned: int = 850
+    truncated_gap: int = 600
+    abandoned_gap: int = 250
 
 
 def hard_fillers(words: DataFrame, longest: int = 1200) -> DataFrame:
@@ -50,3 +72,94 @@ def phrase_hits(words: DataFrame, phrases: tuple[str, ...] = L.FILLER_PHRASES) -
     found = F.coalesce(*(F.when(test(p), F.lit(p)) for p in phrases))
     return own.withColumn("phrase", found).where("phrase is not null").select("rush_id", "idx", "phrase")
 
+
+FOUND = "array<struct<kind string, words array<int>, start_ms long, end_ms long, confidence double, text string, kept_text string>>"
+
+
+def disfluencies(words: DataFrame, rules: DisfluencyRules = DisfluencyRules()) -> DataFrame:
+    """(rush_id, kind, words, start_ms, end_ms, confidence, text, kept_text): the ``idx`` of the words that go, and what stays in their place."""
+    own = with_utterances(words.select("rush_id", "idx", "text", "norm", "start_ms", "end_ms"))
+    own = own.withColumn("before", F.col("start_ms") - F.coalesce(F.lag("end_ms").over(by_word()), F.lit(0)))
+    said = F.array_sort(F.collect_list(F.struct("idx", "text", "norm", "start_ms", "end_ms", "before")))
+    own = own.groupBy("rush_id", "run", "part").agg(said.alias("said"))
+    find = F.udf(lambda said: _in_utterance(said, rules), FOUND)
+    return own.select("rush_id", F.explode(find("said")).alias("f")).select("rush_id", "f.*")
+
+
+def _in_utterance(said, rules: DisfluencyRules) -> list[tuple]:
+    """What is found in one utterance, each with the places of its words."""
+    found = _fillers(said, rules)
+    found += _stutters(said, {k for f in found for k in f[1]}, rules)
+    found += _abandoned(said, {k for f in found for k in f[1]}, rules)
+    gone = {k for f in found for k in f[1]}
+    if all(k in gone or not w.norm for k, w in enumerate(said)) and any(len(w.norm) > 1 and w.norm not in _EMPTY for w in said):
+        found = [f for f in found if f[0] != "stutter"]
+    clean = lambda places: " ".join(said[k].text.strip() for k in places)
+    return [(kind, [said[k].idx for k in at], said[at[0]].start_ms, said[at[-1]].end_ms, c, clean(at), clean(kept)) for kind, at, c, kept in sorted(found, key=lambda f: said[f[1][0]].start_ms)]
+
+
+def _fillers(said, rules: DisfluencyRules) -> list[tuple]:
+    norm, found, used = [w.norm for w in said], [], set()
+    for phrase in (p.split() for p in L.FILLER_PHRASES):
+        for at in range(len(norm) - len(phrase) + 1):
+            own = range(at, at + len(phrase))
+            if used.isdisjoint(own) and norm[at : at + len(phrase)] == phrase and any(x for k, x in enumerate(norm) if k not in own):
+                found.append(("filler_phrase", list(own), 0.80, []))
+                used.update(own)
+    for k, w in enumerate(said):
+        hard = w.norm in L.HARD_FILLERS
+        soft = rules.soft and (w.norm in L.SOFT_FILLERS or _stem(w.norm) in L.SOFT_FILLERS)
+        if k in used or not (hard or soft) or w.end_ms - w.start_ms > rules.longest_filler:
+            continue
+        if hard:
+            found.append(("filler", [k], 0.95 if len(w.norm) <= 4 else 0.88, []))
+        elif w.before >= 200 or any(x in L.HARD_FILLERS for x in (*norm[max(0, k - 1) : k], *norm[k + 1 : k + 2])):
+            found.append(("filler", [k], 0.64, []))
+    return found
+
+
+def _stutters(said, fillers: set[int], rules: DisfluencyRules) -> list[tuple]:
+    """Groups of words said again at once, the longest first, looking through fillers; all but the last go."""
+    place = [k for k, w in enumerate(said) if w.norm and k not in fillers]
+    norm, found, used = [said[k].norm for k in place], [], set()
+    for n in range(rules.longest_group, 0, -1):
+        at = 0
+        while at + 2 * n <= len(place):
+            group = norm[at : at + n]
+            meant = n == 1 and (group[0] in L.INTENSIFIERS or group[0] in L.GRAMMATICAL_DOUBLES)
+            gap = said[place[at + n]].start_ms - said[place[at + n - 1]].end_ms
+            if not used.isdisjoint(range(at, at + 2 * n)) or group != norm[at + n : at + 2 * n] or meant or gap > rules.stutter_gap:
+                at += 1
+                continue
+            times = 2
+            while norm[at + times * n : at + (times + 1) * n] == group:
+                times += 1
+            end = at + times * n
+            found.append(("stutter", place[at : end - n][-rules.most_removed :], 0.92 if n == 1 else 0.86, place[end - n : end]))
+            used.update(range(at, end))
+            at = end
+    return found
+
+
+def _abandoned(said, taken: set[int], rules: DisfluencyRules) -> list[tuple]:
+    """Words that the next one begins with: surely where the word is marked as cut off, ``compe- competition``."""
+    found = []
+    for k in range(len(said) - 1):
+        word, target, stem = said[k], said[k + 1].norm, _stem(said[k].norm)
+        if k in taken or k + 1 in taken or len(stem) < rules.least_stem or not target.startswith(stem) or len(target) <= len(stem) or word.end_ms - word.start_ms > rules.longest_abandoned:
+            continue
+        gap, shown = said[k + 1].start_ms - word.end_ms, word.text.strip().rstrip("\"'»)]….")
+        if len(shown) > 1 and shown[-1] in "-_":
+            if gap <= rules.truncated_gap:
+                found.append(("abandoned", [k], 0.93, [k + 1]))
+        elif gap <= rules.abandoned_gap and len(stem) <= 5 and stem not in _COMMON and len(target) >= len(stem) + 2:
+            found.append(("abandoned", [k], 0.66, [k + 1]))
+    return found
+
+
+def _stem(norm: str) -> str:
+    return norm.rstrip("-_'")
+
+
+_COMMON = frozenset([*L.COMMON_SHORT_WORDS, *V.STOPWORDS])
+_EMPTY = frozenset([*V.STOPWORDS, *L.HARD_FILLERS])

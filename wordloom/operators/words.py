@@ -69,11 +69,16 @@ def with_breaks(words: DataFrame, break_gap: int = 620, hard_gap: int = 1150) ->
     return w.withColumn("reason", reason).drop("_p")
 
 
-def utterances(words: DataFrame, most: int = 48) -> DataFrame:
-    """Sessions of words; a session of more than ``most`` words is cut after every ``most``."""
+def with_utterances(words: DataFrame, most: int = 48) -> DataFrame:
+    """Each word with the ``run`` and ``part`` of its utterance."""
     w = with_breaks(words).withColumn("run", F.sum(F.when(F.col("reason").isNotNull(), 1).otherwise(0)).over(by_word()))
     within = W.partitionBy("rush_id", "run").orderBy("idx")
-    w = w.withColumn("part", F.floor((F.row_number().over(within) - 1) / most))
+    return w.withColumn("part", F.floor((F.row_number().over(within) - 1) / most))
+
+
+def utterances(words: DataFrame, most: int = 48) -> DataFrame:
+    """Sessions of words; a session of more than ``most`` words is cut after every ``most``."""
+    w = with_utterances(words, most)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ")
     out = w.groupBy("rush_id", "run", "part").agg(
         F.min("idx").alias("first_idx"), F.count(F.lit(1)).alias("n_words"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),

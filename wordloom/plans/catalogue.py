@@ -48,6 +48,10 @@ def abandoned_words(spark, sf):
     return disfluency.abandoned_words(clock(spark, sf))
 
 
+def disfluencies(spark, sf):
+    return disfluency.disfluencies(clock(spark, sf))
+
+
 def ngram_phrases(spark, sf):
     return disfluency.phrase_hits(clock(spark, sf), (*L.FILLER_PHRASES, "of the", "de la", "the"))
 
@@ -202,7 +206,7 @@ def seam_checks(spark, sf):
 
 
 QUERIES = (
-    word_clock, utterance_sessions, gap_summary, hard_fillers, soft_fillers, stutter_runs, abandoned_words, ngram_phrases, timeline_shots, frame_clips,
+    word_clock, utterance_sessions, gap_summary, hard_fillers, soft_fillers, stutter_runs, abandoned_words, disfluencies, ngram_phrases, timeline_shots, frame_clips,
     short_shots, merge_intervals, subtract_intervals, interval_totals, spaced_topk, event_sessions, event_level_percentiles, removal_budget,
     cache_retention, content_jaccard, language_characters, role_words, weak_markers,
     strong_markers, content_words, curve_samples, language_durations, onset_strength, pair_similarity, retake_groups, fragments, edit_lists, seam_checks,
