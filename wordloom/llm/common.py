@@ -1,4 +1,8 @@
-"""Shared tools: shared-folder checkpoints, packaging, vectorised word hashes."""
+"""Shared tools: shared-folder tables, packaging, names and types of ids, vectorised word hashes.
+
+Null texts are hashed as empty ones; empty tables are written and read again like others; a text of
+any length is hashed in buffers of ``CHUNK`` bytes.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,7 @@ from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: The white space that separates words: ``[\x20\x09-\x0D]``.
 SPACE = " \t\n\x0b\x0c\r"
@@ -20,10 +25,16 @@ CHUNK = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``; set here only where it is unset)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder and any other an error, for the
+    executors of a cluster cannot see a folder of the driver's.
+    """
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="wordloom-checkpoint-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(where)
@@ -59,6 +70,23 @@ def cut(df: DataFrame, what: str = "rows") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spare(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each lengthened until no column of docs has it in any case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
+def with_id(docs: DataFrame, *fields: str) -> T.StructType:
+    """``doc_id`` of the type it has in docs (any type that can be ordered), then the fields ("name type")."""
+    rest = T.StructType.fromDDL(", ".join(fields))
+    return T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *rest.fields])
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors unless their Python path has it already."""
     root = Path(__file__).resolve().parents[2]

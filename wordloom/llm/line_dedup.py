@@ -12,8 +12,9 @@ than 1,024 keys, by that definition) are taken out by partial sums before the sh
 verdicts are sent to the lines instead.
 
 All of it is DataFrame expressions. Null and empty texts are one empty line, and null texts come back
-empty; a null doc_id is below every other; rows that share a doc_id count as documents of their own
-and are decided alike; an empty table gives no rows; other columns stay as they are.
+empty from ``kept_text``; a null doc_id is below every other; rows that share a doc_id count as
+documents of their own and are decided alike; an empty table gives no rows; other columns stay as they
+are, whatever their names. A doc_id is of any type that can be ordered.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import LOWER, SPACE, UPPER, cut, partitions
+from wordloom.llm.common import LOWER, SPACE, UPPER, cut, partitions, spare
 
 #: Keys with a larger share of all entries are decided before the shuffle.
 HOT_SHARE = 1024
@@ -83,11 +84,13 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     return drops.select("doc_id", "th", F.transform("pos", gap).alias("kept_before"))
 
 
-def with_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """The documents' columns and ``kept_before`` (null: all lines stay)."""
-    found = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("b_id"), F.col("th").alias("b_th"), "kept_before")
-    own = docs.drop("kept_before")
-    return own.join(found, own["doc_id"].eqNullSafe(F.col("b_id")) & (F.xxhash64(own["text"]) == F.col("b_th")), "left").drop("b_id", "b_th")
+def with_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, name: str = "kept_before") -> DataFrame:
+    """The documents' columns and a last one, ``name``, of bitmaps (null: all lines stay); docs must have no column of that name."""
+    if name != spare(docs, name)[0]:
+        raise ValueError(f"the documents have a column {name}")
+    b_id, b_th = spare(docs, "b_id", "b_th")
+    found = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias(b_id), F.col("th").alias(b_th), F.col("kept_before").alias(name))
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col(b_id)) & (F.xxhash64(docs["text"]) == F.col(b_th)), "left").drop(b_id, b_th)
 
 
 def kept_text(text: Column, kept_before: Column) -> Column:
@@ -98,9 +101,10 @@ def kept_text(text: Column, kept_before: Column) -> Column:
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """The documents with their kept lines as text (and n_chars, if they have it, of that text)."""
-    out = with_bitmaps(docs, min_chars, min_docs)
-    out = out.withColumn("text", F.when(F.col("kept_before").isNull(), F.col("text")).otherwise(kept_text(F.col("text"), F.col("kept_before"))))
+    """The documents with their kept lines as text (and n_chars, if they have it, of that text); null texts stay null."""
+    (name,) = spare(docs, "kept_before")
+    out, bitmap = with_bitmaps(docs, min_chars, min_docs, name), F.col(name)
+    out = out.withColumn("text", F.when(bitmap.isNull(), F.col("text")).otherwise(kept_text(F.col("text"), bitmap)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("kept_before").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*(f"`{c}`" for c in docs.columns))
+        out = out.withColumn("n_chars", F.when(bitmap.isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.drop(name)
