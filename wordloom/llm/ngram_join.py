@@ -3,18 +3,25 @@
 Words are runs of anything but ``[\\x20\\x09-\\x0D]`` in the lower-cased text; a text of fewer
 words than n has one n-gram of them all; a text without words (or null) has none and joins nothing.
 Texts with equal sets form a class, and only its representative goes on. Signatures of
-``bands * rows`` MinHashes are cut into bands; representatives that share the hash of a band lie in
-one candidate block (components over bands, never pairs), whose full n-gram sets are then compared.
-With 24 bands of 6 rows a pair at Jaccard 0.8 shares a band with probability 0.9993, at 0.85 with
-0.99999. Blocks of more than ``BLOCK`` members are dealt into pairs of sub-blocks, so no task holds
-more than two of them; comparing texts that really are many near copies of each other stays
-quadratic in arithmetic, not in rows.
+``bands * rows`` MinHashes are cut into bands; representatives that share the hash of a band are a
+candidate pair, which is verified on the full n-gram sets. With 32 bands of 6 rows a pair at Jaccard
+0.8 shares a band with probability 0.99994, at 0.85 with 0.9999999.
+
+Pairs are never rows. The members of a bucket (the representatives with one hash in one band) are
+brought together with their sets, in blocks of ``BLOCK`` members or ``GRAMS`` n-grams; a larger
+bucket is dealt into pairs of blocks. A pair that shares several bands is counted in the first of
+them, and a bucket with the same members as an earlier one is left out. Where buckets overlap so much
+that their whole component (representatives joined by buckets) takes fewer rows, the component is
+brought together instead of its buckets. So the rows that carry sets are never more than one for each
+member of a bucket, and with m members of one bucket (m * m / BLOCK rows for m * m / 2 candidate
+pairs) stay in proportion to the candidate pairs: exact numbers of links in a group of m texts, all
+different and all alike, are quadratic work.
 
 Result: a row for each document with ``class_id`` (the least doc_id of its group of linked
 documents, its own if it has no link), ``n_links`` (documents at a similarity of ``threshold`` or
 more, copies counted each) and ``n_copies`` (documents of an equal set). Repeated rows are documents
 of their own; a null doc_id takes part and never names a class that has another id; an empty table
-gives no rows; other columns are not read.
+gives no rows; other columns are not read. A doc_id is of any type that can be ordered.
 """
 
 from __future__ import annotations
@@ -26,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.common import cut, grams, mix, ship, word_hashes
-from wordloom.llm.components import components
+from wordloom.llm.common import cut, grams, mix, ship, spare, with_id, word_hashes
+from wordloom.llm.components import components, lookup
 
-BANDS, ROWS = 24, 6
-#: Members of a block that one task compares with each other.
-BLOCK = 256
+BANDS, ROWS = 32, 6
+#: Members of a block, and n-grams of all its members (or one member's); a task compares two blocks with each other.
+BLOCK, GRAMS = 128, 1 << 20
 
 
 def shingle_sets(texts: list[str | None], n: int):
@@ -75,7 +82,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
 
     ship(docs.sparkSession)
     own = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return own.mapInArrow(run, "doc_id long, th long, k1 long, k2 long, n_grams int, bands array<long>")
+    return own.mapInArrow(run, with_id(docs, "th long", "k1 long", "k2 long", "n_grams int", "bands array<long>"))
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -115,18 +122,33 @@ def _groups(batches, keys: int):
         yield now, held
 
 
+def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """[i, j]: the first band in which row i of a and row j of b have the same hash; the number of bands if there is none."""
+    out = np.full((len(a), len(b)), a.shape[1], np.int16)
+    for t in range(a.shape[1] - 1, -1, -1):
+        out[a[:, t, None] == b[None, :, t]] = t
+    return out
+
+
 def _verify(members: DataFrame, threshold: float) -> DataFrame:
-    """(node, peer, links) of each linked node in each block: peer is the least node linked with it, however far."""
+    """(node, peer, links) of each linked node in each pair of blocks: peer is the least node linked with it, however far.
+
+    Groups are named by ``t`` and ``g``: with t of -1 a component, else a bucket of band t, in which
+    pairs count that share no band before t.
+    """
 
     def run(batches):
         rows: list[tuple[int, int, int]] = []
-        for (_, i, j), own in _groups(batches, 3):
+        for (t, _, i, j), own in _groups(batches, 4):
             own = {r[1]: r for r in own}.values()  # a task run twice, or repeated rows of one document
             sides = [[r for r in own if r[0] == side] for side in ((i, j) if i != j else (i,))]
-            sets = [[np.frombuffer(r[3], np.uint64) for r in side] for side in sides]
             if not all(sides):
                 continue
+            sets = [[np.frombuffer(r[4], np.uint64) for r in side] for side in sides]
             ok = linked(sets[0], sets[1] if i != j else None, threshold)
+            if t >= 0:
+                bands = [np.array([r[3] for r in side], np.int64) for side in sides]
+                ok &= first_shared(bands[0], bands[-1]) == t
             if i == j:
                 np.fill_diagonal(ok, False)
             nodes = [r[1] for side in sides for r in side]
@@ -153,11 +175,32 @@ def _verify(members: DataFrame, threshold: float) -> DataFrame:
                 rows = []
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 3)], names=["node", "peer", "links"])
 
-    own = members.select("root", "i", "j", "side", "node", "n_copies", "grams")
-    own = own.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    own = members.select("t", "g", "i", "j", "side", "node", "n_copies", "bands", "grams")
+    own = own.repartition("t", "g", "i", "j").sortWithinPartitions("t", "g", "i", "j")
     return own.mapInArrow(run, "node long, peer long, links long")
 
 
+def placements(classes: DataFrame) -> DataFrame:
+    """(node, t, g, parts): the groups, buckets or whole components, in which each candidate is compared."""
+    banded = cut(classes.select("node", "n_grams", F.posexplode("bands").alias("t", "g")))  # g tells the band too
+    names = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in (1, 2)]
+    found = banded.groupBy("t", "g").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("size"), F.min("node").alias("lead"), *names).where("n > 1")
+    found = found.groupBy("n", "size", "lead", "x1", "x2").agg(F.min(F.struct("t", "g")).alias("b"))  # the first of those with the same members
+    found = cut(found.select("b.t", "b.g", "n", "size", "lead"))
+    rows = cut(lookup(banded.drop("t"), found, "g", banded.count()))
+    nodes = components(rows.select(F.col("node").alias("u"), F.col("lead").alias("v"))).join(classes.select("node", "n_grams"), "node")
+    nodes = cut(nodes)
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / GRAMS)).cast("int")
+    whole = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("size"))
+    split = found.join(nodes.select(F.col("node").alias("lead"), "root"), "lead").groupBy("root").agg(F.sum(F.col("n") * parts).alias("in_buckets"))
+    whole = cut(whole.join(split, "root").withColumn("dense", F.col("n") * parts <= F.col("in_buckets")))
+    own = cut(lookup(nodes.select("node", "root"), whole, "root", nodes.count()))
+    dense = own.where("dense").select("node", F.lit(-1).alias("t"), F.col("root").alias("g"), parts.alias("parts"))
+    kept = found.join(own.where("not dense").select(F.col("node").alias("lead")), "lead", "left_semi").select("g", "n")
+    sparse = lookup(rows.select("node", "t", "g", "size", F.col("n").alias("members")), kept, "g", rows.count())
+    return dense.unionByName(sparse.select("node", "t", "g", parts.alias("parts")))
+
+
 def _with_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """The n-gram sets of the wanted representatives, from the documents' whole texts."""
     kept = [c for c in wanted.columns if c not in ("rep", "rep_th")]
@@ -191,18 +234,13 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame
     """(doc_id, th, class_id, n_links, n_copies, kept): kept is true for one row of each group."""
     sig = cut(signatures(docs, n).withColumn("uid", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "uid"))
-    classes = sig.where("n_grams > 0").groupBy("k1", "k2").agg(first.alias("f"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"))
-    classes = cut(classes.select("k1", "k2", F.col("f.doc_id").alias("rep"), F.col("f.th").alias("rep_th"), F.col("f.uid").alias("rep_uid"), "n_copies", "bands").withColumn("node", F.monotonically_increasing_id()))
-
-    banded = classes.select("node", F.explode("bands").alias("band"))
-    lead = banded.groupBy("band").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "lead")
-    blocks = components(banded.join(lead, "band").where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v")))
-    sizes = blocks.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    wanted = classes.select("node", "k1", "k2", "rep", "rep_th", "n_copies").join(blocks, "node").join(sizes, "root")
-    wanted = wanted.select("k1", "k2", "rep", "rep_th", "node", "n_copies", "root", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("side"))
-    members = _with_sets(docs, wanted, n)
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    classes = sig.where("n_grams > 0").groupBy("k1", "k2").agg(first.alias("f"), F.count(F.lit(1)).alias("n_copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+    classes = cut(classes.select("k1", "k2", F.col("f.doc_id").alias("rep"), F.col("f.th").alias("rep_th"), F.col("f.uid").alias("rep_uid"), "n_copies", "n_grams", "bands").withColumn("node", F.monotonically_increasing_id()))
+
+    placed = placements(classes).groupBy("node").agg(F.collect_list(F.struct("t", "g", "parts")).alias("groups"))  # a group for each band at most
+    wanted = classes.join(placed, "node").select("k1", "k2", "rep", "rep_th", "node", "n_copies", "bands", "groups")
+    members = _with_sets(docs, wanted, n).withColumn("x", F.explode("groups")).select("node", "n_copies", "bands", "grams", "x.*")
+    dealt = members.withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
     links = cut(_verify(dealt, threshold))
 
@@ -210,8 +248,8 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame
     degree = links.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.drop("bands").join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = cut(named.select("k1", "k2", "rep", "rep_uid", "node", "n_copies", "root", "links"))
-    least = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "rep_uid")).alias("least"))
-    labels = named.join(least, "root").select("k1", "k2", "n_copies", "links", F.col("least.rep").alias("class_id"), F.col("least.rep_uid").alias("class_uid"))
+    least = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "rep_uid")).alias("least"), F.count(F.lit(1)).alias("n"))
+    labels = lookup(named, least, "root", named.count()).select("k1", "k2", "n_copies", "links", F.col("least.rep").alias("class_id"), F.col("least.rep_uid").alias("class_uid"))
     out = sig.join(labels, ["k1", "k2"], "left")
     return out.select(
         "doc_id", "th",
@@ -223,18 +261,18 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents without all but one of each group of linked documents; columns and texts as they were."""
+    """The documents without all but one of each group of linked documents; columns and texts as they were, null ids included."""
     found = ngram_join(docs, n, threshold)
     per = cut(found.groupBy("doc_id", "th").agg(F.count_if("kept").alias("keep"), F.count(F.lit(1)).alias("rows")))
-    gone = per.where("keep = 0").select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"))
-    th = F.xxhash64("text")
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("g_id")) & (th == F.col("g_th")), "left_anti")
-    some = per.where("keep > 0 and keep < rows").select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"))
+    g_id, g_th = spare(docs, "g_id", "g_th")
+    named = lambda where: per.where(where).select(F.col("doc_id").alias(g_id), F.col("th").alias(g_th))
+    same = docs["doc_id"].eqNullSafe(F.col(g_id)) & (F.xxhash64(docs["text"]) == F.col(g_th))
+    out = docs.join(named("keep = 0"), same, "left_anti")
+    some = named("keep > 0 and keep < rows")
     if some.isEmpty():
         return out
-    same = docs["doc_id"].eqNullSafe(F.col("g_id")) & (th == F.col("g_th"))  # repeated rows, of which one stays
-    once = docs.join(some, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    once = docs.join(some, same, "left_semi").dropDuplicates(["doc_id", "text"])  # repeated rows, of which one stays
     return out.join(some, same, "left_anti").unionByName(once)
 
 
-__all__ = ["band_hashes", "keep_one", "linked", "ngram_join", "set_key", "shingle_sets", "signatures"]
+__all__ = ["band_hashes", "keep_one", "linked", "ngram_join", "placements", "set_key", "shingle_sets", "signatures"]
