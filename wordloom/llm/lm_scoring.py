@@ -1,23 +1,27 @@
-"""Stupid-backoff scores of documents under the bigram counts of the whole corpus.
+"""Stupid-backoff scores of documents under the n-gram counts of the whole corpus.
 
 Words are runs of anything but ``[\\x20\\x09-\\x0D]`` in the lower-cased text. With c(.) the counts
-over all documents and N all words, a word v after u scores c(uv)/c(u) if c(uv) >= ``min_count``,
-else ``BACKOFF`` * c(v)/N; a first word scores c(v)/N. A document's score is the sum of the natural
-logarithms, kept as whole billionths so that the order of summing cannot show.
-
-Count tables stay partitioned by hash. Words are counted first; a word's place in that table is its
-number, and a bigram is the pair of numbers, never a hash that two bigrams could share. Bigrams are
-dealt by hash to the partition that holds their counts, every document's once with its count, in a
-packed array for each partition and buffer of documents (about ``BUFFER`` bigrams); there counts and
-bigrams are joined, and what the partition adds to the buffer's documents comes back in one row, to
-be summed where the buffer's rows meet. Bigrams of two words that each make up
-1/1024 of the corpus or more (a million at most by that definition) are counted apart, by partial
-sums, and joined where the document is, so that no partition holds more than 1/1024 of all words
-for one key. The word table is looked up in memory while it has at most ``WORDS_IN_MEMORY`` rows;
-beyond that the same scores come from plain joins (``scores_by_joins``).
+over all documents and N all words, a word w after a context of ``order - 1`` words scores
+c(context w) / c(context) if c(context w) >= ``min_count``, else ``BACKOFF`` times its score after the
+context without its first word; without context it scores c(w) / N. Words near the start of a document
+begin with the shorter context they have. A document's score is the sum of the natural logarithms, kept
+as whole billionths so that the order of summing cannot show.
+
+The n-grams of all levels (2 to ``order``) are exploded into rows of document, context and word, dealt by
+the hash of the context. There a context and all n-grams that begin with it are together, so the counts
+of both are joined to each row in place, by windows over one sort: one shuffle of rows, and no row meets
+a second table. A level counts its n-grams within the longer ones too, and so knows which words a
+higher level has settled. What no level settles goes on to the word counts by a join on the word. Rows
+are summed by document.
+
+Frequent n-grams (a share of 1/HOT of all words or more, so HOT at most for each length) are counted
+first, by partial sums in each buffer, and sent to the explosion: after a frequent context rows are
+dealt by the whole n-gram, and a frequent n-gram is settled where it stands. So no key has more than
+1/HOT of the rows; the sorts and windows spill. Hashes have 64 bits.
 
 Null and empty texts have no words and score 0 with null mean; repeated rows are scored each for
-itself and count each; an empty table gives no rows; other columns are not read.
+itself and count each; texts may be of any length; an empty table gives no rows; other columns are not
+read. A doc_id may be of any type and null.
 """
 
 from __future__ import annotations
@@ -28,21 +32,72 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wordloom.llm.common import BY_SPACE, chunks, cut, mix, partitions, shared_path, ship, word_hashes
+from wordloom.llm.common import BY_SPACE, chunks, cut, mix, ship
 
 BACKOFF = 0.4
 UNIT = 1e9
-#: Rows of the word table that a Python worker may hold (16 bytes each).
-WORDS_IN_MEMORY = 1 << 23
-#: Words with a larger share of the corpus than 1/HEAD are counted apart.
-HEAD = 1024
-#: Bigrams of consecutive documents that are dealt together.
-BUFFER = 1 << 19
+#: N-grams with a larger share of all words than 1/HOT are counted apart.
+HOT = 1024
+#: Rows that leave the explosion together.
+ROWS = 1 << 17
+_A = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _lower(texts: list[str | None]) -> list[str]:
-    return [(t or "").lower() for t in texts]
+def logs(x: np.ndarray) -> np.ndarray:
+    return np.rint(np.log(x) * UNIT).astype(np.int64)
+
+
+def _buffers(texts: list[str | None], order: int):
+    """Yields (text of each word, its place there, hashes, whether it is new, texts that have ended) for each buffer.
+
+    Where a long text goes on from the buffer before, its last words stand in front once more, not new.
+    """
+    at, count, tail = None, 0, np.zeros(0, np.uint64)
+    for idx, counts, w in chunks([(t or "").lower() for t in texts], BY_SPACE):
+        goes_on = idx[0] == at
+        ended = [] if goes_on or at is None else [(at, count, tail)]
+        before = len(tail) if goes_on else 0
+        owner = np.repeat(np.array(idx), counts)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        if goes_on:
+            place[: counts[0]] += count
+            owner = np.concatenate((np.full(before, at), owner))
+            place = np.concatenate((np.arange(count - before, count), place))
+        h = np.concatenate((tail[len(tail) - before :], w.hashes))
+        upto = np.cumsum(counts) + before
+        ends = [(idx[k], int(n), h[max(0, e - min(int(n), order)) : e]) for k, (n, e) in enumerate(zip(counts.tolist(), upto.tolist(), strict=True))]
+        if goes_on:
+            n = count + int(counts[0])
+            ends[0] = (at, n, h[: upto[0]][-min(n, order) :] if n else tail)
+        at, count, tail = ends[-1]
+        yield owner, place, h, np.arange(len(h)) >= before, ended + ends[:-1]
+    if at is not None:
+        none = np.zeros(0, np.int64)
+        yield none, none, np.zeros(0, np.uint64), none.astype(bool), [(at, count, tail)]
+
+
+def _grams(h: np.ndarray, most: int) -> list[np.ndarray]:
+    """Hashes of the n-grams that end at each word, for n of 1 to most; those that begin before the array are not valid."""
+    out = [h]
+    for _ in range(most - 1):
+        last = np.concatenate((np.zeros(1, np.uint64), out[-1][:-1]))[: len(h)]
+        out.append(mix(last * _A + h))
+    return out
+
+
+class Hot:
+    """Frequent n-grams of one length: sorted hashes and their counts."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.counts = np.append(keys[order], np.uint64(2**64 - 1)), np.append(counts[order], 0)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """The counts of the frequent ones among h, 0 for others."""
+        at = np.searchsorted(self.keys[:-1], h)
+        return np.where(self.keys[at] == h, self.counts[at], 0)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -50,258 +105,187 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for _, _, w in chunks(_lower(batch.column(0).to_pylist()), BY_SPACE):
-                keys, n = np.unique(w.hashes, return_counts=True)
+            for _, _, h, new, _ in _buffers(batch.column(0).to_pylist(), 1):
+                keys, n = np.unique(h[new], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     ship(docs.sparkSession)
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def logs(x: np.ndarray) -> np.ndarray:
-    return np.rint(np.log(x) * UNIT).astype(np.int64)
-
-
-class WordTable:
-    """The word table in memory: sorted hashes and the logarithms of their counts; a word's number is its place."""
-
-    held: dict[str, "WordTable"] = {}
-
-    def __init__(self, path: str) -> None:
-        import pyarrow.dataset as ds
-        from pyarrow import fs
-
-        where, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-        t = ds.dataset(base, filesystem=where, format="parquet").to_table(columns=["word", "n"])
-        keys = t.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, n = keys[order], t.column("n").to_numpy()[order]
-        del t, keys, order
-        pa.default_memory_pool().release_unused()
-        self.total = int(n.sum())
-        self.log_n = logs(np.maximum(n, 1))
-        self.head = np.full(len(self.keys), -1, np.int16)
-        most = np.flatnonzero(n * HEAD >= self.total)
-        self.head[most] = np.arange(len(most))
-
-    @classmethod
-    def get(cls, path: str) -> "WordTable":
-        if path not in cls.held:
-            cls.held.clear()  # a worker outlives a query; two tables at once are one too many
-            cls.held[path] = cls(path)
-        return cls.held[path]
+def _hot(counts: DataFrame, total: int) -> Hot:
+    own = counts.where(F.col("n") * HOT >= max(total, 1)).toPandas()  # HOT rows at most, since the n add up to no more than total
+    return Hot(own.iloc[:, 0].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(np.int64))
 
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        keys, inverse = np.unique(h, return_inverse=True)
-        return np.searchsorted(self.keys, keys)[inverse]
 
-
-def _head_counts(docs: DataFrame, table: str) -> DataFrame:
-    """(pair, n) for bigrams of two frequent words; pair is HEAD * u + v."""
+def _hot_grams(docs: DataFrame, shorter: list[Hot], total: int) -> Hot:
+    """Frequent n-grams one word longer than the last of ``shorter``: both their parts are frequent."""
+    sent = docs.sparkSession.sparkContext.broadcast(shorter)
 
     def run(batches):
-        words = WordTable.get(table)
-        count = np.zeros(HEAD * HEAD, np.int64)
+        shorter = sent.value
+        length = len(shorter) + 1
         for batch in batches:
-            last = None  # the text that the buffer before ended in, and the place of its last word
-            for idx, own, w in chunks(_lower(batch.column(0).to_pylist()), BY_SPACE):
-                at = words.head[words.numbers(w.hashes)].astype(np.int64)
-                if last and last[0] == idx[0] and own[0]:  # a long text goes on
-                    at, own = np.concatenate(([last[1]], at)), np.concatenate(([own[0] + 1], own[1:]))
-                if own[-1]:
-                    last = idx[-1], at[-1]
-                elif last and last[0] != idx[-1]:
-                    last = None
-                pair = at[:-1] * HEAD + at[1:]
-                ok = (at[:-1] >= 0) & (at[1:] >= 0)
-                ends = np.cumsum(own)[:-1]
-                ok[ends[(ends > 0) & (ends <= len(ok))] - 1] = False  # the next document's first word
-                count += np.bincount(pair[ok], minlength=HEAD * HEAD)
-        seen = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(count[seen])], names=["pair", "n"])
-
-    return docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-def _dealt(docs: DataFrame, table: str, head: dict[str, np.ndarray], min_count: int, parts: int) -> DataFrame:
-    """For each document a row with part null: what needs no other document. For each buffer of
-    documents a row a part with their other bigrams: runs of (document in the buffer, number of
-    keys), 6 bytes a key and 4 its count."""
-    sent = docs.sparkSession.sparkContext.broadcast(head)
+            for _, place, h, new, _ in _buffers(batch.column(0).to_pylist(), length):
+                grams = _grams(h, length)
+                ok = np.flatnonzero(new & (place >= length - 1) & (shorter[0].of(h) > 0))
+                ok = ok[shorter[-1].of(grams[-2][ok - 1]) > 0]
+                keys, n = np.unique(grams[-1][ok], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+
+    return _hot(docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), total)
+
+
+def _exploded(docs: DataFrame, order: int, hot: list[Hot], total: int, min_count: int) -> DataFrame:
+    """Rows (uid, level, key, w, n_c, n_g, back, longer...) of n-grams, and one (uid, doc_id, n_words, score) for each document.
+
+    ``key`` is what a row is dealt by: its context, or more of the n-gram where n_c or n_g (the counts of the
+    context and the n-gram) are known; w is null where a text ends on the context. ``back`` is the number of
+    levels above, and the columns ``longer`` hold their contexts. score is what is settled already.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
+    longer = [f"l{k}" for k in range(3, order + 1)]
+    names = ["uid", "level", "key", "w", "n_c", "n_g", "back", *longer, "doc_id", "n_words", "score"]
+    kinds = {"level": pa.int8(), "back": pa.int8()}
+    schema = T.StructType.fromDDL("uid long, level tinyint, key long, w long, n_c long, n_g long, back tinyint" + "".join(f", {x} long" for x in longer))
+    schema = T.StructType([*schema.fields, T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL("n_words long, score long").fields])
 
     def run(batches):
-        words, head = WordTable.get(table), sent.value
-        n_head = np.zeros(HEAD * HEAD, np.int64)
-        n_head[head["pair"]] = head["n"]
-        log_total, log_backoff = int(logs(np.array([max(words.total, 1)]))[0]), int(logs(np.array([BACKOFF]))[0])
-        buffer = TaskContext.get().partitionId() << 32
-        rows: list[tuple] = []
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        hot = sent.value
+        log_total, log_back = int(logs(np.array([max(total, 1)]))[0]), int(logs(np.array([BACKOFF]))[0])
+        uid, parts, size = TaskContext.get().partitionId() << 33, [], 0
 
-        def flush():
-            nonlocal rows, held, size, buffer
-            keys, times = (np.concatenate(x) for x in zip(*held))
-            owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(k) for k, _ in held])
-            part = (mix(keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            part, owner, times = part[order], owner[order], times[order].astype("<u4")
-            packed = keys[order].astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]
-            for a, b in _equal(part):
-                own, who = times[a:b], owner[a:b]
-                runs = np.array([(who[i], j - i) for i, j in _equal(who)], "<u4")
-                rows.append((buffer, int(part[a]), None, None, None, None, runs.tobytes(), packed[a:b].tobytes(), own.tobytes() if (own > 1).any() else None))
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _DEALT.values())], names=list(_DEALT))
-            rows, held, size, buffer = [], [], 0, buffer + 1
-            return out
+        def put(n: int, **columns):
+            nonlocal size
+            if n:
+                parts.append((n, columns))
+                size += n
 
+        def flush():
+            nonlocal parts, size
+            out = []
+            for name in names[:7] + longer:
+                own = [c.get(name) for _, c in parts]
+                own = [pa.array(x, kinds.get(name, pa.int64())) if x is not None else pa.nulls(n, kinds.get(name, pa.int64())) for x, (n, _) in zip(own, parts)]
+                out.append(pa.concat_arrays(own))
+            parts, size, n = [], 0, len(out[0])
+            return pa.RecordBatch.from_arrays([*out, pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+
+        signed = lambda x: x.view(np.int64)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for i, h in word_hashes(_lower(batch.column(1).to_pylist())):
-                at, score = words.numbers(h), 0
-                if len(at):
-                    score = int(words.log_n[at[0]]) - log_total
-                u, v = at[:-1], at[1:]
-                hu, hv = words.head[u].astype(np.int64), words.head[v].astype(np.int64)
-                frequent = (hu >= 0) & (hv >= 0)
-                n = n_head[hu[frequent] * HEAD + hv[frequent]]
-                kept = n >= min_count
-                score += int((logs(n[kept]) - words.log_n[u[frequent][kept]]).sum())
-                score += int((words.log_n[v[frequent][~kept]] - log_total + log_backoff).sum())
-                rows.append((buffer, None, len(held), ids[i], len(h), score, None, None, None))
-                held.append(np.unique((u[~frequent] << 24) | v[~frequent], return_counts=True))
-                size += len(held[-1][0])
-                if size >= BUFFER or len(held) >= BUFFER // 8:
+            texts, id_type = batch.column(1).to_pylist(), batch.column(0).type
+            n_words, score = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+            for owner, place, h, new, ended in _buffers(texts, order):
+                grams, known = _grams(h, order), [x.of(g) for x, g in zip(hot, _grams(h, order))]
+                np.add.at(n_words, owner[new], 1)
+
+                def alone(at, back):
+                    """Words that no level settles, after ``back`` steps."""
+                    n = known[0][at]
+                    np.add.at(score, owner[at], np.where(n > 0, logs(np.maximum(n, 1)) - log_total + back * log_back, 0))
+                    at, back = at[n == 0], back[n == 0]
+                    put(len(at), uid=uid + owner[at], level=np.ones(len(at), np.int8), key=signed(h[at]), w=signed(h[at]), back=back.astype(np.int8))
+
+                first = np.flatnonzero(new & (place == 0))
+                alone(first, np.zeros(len(first), np.int64))
+                for k in range(2, order + 1):
+                    at = np.flatnonzero(new & (place >= k - 1))
+                    back = np.minimum(place[at] + 1, order) - k
+                    n_c, n_g = known[k - 2][at - 1], known[k - 1][at]
+                    above = known[k][at] if k < order else np.zeros(len(at), np.int64)
+                    above = np.where(back > 0, above, 0)
+                    settled = (n_g > 0) & ((above > 0) | (back == 0))  # all that counts is known
+                    here = settled & (above < min_count) & (n_g >= min_count)
+                    np.add.at(score, owner[at[here]], logs(np.maximum(n_g[here], 1)) - logs(np.maximum(n_c[here], 1)) + back[here] * log_back)
+                    if k == 2:
+                        lost = settled & (above < min_count) & (n_g < min_count)
+                        alone(at[lost], back[lost] + 1)
+                    go = ~settled
+                    at, back, n_c, n_g = at[go], back[go], n_c[go], n_g[go]
+                    key = np.where(n_g > 0, grams[min(k, order - 1)][at], np.where(n_c > 0, grams[k - 1][at], grams[k - 2][at - 1]))
+                    more = {f"l{j}": pa.array(signed(grams[j - 2][at - 1]), mask=place[at] < j - 1) for j in range(k + 1, order + 1)}
+                    put(
+                        len(at), uid=uid + owner[at], level=np.full(len(at), k, np.int8), key=signed(key), w=signed(h[at]), back=back.astype(np.int8),
+                        n_c=pa.array(n_c, mask=n_c == 0), n_g=pa.array(n_g, mask=n_g == 0), **more,
+                    )
+                for i, n, tail in ended:  # the end of a text counts for its last contexts
+                    last = _grams(tail, order)
+                    for k in range(2, order + 1):
+                        if n >= k - 1 and not hot[k - 2].of(last[k - 2][-1:])[0]:
+                            put(1, uid=np.array([uid + i]), level=np.array([k], np.int8), key=signed(last[k - 2][-1:]))
+                if size >= ROWS:
                     yield flush()
-        if held:
-            yield flush()
-
-    return docs.select("doc_id", "text").mapInArrow(run, "buffer long, part int, at int, doc_id long, n_words long, score long, runs binary, keys binary, counts binary")
-
-
-_DEALT = {"buffer": pa.int64(), "part": pa.int32(), "at": pa.int32(), "doc_id": pa.int64(), "n_words": pa.int64(), "score": pa.int64(), "runs": pa.binary(), "keys": pa.binary(), "counts": pa.binary()}
-_SCORED = {"buffer": pa.int64(), "at": pa.int32(), "doc_id": pa.int64(), "n_words": pa.int64(), "score": pa.int64(), "docs": pa.binary(), "sums": pa.binary()}
-
-
-def _equal(x: np.ndarray) -> list[tuple[int, int]]:
-    """(begin, end) of the runs of equal values."""
-    if not len(x):
-        return []
-    cuts = np.concatenate(([0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)])).tolist()
-    return list(zip(cuts[:-1], cuts[1:]))
-
-
-def _joined(dealt: DataFrame, table: str, min_count: int, parts: int) -> DataFrame:
-    """For each part and buffer a row of what the part's bigrams add to the buffer's documents; and the documents' own rows."""
-
-    def pack(rows: list[tuple]):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SCORED.values())], names=list(_SCORED))
-
-    def score(held: list[tuple]):
-        words = WordTable.get(table)
-        log_total, log_backoff = int(logs(np.array([words.total]))[0]), int(logs(np.array([BACKOFF]))[0])
-        sizes = np.array([len(k) // 6 for _, _, k, _ in held])
-        flat = np.zeros((int(sizes.sum()), 8), np.uint8)
-        flat[:, :6] = np.frombuffer(b"".join(k for _, _, k, _ in held), np.uint8).reshape(-1, 6)
-        times = np.concatenate([np.frombuffer(c, "<u4") if c else np.ones(s, np.uint32) for (_, _, _, c), s in zip(held, sizes.tolist(), strict=True)]).astype(np.int64)
-        keys, inverse = np.unique(flat.view("<i8").reshape(-1), return_inverse=True)
-        del flat
-        n = np.bincount(inverse, weights=times, minlength=len(keys)).astype(np.int64)
-        u, v = keys >> 24, keys & (1 << 24) - 1
-        each = np.where(n >= min_count, logs(np.maximum(n, 1)) - words.log_n[u], words.log_n[v] - log_total + log_backoff)
-        upto = np.concatenate(([0], np.cumsum(each[inverse] * times)))
-        rows, at = [], 0
-        for (buffer, runs, _, _), size in zip(held, sizes.tolist(), strict=True):
-            who, many = np.frombuffer(runs, "<u4").reshape(-1, 2).T
-            ends = at + np.cumsum(many.astype(np.int64))
-            sums = upto[ends] - upto[ends - many]
-            rows.append((buffer, None, None, None, None, who.tobytes(), sums.astype("<i8").tobytes()))
-            at += size
-        return pack(rows)
-
-    def run(batches):
-        held: list[tuple] = []
-        now = None
-        for batch in batches:
-            rows = []
-            for part, buffer, runs, keys, counts, at, doc_id, n_words, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if part is None:
-                    rows.append((buffer, at, doc_id, n_words, own, None, None))
-                    continue
-                if part != now:
-                    if held:
-                        yield score(held)
-                    now, held = part, []
-                held.append((buffer, runs, keys, counts))
-            if rows:
-                yield pack(rows)
-        if held:
-            yield score(held)
-
-    own = dealt.select("part", "buffer", "runs", "keys", "counts", "at", "doc_id", "n_words", "score")
-    to = F.coalesce("part", F.pmod(F.xxhash64("buffer", "at"), F.lit(parts)).cast("int"))
-    return own.repartitionById(parts, to).sortWithinPartitions("part").mapInArrow(run, "buffer long, at int, doc_id long, n_words long, score long, docs binary, sums binary")
-
-
-def _summed(joined: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, n_words, score): the rows of each buffer brought together."""
-
-    def finish(own: list[tuple], more: list[tuple]):
-        total = np.zeros(len(own), np.int64)
-        for docs, sums in more:
-            total[np.frombuffer(docs, "<u4")] += np.frombuffer(sums, "<i8")  # a document stands once in a row
-        at, ids, n, score = zip(*own)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(total[list(at)] + np.array(score, np.int64))], names=["doc_id", "n_words", "score"])
+            if size:
+                yield flush()
+            own = pa.array(uid + np.arange(len(texts)))
+            none = [pa.nulls(len(texts), kinds.get(x, pa.int64())) for x in names[1:7] + longer]
+            none[1] = own  # the key
+            yield pa.RecordBatch.from_arrays([own, *none, batch.column(0), pa.array(n_words), pa.array(score)], names=names)
+            uid += len(texts)
 
-    def run(batches):
-        own: list[tuple] = []
-        more: list[tuple] = []
-        now = None
-        for batch in batches:
-            for buffer, at, doc_id, n_words, score, docs, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if buffer != now:
-                    if own:
-                        yield finish(own, more)
-                    now, own, more = buffer, [], []
-                if docs is None:
-                    own.append((at, doc_id, n_words, score))
-                else:
-                    more.append((docs, sums))
-        if own:
-            yield finish(own, more)
-
-    return joined.repartition(parts, "buffer").sortWithinPartitions("buffer").mapInArrow(run, "doc_id long, n_words long, score long")
-
-
-def scores(docs: DataFrame, min_count: int = 2, parts: int | None = None, in_memory: int = WORDS_IN_MEMORY) -> DataFrame:
-    """(doc_id, n_words, log_score, mean_log_score) of each document."""
-    spark = docs.sparkSession
-    table = shared_path(spark, "words")
-    word_counts(docs).write.parquet(table)
-    if spark.read.parquet(table).count() > in_memory:
-        return scores_by_joins(docs, min_count)
-    parts = parts or 2 * partitions(spark)  # a task holds a part's bigrams in arrays, several times over while it sorts them
-    head = _head_counts(docs, table).toPandas()  # at most HEAD ** 2 rows
-    dealt = _dealt(docs, table, {k: head[k].to_numpy() for k in head}, min_count, parts)
-    return _finished(_summed(_joined(dealt, table, min_count, parts), parts))
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _finished(scored: DataFrame) -> DataFrame:
-    total = F.round(F.col("score") / UNIT, 4)
-    return scored.select("doc_id", "n_words", total.alias("log_score"), F.when(F.col("n_words") > 0, F.round(F.col("score") / UNIT / F.col("n_words"), 4)).alias("mean_log_score"))
-
+def scores(docs: DataFrame, order: int = 2, min_count: int = 2) -> DataFrame:
+    """(doc_id, n_words, log_score, mean_log_score) of each document; order is 2 or more."""
+    spark = docs.sparkSession
+    words = cut(word_counts(docs), "words")
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = [_hot(words, total)]
+    for _ in range(order - 1):
+        hot.append(_hot_grams(docs, hot, total))
+    frequent = F.col("n") * HOT >= max(total, 1)
+
+    rows = _exploded(docs, order, hot, total, min_count).repartition("key")
+    longer = [f"l{k}" for k in range(3, order + 1)]
+    over = lambda *c: F.count(F.lit(1)).over(W.partitionBy("key", "level", *c))
+    above = F.lit(True)
+    for x in longer:  # one sort for each level above, the last of which serves the windows below
+        rows = rows.withColumn(f"n_{x}", F.when(F.col(x).isNotNull(), over("w", x)))
+        above &= F.coalesce(F.col(f"n_{x}") < min_count, F.lit(True))
+    rows = rows.withColumn("n_g", F.coalesce("n_g", over("w"))).withColumn("n_c", F.coalesce("n_c", over()))
+    rows = rows.join(F.broadcast(words.where(frequent).select(F.col("word").alias("w"), F.col("n").alias("n_w"))), "w", "left")  # HOT rows at most
 
-def scores_by_joins(docs: DataFrame, min_count: int = 2) -> DataFrame:
-    """The same scores from exploded words and plain joins; for word tables that no worker can hold."""
+    log = lambda c: F.rint(F.log(c) * UNIT).cast("long")
+    log_total, log_back = int(logs(np.array([max(total, 1)]))[0]), int(logs(np.array([BACKOFF]))[0])
+    live = F.col("w").isNotNull() & (F.col("level") > 1) & above
+    ok = F.col("n_g") >= min_count
+    fails = (live & ~ok & (F.col("level") == 2)) | (F.col("level") == 1)  # to be scored by the word alone
+    back = F.col("back").cast("long")
+    steps = back + F.when(F.col("level") == 2, 1).otherwise(0)
+    part = F.when(live & ok, log(F.col("n_g")) - log(F.col("n_c")) + back * log_back)
+    part = part.when(fails, steps * log_back - log_total + F.coalesce(log(F.col("n_w")), F.lit(0))).otherwise(F.coalesce("score", F.lit(0)))
+    word = F.when(fails & F.col("n_w").isNull(), F.col("w"))
+    own = rows.select("uid", "doc_id", "n_words", part.alias("part"), word.alias("word")).where("part <> 0 or word is not null or n_words is not null")
+    own = own.groupBy("uid", "word").agg(F.sum("part").alias("part"), F.count("word").alias("times"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"))
+    own = cut(own, "parts")
+    found = own.where("word is not null").join(words.where(~frequent), "word")
+    both = own.where("word is null").drop("word", "times").unionByName(found.select("uid", "doc_id", "n_words", (F.col("part") + F.col("times") * log(F.col("n"))).alias("part")))
+    out = both.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("part").alias("score"))
+    score = F.round(F.col("score") / UNIT, 4)
+    return out.select("doc_id", "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, F.round(F.col("score") / UNIT / F.col("n_words"), 4)).alias("mean_log_score"))
+
+
+def scores_by_joins(docs: DataFrame, order: int = 2, min_count: int = 2) -> DataFrame:
+    """The same scores from plain joins of exploded words with a table of counts for each level; what tests compare with."""
     numbered = cut(docs.select("doc_id", F.filter(F.split(F.lower("text"), "[ \t\n\x0b\x0c\r]+"), lambda x: x != "").alias("words")).withColumn("uid", F.monotonically_increasing_id()))
-    words = numbered.select("uid", F.posexplode("words").alias("at", "v"))
-    words = words.withColumn("u", F.lag("v").over(W.partitionBy("uid").orderBy("at")))
-    one = words.groupBy("v").agg(F.count(F.lit(1)).alias("n_v"))
-    two = words.where("u is not null").groupBy("u", "v").agg(F.count(F.lit(1)).alias("n_uv"))
-    total = max(1, words.count())
+    rows = numbered.select("uid", F.posexplode("words").alias("at", "v1"))
+    by = W.partitionBy("uid").orderBy("at")
+    for k in range(2, order + 1):
+        rows = rows.withColumn(f"v{k}", F.lag("v1", k - 1).over(by))
+    total = max(1, rows.count())
     log = lambda c: F.rint(F.log(c) * UNIT).cast("long")
-    far = words.join(two, ["u", "v"], "left").join(one, "v").join(one.select(F.col("v").alias("u"), F.col("n_v").alias("n_u")), "u", "left")
-    back = log(F.col("n_v")) - int(np.rint(np.log(total) * UNIT))
-    each = F.when(F.col("u").isNull(), back).when(F.col("n_uv") >= min_count, log(F.col("n_uv")) - log(F.col("n_u"))).otherwise(back + F.lit(int(np.rint(np.log(BACKOFF) * UNIT))))
-    sums = far.groupBy("uid").agg(F.sum(each).alias("more"))
-    return _finished(numbered.join(sums, "uid", "left").select("doc_id", F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("n_words"), F.coalesce("more", F.lit(0)).alias("score")))
+    step = int(np.rint(np.log(BACKOFF) * UNIT))
+    counted = {k: rows.where(f"v{k} is not null").groupBy(*(f"v{j}" for j in range(1, k + 1))).agg(F.count(F.lit(1)).alias(f"n{k}")) for k in range(1, order + 1)}
+    for k in range(1, order + 1):
+        names = [f"v{j}" for j in range(1, k + 1)]
+        rows = rows.join(counted[k], names, "left")
+        if k > 1:  # the context: the same table, its words one place further back
+            context = counted[k - 1].select(*(F.col(f"v{j}").alias(f"v{j + 1}") for j in range(1, k)), F.col(f"n{k - 1}").alias(f"c{k}"))
+            rows = rows.join(context, [f"v{j + 1}" for j in range(1, k)], "left")
+    score = log(F.col("n1")) - int(np.rint(np.log(total) * UNIT))
+    for k in range(2, order + 1):
+        score = F.when(F.col(f"v{k}").isNull(), score).when(F.col(f"n{k}") >= min_count, log(F.col(f"n{k}")) - log(F.col(f"c{k}"))).otherwise(score + step)
+    sums = rows.groupBy("uid").agg(F.sum(score).alias("score"))
+    out = numbered.join(sums, "uid", "left").select("doc_id", F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("n_words"), F.coalesce("score", F.lit(0)).alias("score"))
+    return out.select("doc_id", "n_words", F.round(F.col("score") / UNIT, 4).alias("log_score"), F.when(F.col("n_words") > 0, F.round(F.col("score") / UNIT / F.col("n_words"), 4)).alias("mean_log_score"))
