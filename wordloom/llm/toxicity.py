@@ -10,7 +10,8 @@ by a hash of doc_id) and at most ``active`` buckets, those whose share differs m
 labels. Scoring reads every document whole. Null and empty texts get the score of a document
 without any term; labels that are null or of unknown documents are not read; without both labels in
 the sample the score is the share of toxic rows (0 if there are none); repeated rows are scored
-each for itself; other columns are not read.
+each for itself; other columns are passed on whatever their names. A doc_id may be of any type and null;
+labels are matched to it as text.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.common import ALNUM, chunks, mix, ship
+from wordloom.llm.common import ALNUM, chunks, cut, mix, ship, spare
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5)
@@ -69,33 +70,22 @@ def sigmoid(x: np.ndarray | float) -> np.ndarray | float:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def train_machine(rows: list[tuple[np.ndarray, int]], active: int, factors: int = 8, epochs: int = 30, seed: int = 0) -> Machine:
-    """Adagrad on the logistic loss, over the buckets that tell the labels apart."""
+def train_machine(rows: list[tuple[np.ndarray, int]], buckets: np.ndarray, factors: int = 8, epochs: int = 30, seed: int = 0) -> Machine:
+    """Adagrad on the logistic loss; rows hold places in ``buckets`` and a label."""
     y = np.array([r[1] for r in rows], float)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Machine(float(np.log(max(share, 1e-12) / max(1 - share, 1e-12))))
-    n1, n0 = y.sum(), (1 - y).sum()
-    count = np.zeros((2, BUCKETS))
-    for terms, label in rows:
-        count[label, terms] += 1
-    p1, p0, p = count[1] / n1, count[0] / n0, count.sum(0) / len(y)
-    z = (p1 - p0) ** 2 / np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12)
-    z[count.sum(0) < 3] = 0
-    own = np.argsort(-z, kind="stable")[:active]
-    own = own[z[own] > 12].astype(np.int32)
-    model = Machine(float(np.log(n1 / n0)), own, np.zeros(len(own)), np.random.default_rng(seed).normal(0, 0.01, (len(own), factors)))
-    at = model.table()
-    seen = [at[t] for t, _ in rows]
-    seen = [t[t >= 0] for t in seen]
-    rng, gw, gv, gb = np.random.default_rng(seed), np.full(len(own), 1e-6), np.full(model.vectors.shape, 1e-6), 1e-6
+    n = len(buckets)
+    model = Machine(float(np.log(y.sum() / (1 - y).sum())), buckets, np.zeros(n), np.random.default_rng(seed).normal(0, 0.01, (n, factors)))
+    rng, gw, gv, gb = np.random.default_rng(seed), np.full(n, 1e-6), np.full(model.vectors.shape, 1e-6), 1e-6
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for a in range(0, len(rows), 512):
             take = order[a : a + 512]
-            x = np.zeros((len(take), len(own)), np.float32)
+            x = np.zeros((len(take), n), np.float32)
             for k, i in enumerate(take):
-                x[k, seen[i]] = 1
+                x[k, rows[i][0]] = 1
             sums = x @ model.vectors
             out = model.bias + x @ model.weights + 0.5 * (sums**2 - x @ model.vectors**2).sum(1)
             err = (sigmoid(out) - y[take]) / len(take)
@@ -110,33 +100,55 @@ def train_machine(rows: list[tuple[np.ndarray, int]], active: int, factors: int
     return model
 
 
+def telling_buckets(rows: DataFrame, active: int) -> np.ndarray:
+    """Up to ``active`` buckets in which the labels of rows (label, terms) differ most: a z-square of 12 at least, three rows at least."""
+    total = rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+    n1, n0 = (max(int(x), 1) for x in total)
+    own = rows.select("label", F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.count_if(F.col("label") == 1).alias("c1"), F.count_if(F.col("label") == 0).alias("c0"))
+    p, c1, c0 = (F.col("c1") + F.col("c0")) / (n1 + n0), F.col("c1"), F.col("c0")
+    z = F.pow(c1 / n1 - c0 / n0, 2) / F.greatest(p * (1 - p) * (1 / n1 + 1 / n0), F.lit(1e-12))
+    best = own.where(c1 + c0 >= 3).select("bucket", z.alias("z")).where("z > 12").orderBy(F.desc("z"), "bucket").limit(active)
+    return np.array([r[0] for r in best.collect()], np.int32)  # `active` rows at most
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 16_000, active: int = 4096) -> Machine:
+    """Learns from at most ``sample`` rows, of which the driver sees the labels and the places of at most ``active`` buckets (2 bytes each)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    known = known.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
     half = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for k in (0, 1)]
     chosen = half[0].unionByName(half[1])
 
     def run(batches):
         for batch in batches:
-            found: dict[int, list] = {}
+            found: list[list] = [[] for _ in range(batch.num_rows)]
             for i, b in term_buckets(batch.column(0).to_pylist()):
-                found.setdefault(i, []).append(b)
-            terms = [np.unique(np.concatenate(found[i])).tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), batch.column(1), batch.column(2)], names=["terms", "label", "doc_id"])
+                found[i].append(np.unique(b))
+            terms = [np.unique(np.concatenate(x)) if x else np.zeros(0, np.int32) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.list_(pa.int32())), batch.column(1), batch.column(2)], names=["terms", "label", "doc_id"])
 
     ship(docs.sparkSession)
-    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "doc_id")  # at most `sample` rows
-    rows = sorted(own.mapInArrow(run, "terms binary, label int, doc_id long").collect(), key=lambda r: (r[2], len(r[0])))
-    return train_machine([(np.frombuffer(r[0], np.int32), r[1]) for r in rows], active)
+    own = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "doc_id")  # `chosen` has at most `sample` rows
+    own = cut(own.mapInArrow(run, "terms array<int>, label int, doc_id string"), "terms")
+    buckets = telling_buckets(own, active)
+    at = Machine(0.0, buckets).table()
+
+    def places(batches):
+        for batch in batches:
+            flat = [at[np.array(t, np.int64)] for t in batch.column(0).to_pylist()]
+            packed = [x[x >= 0].astype("<u2").tobytes() for x in flat]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1), batch.column(2)], names=["terms", "label", "doc_id"])
+
+    rows = own.mapInArrow(places, "terms binary, label int, doc_id string").collect()
+    rows.sort(key=lambda r: (len(r[2]), r[2], r[0]))
+    return train_machine([(np.frombuffer(r[0], "<u2"), r[1]) for r in rows], buckets)
 
 
-def score(docs: DataFrame, model: Machine) -> DataFrame:
-    """The documents' columns and ``score`` (0 to 1) in a column of that name; one of that name in docs is replaced."""
-    spark = docs.sparkSession
+def score(docs: DataFrame, model: Machine, name: str = "score") -> DataFrame:
+    """The documents' columns and a last one, ``name``, of scores (0 to 1); one of that name in docs is replaced."""
+    docs, spark = docs.drop(name), docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c != "score"]
-    at = rest.index("text")
+    at = docs.columns.index("text")
 
     def run(batches):
         model = sent.value
@@ -145,9 +157,14 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
             found: list[list] = [[] for _ in range(batch.num_rows)]
             for i, b in term_buckets(batch.column(at).to_pylist()):
                 own = table[b]
-                found[i].append(own[own >= 0])
+                found[i].append(np.unique(own[own >= 0]))
             out = np.array([float(sigmoid(model.margin(np.unique(np.concatenate(x))))) if x else 0.0 for x in found])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*rest, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
 
-    own = docs.select(*(f"`{c}`" for c in rest))
-    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("score", T.DoubleType())]))
+def drop_toxic(docs: DataFrame, model: Machine, limit: float = 0.7) -> DataFrame:
+    """The documents that score less than the limit; columns as they were."""
+    (name,) = spare(docs, "score")
+    return score(docs, model, name).where(F.col(name) < limit).drop(name)
