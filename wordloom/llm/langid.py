@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import ship
+from wordloom.llm.common import ship, with_id
 from wordloom.llm.toxicity import held_out
 
 BLOCK = 1024
@@ -188,4 +188,4 @@ def predict(docs: DataFrame, parser: Parser) -> DataFrame:
             best, share = np.where(none, len(names) - 1, best), np.where(none, 0.0, share)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(share, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, with_id(docs, "lang_pred string", "score double"))

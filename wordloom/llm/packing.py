@@ -7,7 +7,7 @@ segment tree indexed by remaining capacity finds the open window that the piece
 Only spans travel; ids stay where they were made.
 
 Nulls and empty texts give one piece with the closing id alone; repeated rows are packed each for
-itself; an empty table gives no rows; other columns are not read.
+itself; an empty table gives no rows; other columns are not read. A doc_id may be of any type and null.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import cut, ship
+from wordloom.llm.common import cut, ship, with_id
 
 #: Pieces that are packed together.
 GROUP = 1 << 16
 
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+_PIECES = ("start long", "length long", "ids_crc32 long", "doc_tokens long")
 
 
 class CapacityTree:
@@ -94,7 +94,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
         from wordloom.llm.tokens import documents
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             rows: list[tuple] = []
             for i, parts in documents(tokenizer, batch.column(1).to_pylist()):
                 own, start, held = [], 0, np.zeros(0, np.uint32)
@@ -107,11 +106,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
                         own.append((start + a, len(piece), zlib.crc32(piece.astype("<u4").tobytes())))
                     start, held = start + full, held[full:]
                 total = own[-1][0] + own[-1][1]
-                rows += [(ids[i], *x, total) for x in own]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                rows += [(i, *x, total) for x in own]
+            at, *rest = zip(*rows) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in rest)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, _PIECES)
+    return docs.select("doc_id", "text").mapInArrow(run, with_id(docs, *_PIECES))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, group: int = GROUP) -> DataFrame:
@@ -125,7 +125,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, group: int = GRO
         return pdf.assign(window=window, offset=offset)
 
     dealt = made.withColumn("group", F.pmod(F.xxhash64("piece"), F.lit(groups)))
-    packed = cut(dealt.groupBy("group").applyInPandas(run, f"{_PIECES}, piece long, group long, window long, offset long"))
+    packed = cut(dealt.groupBy("group").applyInPandas(run, with_id(docs, *_PIECES, "piece long", "group long", "window long", "offset long")))
     first = packed.groupBy("group").agg((F.max("window") + 1).alias("n"))
     first = first.select("group", (F.sum("n").over(W.orderBy("group")) - F.col("n")).alias("first"))
     out = packed.join(first, "group")

@@ -13,11 +13,12 @@ name and renamed, so a repeated task replaces its own file as a whole.
 
 Nulls and empty texts give the closing id alone; rows that share a doc_id stay rows of their own,
 one after the other; very long texts run over several blocks; an empty table gives no shards with
-documents; other columns are not read.
+documents; other columns are not read. A doc_id is a whole number or null; any other type is an error.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.llm.common import cut, drop_path, partitions, shared_path, ship
 
@@ -56,6 +58,7 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 def _fs(path: str):
     from pyarrow import fs
 
+    path = re.sub("^s3[an]://", "s3://", path)  # Hadoop's names of that store
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
 
@@ -102,6 +105,9 @@ def _tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 def write(docs: DataFrame, tokenizer: str, path: str) -> list[tuple[int, str, int, int, int]]:
     """Writes the table; returns (shard, file, documents, ids, bytes) of each shard in order."""
+    if docs.schema["doc_id"].dataType not in (T.LongType(), T.IntegerType(), T.ShortType(), T.ByteType()):
+        raise TypeError("token files hold whole numbers as doc_id")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
     stage = shared_path(spark, "ids")
     _tokenized(docs, tokenizer).write.option("compression", "zstd").parquet(stage)
