@@ -101,9 +101,10 @@ def test_rows_of_one_id_are_judged_each_by_its_text(spark, tables):
     assert sorted((str(r.doc_id), r.item_id, r.start_word, r.n_words, r.edits) for r in found) == [("1", 1, 0, 20, 0), ("None", 1, 0, 20, 0)]
 
 
-@pytest.mark.parametrize("hot", [1, 3, 8, 1024])
-def test_lm_scores_of_any_order_and_share(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("words", "hot"), [(1, 1), (4, 3), (1 << 20, 8), (1 << 20, 1024)])
+def test_lm_scores_of_any_order_and_share(spark, monkeypatch, words, hot):
     monkeypatch.setattr(lm_scoring, "HOT", hot)
+    monkeypatch.setattr(lm_scoring, "WORDS", words)
     rng = random.Random(hot)
     texts = [" ".join(rng.choices("a b c d e f g h".split(), [16, 8, 4, 2, 1, 1, 1, 1], k=rng.randint(0, 40))) for _ in range(40)] + ["a b a b a b", "a", "b a", "", None, "once only said"]
     docs = spark.createDataFrame([(k if k % 7 else None, t) for k, t in enumerate(texts)], "doc_id int, text string")

@@ -7,17 +7,18 @@ context without its first word; without context it scores c(w) / N. Words near t
 begin with the shorter context they have. A document's score is the sum of the natural logarithms, kept
 as whole billionths so that the order of summing cannot show.
 
-The n-grams of all levels (2 to ``order``) are exploded into rows of document, context and word, dealt by
-the hash of the context. There a context and all n-grams that begin with it are together, so the counts
-of both are joined to each row in place, by windows over one sort: one shuffle of rows, and no row meets
-a second table. A level counts its n-grams within the longer ones too, and so knows which words a
-higher level has settled. What no level settles goes on to the word counts by a join on the word. Rows
-are summed by document.
-
-Frequent n-grams (a share of 1/HOT of all words or more, so HOT at most for each length) are counted
-first, by partial sums in each buffer, and sent to the explosion: after a frequent context rows are
-dealt by the whole n-gram, and a frequent n-gram is settled where it stands. So no key has more than
-1/HOT of the rows; the sorts and windows spill. Hashes have 64 bits.
+The n-grams of all levels (2 to ``order``) are exploded into rows of document, context and word and dealt
+by the hash of the n-gram, where a window joins each row with the count of its n-gram: one shuffle of
+rows, and the sorts and windows spill. Contexts of two words or more are dealt by the context and
+counted in the same way; contexts of one word and words that no level settles are joined with the table
+of word counts. A level counts its n-grams within the longer ones too, and so knows which words a
+higher level has settled. Rows are summed by document.
+
+Words with a share of 1/WORDS of the corpus or more (WORDS at most) are sent to the tasks with their
+counts: rows name them by rank, and a document's score starts with what they are worth without context.
+Longer n-grams with a share of 1/HOT or more (HOT at most for each length) are counted by partial sums
+in each buffer and settled where they stand; after such a context rows are dealt by the n-gram. So no key
+has more than 1/HOT of the rows. Other words are named by 63 bits of hash.
 
 Null and empty texts have no words and score 0 with null mean; repeated rows are scored each for
 itself and count each; texts may be of any length; an empty table gives no rows; other columns are not
@@ -38,11 +39,11 @@ from wordloom.llm.common import BY_SPACE, chunks, cut, mix, ship
 
 BACKOFF = 0.4
 UNIT = 1e9
-#: N-grams with a larger share of all words than 1/HOT are counted apart.
-HOT = 1024
+#: Words with a larger share of all words than 1/WORDS are known to every task; longer n-grams from a share of 1/HOT.
+WORDS, HOT = 1 << 20, 1024
 #: Rows that leave the explosion together.
 ROWS = 1 << 17
-_A = np.uint64(0x9E3779B97F4A7C15)
+_A, _SIGN, _RANKS = np.uint64(0x9E3779B97F4A7C15), np.int64(-(1 << 63)), 20
 
 
 def logs(x: np.ndarray) -> np.ndarray:
@@ -88,16 +89,19 @@ def _grams(h: np.ndarray, most: int) -> list[np.ndarray]:
 
 
 class Hot:
-    """Frequent n-grams of one length: sorted hashes and their counts."""
+    """Frequent n-grams of one length: sorted hashes, counts, and ranks by count."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
         order = np.argsort(keys)
         self.keys, self.counts = np.append(keys[order], np.uint64(2**64 - 1)), np.append(counts[order], 0)
+        self.ranks = np.empty(len(order) + 1, np.int64)
+        self.ranks[np.lexsort((self.keys, -self.counts))] = np.arange(len(order) + 1)
 
-    def of(self, h: np.ndarray) -> np.ndarray:
-        """The counts of the frequent ones among h, 0 for others."""
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, codes) of h: 0 and the hash with its sign bit set for those that are not frequent, else the rank as code."""
         at = np.searchsorted(self.keys[:-1], h)
-        return np.where(self.keys[at] == h, self.counts[at], 0)
+        hit = (self.keys[at] == h) & (self.counts[at] > 0)
+        return np.where(hit, self.counts[at], 0), np.where(hit, self.ranks[at], h.view(np.int64) | _SIGN)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -113,8 +117,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _hot(counts: DataFrame, total: int) -> Hot:
-    own = counts.where(F.col("n") * HOT >= max(total, 1)).toPandas()  # HOT rows at most, since the n add up to no more than total
+def _hot(counts: DataFrame, total: int, share: int) -> Hot:
+    own = counts.where(F.col("n") * share >= max(total, 1)).toPandas()  # `share` rows at most, since the n add up to no more than total
     return Hot(own.iloc[:, 0].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(np.int64))
 
 
@@ -128,26 +132,33 @@ def _hot_grams(docs: DataFrame, shorter: list[Hot], total: int) -> Hot:
         for batch in batches:
             for _, place, h, new, _ in _buffers(batch.column(0).to_pylist(), length):
                 grams = _grams(h, length)
-                ok = np.flatnonzero(new & (place >= length - 1) & (shorter[0].of(h) > 0))
-                ok = ok[shorter[-1].of(grams[-2][ok - 1]) > 0]
+                ok = np.flatnonzero(new & (place >= length - 1) & (shorter[0].find(h)[0] * HOT >= total))
+                ok = ok[shorter[-1].find(grams[-2][ok - 1])[0] * HOT >= total]
                 keys, n = np.unique(grams[-1][ok], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
-    return _hot(docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), total)
+    return _hot(docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), total, HOT)
+
+
+def _columns(order: int) -> list[str]:
+    """What rows of an order above 2 have besides."""
+    return ["x", "n_g", *(f"l{k}" for k in range(3, order + 1))] if order > 2 else []
 
 
 def _exploded(docs: DataFrame, order: int, hot: list[Hot], total: int, min_count: int) -> DataFrame:
-    """Rows (uid, level, key, w, n_c, n_g, back, longer...) of n-grams, and one (uid, doc_id, n_words, score) for each document.
+    """Rows (level, back, uid, g, w, ...) of n-grams, and one (uid, doc_id, n_words, score) for each document.
 
-    ``key`` is what a row is dealt by: its context, or more of the n-gram where n_c or n_g (the counts of the
-    context and the n-gram) are known; w is null where a text ends on the context. ``back`` is the number of
-    levels above, and the columns ``longer`` hold their contexts. score is what is settled already.
+    ``g`` is the code of the context and ``w`` that of the word, or both are in g where both are frequent; w is
+    null also where a text ends on a context (which counts) and, on level 1, where g is a word no level
+    settles. ``back`` is the number of levels above; of an order above 2 there are also the contexts of
+    those levels (l3 and so on), the count ``n_g`` where it is known, and what such a row is dealt by (x).
+    score is what is settled already, with what other words would score without context if they are frequent.
     """
     sent = docs.sparkSession.sparkContext.broadcast(hot)
-    longer = [f"l{k}" for k in range(3, order + 1)]
-    names = ["uid", "level", "key", "w", "n_c", "n_g", "back", *longer, "doc_id", "n_words", "score"]
+    more = _columns(order)
+    names = ["level", "back", "uid", "g", "w", *more, "doc_id", "n_words", "score"]
     kinds = {"level": pa.int8(), "back": pa.int8()}
-    schema = T.StructType.fromDDL("uid long, level tinyint, key long, w long, n_c long, n_g long, back tinyint" + "".join(f", {x} long" for x in longer))
+    schema = T.StructType.fromDDL("level tinyint, back tinyint, uid long, g long, w long" + "".join(f", {x} long" for x in more))
     schema = T.StructType([*schema.fields, T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL("n_words long, score long").fields])
 
     def run(batches):
@@ -164,104 +175,126 @@ def _exploded(docs: DataFrame, order: int, hot: list[Hot], total: int, min_count
         def flush():
             nonlocal parts, size
             out = []
-            for name in names[:7] + longer:
+            for name in names[:-3]:
                 own = [c.get(name) for _, c in parts]
                 own = [pa.array(x, kinds.get(name, pa.int64())) if x is not None else pa.nulls(n, kinds.get(name, pa.int64())) for x, (n, _) in zip(own, parts)]
                 out.append(pa.concat_arrays(own))
             parts, size, n = [], 0, len(out[0])
             return pa.RecordBatch.from_arrays([*out, pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
 
-        signed = lambda x: x.view(np.int64)
         for batch in batches:
             texts, id_type = batch.column(1).to_pylist(), batch.column(0).type
             n_words, score = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             for owner, place, h, new, ended in _buffers(texts, order):
-                grams, known = _grams(h, order), [x.of(g) for x, g in zip(hot, _grams(h, order))]
+                grams = _grams(h, order)
+                known, codes = zip(*(x.find(g) for x, g in zip(hot, grams, strict=True)))
+                worth = np.where(known[0] > 0, logs(np.maximum(known[0], 1)) - log_total, 0)
+                add = lambda at, x: np.add.at(score, owner[at], x)
                 np.add.at(n_words, owner[new], 1)
 
                 def alone(at, back):
                     """Words that no level settles, after ``back`` steps."""
-                    n = known[0][at]
-                    np.add.at(score, owner[at], np.where(n > 0, logs(np.maximum(n, 1)) - log_total + back * log_back, 0))
-                    at, back = at[n == 0], back[n == 0]
-                    put(len(at), uid=uid + owner[at], level=np.ones(len(at), np.int8), key=signed(h[at]), w=signed(h[at]), back=back.astype(np.int8))
+                    easy = known[0][at] > 0
+                    add(at[easy], worth[at[easy]] + back[easy] * log_back)
+                    at, back = at[~easy], back[~easy]
+                    put(len(at), uid=uid + owner[at], level=np.ones(len(at), np.int8), g=codes[0][at], back=back.astype(np.int8))
 
                 first = np.flatnonzero(new & (place == 0))
                 alone(first, np.zeros(len(first), np.int64))
+                goes = np.zeros(len(h), bool)
                 for k in range(2, order + 1):
                     at = np.flatnonzero(new & (place >= k - 1))
                     back = np.minimum(place[at] + 1, order) - k
-                    n_c, n_g = known[k - 2][at - 1], known[k - 1][at]
-                    above = known[k][at] if k < order else np.zeros(len(at), np.int64)
-                    above = np.where(back > 0, above, 0)
-                    settled = (n_g > 0) & ((above > 0) | (back == 0))  # all that counts is known
+                    n_c, n_g, c = known[k - 2][at - 1], known[k - 1][at], codes[k - 2][at - 1]
+                    above = np.where(back > 0, known[k][at], 0) if k < order else np.zeros(len(at), np.int64)
+                    settled = (n_g > 0) & (n_c > 0) & ((above > 0) | (back == 0))  # all that counts is known
                     here = settled & (above < min_count) & (n_g >= min_count)
-                    np.add.at(score, owner[at[here]], logs(np.maximum(n_g[here], 1)) - logs(np.maximum(n_c[here], 1)) + back[here] * log_back)
+                    add(at[here], logs(np.maximum(n_g[here], 1)) - logs(np.maximum(n_c[here], 1)) + back[here] * log_back)
                     if k == 2:
                         lost = settled & (above < min_count) & (n_g < min_count)
                         alone(at[lost], back[lost] + 1)
                     go = ~settled
-                    at, back, n_c, n_g = at[go], back[go], n_c[go], n_g[go]
-                    key = np.where(n_g > 0, grams[min(k, order - 1)][at], np.where(n_c > 0, grams[k - 1][at], grams[k - 2][at - 1]))
-                    more = {f"l{j}": pa.array(signed(grams[j - 2][at - 1]), mask=place[at] < j - 1) for j in range(k + 1, order + 1)}
-                    put(
-                        len(at), uid=uid + owner[at], level=np.full(len(at), k, np.int8), key=signed(key), w=signed(h[at]), back=back.astype(np.int8),
-                        n_c=pa.array(n_c, mask=n_c == 0), n_g=pa.array(n_g, mask=n_g == 0), **more,
-                    )
-                for i, n, tail in ended:  # the end of a text counts for its last contexts
+                    at, back, n_c, n_g, c = at[go], back[go], n_c[go], n_g[go], c[go]
+                    goes[at] = True
+                    c, w = np.where(n_c > 0, (k - 2 << _RANKS) + c, c), codes[0][at]
+                    both = (c >= 0) & (w >= 0)
+                    rest = {}
+                    if order > 2:
+                        longer = grams[k][at].view(np.int64) if k < order else w
+                        rest = {"x": pa.array(longer, mask=(n_g == 0) | (back == 0)), "n_g": pa.array(n_g, mask=n_g == 0)}
+                        rest |= {f"l{j}": pa.array(grams[j - 2][at - 1].view(np.int64), mask=place[at] < j - 1) for j in range(k + 1, order + 1)}
+                    put(len(at), uid=uid + owner[at], level=np.full(len(at), k, np.int8), back=back.astype(np.int8), g=np.where(both, (c << _RANKS) + w, c), w=pa.array(w, mask=both), **rest)
+                at = np.flatnonzero(goes)
+                add(at, np.where(known[0][at] > 0, worth[at] + (np.minimum(place[at] + 1, order) - 1) * log_back, 0))
+                for i, n, tail in ended if order > 2 else ():  # the end of a text counts for its last contexts
                     last = _grams(tail, order)
-                    for k in range(2, order + 1):
-                        if n >= k - 1 and not hot[k - 2].of(last[k - 2][-1:])[0]:
-                            put(1, uid=np.array([uid + i]), level=np.array([k], np.int8), key=signed(last[k - 2][-1:]))
+                    for k in range(3, order + 1):
+                        if n >= k - 1 and (code := hot[k - 2].find(last[k - 2][-1:])[1])[0] < 0:
+                            put(1, uid=np.array([uid + i]), level=np.array([k], np.int8), g=code)
                 if size >= ROWS:
                     yield flush()
             if size:
                 yield flush()
             own = pa.array(uid + np.arange(len(texts)))
-            none = [pa.nulls(len(texts), kinds.get(x, pa.int64())) for x in names[1:7] + longer]
-            none[1] = own  # the key
-            yield pa.RecordBatch.from_arrays([own, *none, batch.column(0), pa.array(n_words), pa.array(score)], names=names)
+            none = [pa.nulls(len(texts), kinds.get(x, pa.int64())) for x in names[:2]], [pa.nulls(len(texts), pa.int64()) for _ in more]
+            yield pa.RecordBatch.from_arrays([*none[0], own, own, own, *none[1], batch.column(0), pa.array(n_words), pa.array(score)], names=names)
             uid += len(texts)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def _counts_of(spark, hot: list[Hot]) -> DataFrame:
+    """(code, known) of the frequent words, and of the frequent contexts of several words."""
+    rows = [(x.ranks[:-1] + (k << _RANKS), x.counts[:-1]) for k, x in enumerate(hot)]
+    return spark.createDataFrame(pa.table({"code": np.concatenate([r[0] for r in rows]), "known": np.concatenate([r[1] for r in rows])}))
+
+
 def scores(docs: DataFrame, order: int = 2, min_count: int = 2) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of each document; order is 2 or more."""
     spark = docs.sparkSession
     words = cut(word_counts(docs), "words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = [_hot(words, total)]
+    hot = [_hot(words, total, WORDS)]
     for _ in range(order - 1):
         hot.append(_hot_grams(docs, hot, total))
-    frequent = F.col("n") * HOT >= max(total, 1)
-
-    rows = _exploded(docs, order, hot, total, min_count).repartition("key")
-    longer = [f"l{k}" for k in range(3, order + 1)]
-    over = lambda *c: F.count(F.lit(1)).over(W.partitionBy("key", "level", *c))
-    above = F.lit(True)
-    for x in longer:  # one sort for each level above, the last of which serves the windows below
-        rows = rows.withColumn(f"n_{x}", F.when(F.col(x).isNotNull(), over("w", x)))
-        above &= F.coalesce(F.col(f"n_{x}") < min_count, F.lit(True))
-    rows = rows.withColumn("n_g", F.coalesce("n_g", over("w"))).withColumn("n_c", F.coalesce("n_c", over()))
-    rows = rows.join(F.broadcast(words.where(frequent).select(F.col("word").alias("w"), F.col("n").alias("n_w"))), "w", "left")  # HOT rows at most
+
+    rows, more = _exploded(docs, order, hot, total, min_count), _columns(order)
+    g, w, level = F.col("g"), F.col("w"), F.col("level")
+    above, n_c = F.lit(True), F.lit(None).cast("long")
+    if more:
+        by_context = (level > 2) & (g < 0)
+        rows = rows.withColumn("x", F.coalesce("x", F.when(by_context, g).otherwise(F.xxhash64(g, w)))).repartition("x")
+        over = lambda *c: F.count(F.lit(1)).over(W.partitionBy("x", "level", "g", *c))
+        for k in more[2:]:
+            rows = rows.withColumn(f"n_{k}", F.when(F.col(k).isNotNull(), over("w", k)))
+            above &= F.coalesce(F.col(f"n_{k}") < min_count, F.lit(True))
+        rows, n_c = rows.withColumn("n_g", F.coalesce("n_g", over("w"))).withColumn("n_c", F.when(by_context, over())), F.col("n_c")
+    else:
+        rows = rows.repartition("g", "w").withColumn("n_g", F.count(F.lit(1)).over(W.partitionBy("g", "w")))
+    both = (g >= 0) & w.isNull()
+    rows = rows.withColumn("c_code", F.when(both, F.shiftright(g, _RANKS)).otherwise(g)).withColumn("w_code", F.when(both, g.bitwiseAND((1 << _RANKS) - 1)).otherwise(w))
+    codes = F.broadcast(cut(_counts_of(spark, hot[:-1])))  # WORDS rows and HOT for each longer length at most
+    for name in ("c", "w"):
+        rows = rows.join(codes.select(F.col("code").alias(f"{name}_code"), F.col("known").alias(f"known_{name}")), f"{name}_code", "left")
 
     log = lambda c: F.rint(F.log(c) * UNIT).cast("long")
     log_total, log_back = int(logs(np.array([max(total, 1)]))[0]), int(logs(np.array([BACKOFF]))[0])
-    live = F.col("w").isNotNull() & (F.col("level") > 1) & above
-    ok = F.col("n_g") >= min_count
-    fails = (live & ~ok & (F.col("level") == 2)) | (F.col("level") == 1)  # to be scored by the word alone
-    back = F.col("back").cast("long")
-    steps = back + F.when(F.col("level") == 2, 1).otherwise(0)
-    part = F.when(live & ok, log(F.col("n_g")) - log(F.col("n_c")) + back * log_back)
-    part = part.when(fails, steps * log_back - log_total + F.coalesce(log(F.col("n_w")), F.lit(0))).otherwise(F.coalesce("score", F.lit(0)))
-    word = F.when(fails & F.col("n_w").isNull(), F.col("w"))
-    own = rows.select("uid", "doc_id", "n_words", part.alias("part"), word.alias("word")).where("part <> 0 or word is not null or n_words is not null")
-    own = own.groupBy("uid", "word").agg(F.sum("part").alias("part"), F.count("word").alias("times"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"))
-    own = cut(own, "parts")
-    found = own.where("word is not null").join(words.where(~frequent), "word")
-    both = own.where("word is null").drop("word", "times").unionByName(found.select("uid", "doc_id", "n_words", (F.col("part") + F.col("times") * log(F.col("n"))).alias("part")))
-    out = both.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("part").alias("score"))
+    back, n_c = F.col("back").cast("long"), F.coalesce("known_c", n_c)
+    steps = back + F.greatest(level - 1, F.lit(0)).cast("long")  # from the word's highest level to none
+    live, ok = (level > 1) & F.col("w_code").isNotNull() & above, F.col("n_g") >= min_count
+    credit = F.when(F.col("w_code") >= 0, log(F.col("known_w")) - log_total + steps * log_back).otherwise(F.lit(0))
+    unsettled = live & ~ok & (level == 2) & (F.col("w_code") < 0)
+    part = (
+        F.when(live & ok, log(F.col("n_g")) - F.coalesce(log(n_c), F.lit(0)) + back * log_back - credit)
+        .when(unsettled | (level == 1), steps * log_back - log_total)
+        .otherwise(F.coalesce("score", F.lit(0)))
+    )
+    asks = F.when(unsettled, w).when(level == 1, g).when(live & ok & n_c.isNull(), g)  # words whose count is added, or taken off
+    own = rows.select("uid", "doc_id", "n_words", part.alias("part"), asks.alias("word"), F.when(live & ok, -1).otherwise(1).alias("sign"))
+    own = cut(own.where("part <> 0 or word is not null or n_words is not null").groupBy("uid", "word", "sign").agg(F.sum("part").alias("part"), F.count(F.lit(1)).alias("times"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words")), "parts")
+    rare = words.where(F.col("n") * WORDS < max(total, 1)).select(F.col("word").bitwiseOR(int(_SIGN)).alias("word"), "n")
+    found = own.where("word is not null").join(rare, "word").withColumn("part", F.col("part") + F.col("sign") * F.col("times") * log(F.col("n")))
+    out = own.where("word is null").unionByName(found.drop("n")).groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("part").alias("score"))
     score = F.round(F.col("score") / UNIT, 4)
     return out.select("doc_id", "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, F.round(F.col("score") / UNIT / F.col("n_words"), 4)).alias("mean_log_score"))
 
