@@ -16,9 +16,9 @@ higher level has settled. Rows are summed by document.
 
 Words with a share of 1/WORDS of the corpus or more (WORDS at most) are sent to the tasks with their
 counts: rows name them by rank, and a document's score starts with what they are worth without context.
-Longer n-grams with a share of 1/HOT or more (HOT at most for each length) are counted by partial sums
-in each buffer and settled where they stand; after such a context rows are dealt by the n-gram. So no key
-has more than 1/HOT of the rows. Other words are named by 63 bits of hash.
+So are frequent longer n-grams (KNOWN of each length at most, all with a share of 1/HOT among them),
+counted by partial sums and settled where they stand; after such a context rows are dealt by the n-gram.
+So no key has more than 1/HOT of the rows. Other words are named by 63 bits of hash.
 
 Null and empty texts have no words and score 0 with null mean; repeated rows are scored each for
 itself and count each; texts may be of any length; an empty table gives no rows; other columns are not
@@ -40,10 +40,12 @@ from wordloom.llm.common import BY_SPACE, chunks, cut, mix, ship
 BACKOFF = 0.4
 UNIT = 1e9
 #: Words with a larger share of all words than 1/WORDS are known to every task; longer n-grams from a share of 1/HOT.
-WORDS, HOT = 1 << 20, 1024
+WORDS, HOT = 1 << 23, 1024
+#: Longer n-grams that tasks know at most, and words among which they are looked for.
+KNOWN, TOGETHER = 1 << 18, 1 << 21
 #: Rows that leave the explosion together.
 ROWS = 1 << 17
-_A, _SIGN, _RANKS = np.uint64(0x9E3779B97F4A7C15), np.int64(-(1 << 63)), 20
+_A, _SIGN, _RANKS = np.uint64(0x9E3779B97F4A7C15), np.int64(-(1 << 63)), 23
 
 
 def logs(x: np.ndarray) -> np.ndarray:
@@ -105,13 +107,24 @@ class Hot:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): counts of word hashes over all documents, summed in each buffer before the shuffle."""
+    """(word, n): counts of word hashes over all documents, summed in each TOGETHER words before the shuffle."""
 
     def run(batches):
+        held, size = [], 0
+
+        def flush():
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+
         for batch in batches:
             for _, _, h, new, _ in _buffers(batch.column(0).to_pylist(), 1):
-                keys, n = np.unique(h[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+                held.append(h[new])
+                size += len(held[-1])
+                if size >= TOGETHER:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
 
     ship(docs.sparkSession)
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -123,21 +136,39 @@ def _hot(counts: DataFrame, total: int, share: int) -> Hot:
 
 
 def _hot_grams(docs: DataFrame, shorter: list[Hot], total: int) -> Hot:
-    """Frequent n-grams one word longer than the last of ``shorter``: both their parts are frequent."""
-    sent = docs.sparkSession.sparkContext.broadcast(shorter)
+    """Frequent n-grams one word longer than the last of ``shorter``, with exact counts.
 
-    def run(batches):
-        shorter = sent.value
-        length = len(shorter) + 1
-        for batch in batches:
-            for _, place, h, new, _ in _buffers(batch.column(0).to_pylist(), length):
-                grams = _grams(h, length)
-                ok = np.flatnonzero(new & (place >= length - 1) & (shorter[0].find(h)[0] * HOT >= total))
-                ok = ok[shorter[-1].find(grams[-2][ok - 1])[0] * HOT >= total]
-                keys, n = np.unique(grams[-1][ok], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+    Those with a share of 1/HOT in some TOGETHER words, which is all that have it in the corpus, and
+    those that stand there 8 times are named first; the KNOWN most frequent of them are then counted.
+    """
+    spark, length = docs.sparkSession, len(shorter) + 1
+    sent = spark.sparkContext.broadcast(shorter)
+
+    def counted(among: Hot | None) -> DataFrame:
+        def run(batches):
+            shorter, held, size = sent.value, [], 0
+
+            def flush():
+                keys, n = np.unique(np.concatenate(held), return_counts=True)
+                ok = (n >= 8) | (n * HOT >= size) if among is None else among.find(keys)[0] > 0
+                return pa.RecordBatch.from_arrays([pa.array(keys[ok].view(np.int64)), pa.array(n[ok].astype(np.int64))], names=["gram", "n"])
+
+            for batch in batches:
+                for _, place, h, new, _ in _buffers(batch.column(0).to_pylist(), length):
+                    grams = _grams(h, length)
+                    at = np.flatnonzero(new & (place >= length - 1) & (shorter[0].find(h)[0] > 0))
+                    held.append(grams[-1][at[shorter[-1].find(grams[-2][at - 1])[0] > 0]])
+                    size += int(new.sum())
+                    if size >= TOGETHER:
+                        yield flush()
+                        held, size = [], 0
+            if held:
+                yield flush()
+
+        return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
-    return _hot(docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), total, HOT)
+    named = _hot(counted(None).orderBy(F.desc("n"), "gram").limit(KNOWN), 1, 1)
+    return _hot(counted(named), 1, 1)  # KNOWN rows at most
 
 
 def _columns(order: int) -> list[str]:
@@ -290,11 +321,13 @@ def scores(docs: DataFrame, order: int = 2, min_count: int = 2) -> DataFrame:
         .otherwise(F.coalesce("score", F.lit(0)))
     )
     asks = F.when(unsettled, w).when(level == 1, g).when(live & ok & n_c.isNull(), g)  # words whose count is added, or taken off
-    own = rows.select("uid", "doc_id", "n_words", part.alias("part"), asks.alias("word"), F.when(live & ok, -1).otherwise(1).alias("sign"))
-    own = cut(own.where("part <> 0 or word is not null or n_words is not null").groupBy("uid", "word", "sign").agg(F.sum("part").alias("part"), F.count(F.lit(1)).alias("times"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words")), "parts")
-    rare = words.where(F.col("n") * WORDS < max(total, 1)).select(F.col("word").bitwiseOR(int(_SIGN)).alias("word"), "n")
-    found = own.where("word is not null").join(rare, "word").withColumn("part", F.col("part") + F.col("sign") * F.col("times") * log(F.col("n")))
-    out = own.where("word is null").unionByName(found.drop("n")).groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("part").alias("score"))
+    asks = F.when(live & ok, asks.bitwiseAND(~int(_SIGN))).otherwise(asks)  # a code without its sign bit is taken off
+    own = rows.select("uid", "doc_id", "n_words", part.alias("part"), asks.alias("word"))
+    own = cut(own.where("part <> 0 or word is not null or n_words is not null").groupBy("uid", "word").agg(F.sum("part").alias("part"), F.count(F.lit(1)).alias("times"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words")), "parts")
+    rare = words.where(F.col("n") * WORDS < max(total, 1)).select(F.col("word").bitwiseOR(int(_SIGN)).alias("code"), "n")
+    found = own.where("word is not null").withColumn("code", F.col("word").bitwiseOR(int(_SIGN))).join(rare, "code")
+    found = found.withColumn("part", F.col("part") + F.when(F.col("word") < 0, F.col("times")).otherwise(-F.col("times")) * log(F.col("n")))
+    out = own.where("word is null").unionByName(found.drop("n", "code")).groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("part").alias("score"))
     score = F.round(F.col("score") / UNIT, 4)
     return out.select("doc_id", "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, F.round(F.col("score") / UNIT / F.col("n_words"), 4)).alias("mean_log_score"))
 
