@@ -42,7 +42,7 @@ UNIT = 1e9
 #: Words with a larger share of all words than 1/WORDS are known to every task; longer n-grams from a share of 1/HOT.
 WORDS, HOT = 1 << 23, 1024
 #: Longer n-grams that tasks know at most, and words among which they are looked for.
-KNOWN, TOGETHER = 1 << 18, 1 << 21
+KNOWN, TOGETHER = 1 << 19, 1 << 22
 #: Rows that leave the explosion together.
 ROWS = 1 << 17
 _A, _SIGN, _RANKS = np.uint64(0x9E3779B97F4A7C15), np.int64(-(1 << 63)), 23
@@ -139,7 +139,7 @@ def _hot_grams(docs: DataFrame, shorter: list[Hot], total: int) -> Hot:
     """Frequent n-grams one word longer than the last of ``shorter``, with exact counts.
 
     Those with a share of 1/HOT in some TOGETHER words, which is all that have it in the corpus, and
-    those that stand there 8 times are named first; the KNOWN most frequent of them are then counted.
+    those that stand there 4 times are named first; the KNOWN most frequent of them are then counted.
     """
     spark, length = docs.sparkSession, len(shorter) + 1
     sent = spark.sparkContext.broadcast(shorter)
@@ -150,7 +150,7 @@ def _hot_grams(docs: DataFrame, shorter: list[Hot], total: int) -> Hot:
 
             def flush():
                 keys, n = np.unique(np.concatenate(held), return_counts=True)
-                ok = (n >= 8) | (n * HOT >= size) if among is None else among.find(keys)[0] > 0
+                ok = (n >= 4) | (n * HOT >= size) if among is None else among.find(keys)[0] > 0
                 return pa.RecordBatch.from_arrays([pa.array(keys[ok].view(np.int64)), pa.array(n[ok].astype(np.int64))], names=["gram", "n"])
 
             for batch in batches:
@@ -322,12 +322,13 @@ def scores(docs: DataFrame, order: int = 2, min_count: int = 2) -> DataFrame:
     )
     asks = F.when(unsettled, w).when(level == 1, g).when(live & ok & n_c.isNull(), g)  # words whose count is added, or taken off
     asks = F.when(live & ok, asks.bitwiseAND(~int(_SIGN))).otherwise(asks)  # a code without its sign bit is taken off
-    own = rows.select("uid", "doc_id", "n_words", part.alias("part"), asks.alias("word"))
-    own = cut(own.where("part <> 0 or word is not null or n_words is not null").groupBy("uid", "word").agg(F.sum("part").alias("part"), F.count(F.lit(1)).alias("times"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words")), "parts")
+    own = rows.select("uid", "doc_id", "n_words", part.alias("part"), asks.alias("word")).where("part <> 0 or word is not null or n_words is not null")
+    own = own.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("part").alias("part"), F.sort_array(F.collect_list("word")).alias("words"))
+    own = cut(own, "parts")  # a row for each document, with words of its own
     rare = words.where(F.col("n") * WORDS < max(total, 1)).select(F.col("word").bitwiseOR(int(_SIGN)).alias("code"), "n")
-    found = own.where("word is not null").withColumn("code", F.col("word").bitwiseOR(int(_SIGN))).join(rare, "code")
-    found = found.withColumn("part", F.col("part") + F.when(F.col("word") < 0, F.col("times")).otherwise(-F.col("times")) * log(F.col("n")))
-    out = own.where("word is null").unionByName(found.drop("n", "code")).groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("part").alias("score"))
+    asked = own.select("uid", F.explode("words").alias("word")).withColumn("code", F.col("word").bitwiseOR(int(_SIGN))).join(rare, "code")
+    asked = asked.groupBy("uid").agg(F.sum(F.when(F.col("word") < 0, 1).otherwise(-1) * log(F.col("n"))).alias("more"))
+    out = own.drop("words").join(asked, "uid", "left").withColumn("score", F.col("part") + F.coalesce("more", F.lit(0)))
     score = F.round(F.col("score") / UNIT, 4)
     return out.select("doc_id", "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, F.round(F.col("score") / UNIT / F.col("n_words"), 4)).alias("mean_log_score"))
 
