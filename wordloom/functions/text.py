@@ -36,20 +36,21 @@ def tokens(c: Column | str) -> Column:
     return F.filter(F.split(normalize_text(c), " "), lambda w: w != "")
 
 
-def _opened(c: Column | str) -> Column:
+def opened(c: Column | str) -> Column:
+    """Without closing quotes and brackets."""
     return F.rtrim(F.trim(as_column(c)), F.lit(CLOSING))
 
 
 def ends_suspension(c: Column | str) -> Column:
-    return _opened(c).endswith("...") | _opened(c).endswith("…")
+    return opened(c).endswith("...") | opened(c).endswith("…")
 
 
 def ends_sentence(c: Column | str) -> Column:
-    return F.coalesce(F.right(_opened(c), F.lit(1)).isin(".", "!", "?"), F.lit(False)) & ~ends_suspension(c)
+    return F.coalesce(F.right(opened(c), F.lit(1)).isin(".", "!", "?"), F.lit(False)) & ~ends_suspension(c)
 
 
 def ends_clause(c: Column | str) -> Column:
-    return F.coalesce(F.right(_opened(c), F.lit(1)).isin(",", ";", ":"), F.lit(False))
+    return F.coalesce(F.right(opened(c), F.lit(1)).isin(",", ";", ":"), F.lit(False))
 
 
 def is_truncated(c: Column | str) -> Column:

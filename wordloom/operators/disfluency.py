@@ -11,10 +11,13 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.functions import lexicon as L
+from wordloom.functions import text as T
 from wordloom.functions import vocabulary as V
+from wordloom.functions.numbers import word_stem
 from wordloom.operators.words import by_word, with_utterances
 
 
@@ -38,39 +41,54 @@ def hard_fillers(words: DataFrame, longest: int = 1200) -> DataFrame:
     return own.select("rush_id", "idx", "norm", F.when(F.char_length("norm") <= 4, 0.95).otherwise(0.88).alias("confidence"))
 
 
+def within_utterances(words: DataFrame):
+    """The words with their utterance (run, part), and a window over one utterance in order of words."""
+    return with_utterances(words), W.partitionBy("rush_id", "run", "part").orderBy("idx")
+
+
 def soft_fillers(words: DataFrame, longest: int = 1200) -> DataFrame:
-    """Only beside a hard filler or after a gap of 200 ms."""
-    near = F.coalesce(F.lag("norm").over(by_word()).isin(*L.HARD_FILLERS), F.lit(False)) | F.coalesce(F.lead("norm").over(by_word()).isin(*L.HARD_FILLERS), F.lit(False))
-    own = words.withColumn("near", near).withColumn("gap", F.col("start_ms") - F.coalesce(F.lag("end_ms").over(by_word()), F.lit(0)))
-    own = own.where(F.col("norm").isin(*L.SOFT_FILLERS) & (F.col("near") | (F.col("gap") >= 200)) & (F.col("end_ms") - F.col("start_ms") <= longest))
-    return own.select("rush_id", "idx", "norm", F.lit(0.64).alias("confidence"))
+    """Only beside a hard filler of the same utterance or after a gap of 200 ms; a dash or apostrophe at the end does not matter."""
+    w, own = within_utterances(words)
+    hard = lambda c: F.coalesce(c.isin(*L.HARD_FILLERS), F.lit(False))
+    w = w.withColumn("near", hard(F.lag("norm").over(own)) | hard(F.lead("norm").over(own)))
+    w = w.withColumn("gap", F.col("start_ms") - F.coalesce(F.lag("end_ms").over(by_word()), F.lit(0)))
+    soft = F.col("norm").isin(*L.SOFT_FILLERS) | word_stem(F.col("norm")).isin(*L.SOFT_FILLERS)
+    w = w.where(soft & ~F.col("norm").isin(*L.HARD_FILLERS) & (F.col("near") | (F.col("gap") >= 200)) & (F.col("end_ms") - F.col("start_ms") <= longest))
+    return w.select("rush_id", "idx", "norm", F.lit(0.64).alias("confidence"))
 
 
 def stutter_runs(words: DataFrame, most_gap: int = 900) -> DataFrame:
-    """Runs of one word said again and again; all but the last go. Intensifiers and grammatical doubles are meant."""
-    same = (F.col("norm") == F.lag("norm").over(by_word())) & (F.col("start_ms") - F.lag("end_ms").over(by_word()) <= most_gap)
-    own = words.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(by_word()))
-    runs = own.groupBy("rush_id", "run").agg(F.first("norm").alias("norm"), F.min("idx").alias("first_idx"), F.count(F.lit(1)).alias("n"))
+    """Runs of one word said again and again in one utterance; all but the last go. Intensifiers and grammatical doubles are meant."""
+    w, own = within_utterances(words)
+    same = (F.col("norm") == F.lag("norm").over(own)) & (F.col("start_ms") - F.lag("end_ms").over(own) <= most_gap)
+    w = w.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("again", F.sum("new").over(own))
+    runs = w.groupBy("rush_id", "run", "part", "again").agg(F.first("norm").alias("norm"), F.min("idx").alias("first_idx"), F.count(F.lit(1)).alias("n"))
     meant = [*L.INTENSIFIERS, *L.GRAMMATICAL_DOUBLES]
     return runs.where((F.col("n") > 1) & (F.col("norm") != "") & ~F.col("norm").isin(*meant)).select("rush_id", "first_idx", "norm", "n")
 
 
 def abandoned_words(words: DataFrame) -> DataFrame:
-    """A short word that the next one begins with, said at once: ``compe competition``."""
-    own = words.select("rush_id", "idx", "norm", F.lead("norm").over(by_word()).alias("target"), (F.lead("start_ms").over(by_word()) - F.col("end_ms")).alias("gap"), (F.col("end_ms") - F.col("start_ms")).alias("dur"))
-    n = F.char_length("norm")
-    own = own.where((F.col("dur") <= 850) & (F.col("gap") <= 250) & n.between(2, 5) & F.col("target").startswith(F.col("norm")) & (F.char_length("target") >= n + 2))
-    return own.where(~F.col("norm").isin(*L.COMMON_SHORT_WORDS)).select("rush_id", "idx", "norm", "target", F.lit(0.66).alias("confidence"))
+    """A word that the next one of the utterance begins with: marked as cut off, ``compe- competition``, or short and said at once."""
+    w, own = within_utterances(words)
+    w = w.withColumn("target", F.lead("norm").over(own)).withColumn("gap", F.lead("start_ms").over(own) - F.col("end_ms")).withColumn("stem", word_stem(F.col("norm")))
+    n, m = F.char_length("stem"), F.char_length("target")
+    w = w.where((F.col("end_ms") - F.col("start_ms") <= 850) & (n >= 2) & F.col("target").startswith(F.col("stem")) & (m > n))
+    marked = T.is_truncated(T.opened("text"))
+    quick = (F.col("gap") <= 250) & (n <= 5) & (m >= n + 2) & ~F.col("stem").isin(*sorted(_COMMON))
+    w = w.withColumn("confidence", F.when(marked & (F.col("gap") <= 600), 0.93).when(~marked & quick, 0.66)).where("confidence is not null")
+    return w.select("rush_id", "idx", "norm", "target", "confidence")
 
 
 def phrase_hits(words: DataFrame, phrases: tuple[str, ...] = L.FILLER_PHRASES) -> DataFrame:
-    """Where a stock phrase of several words starts; the first of the list that fits."""
+    """Where a stock phrase of several words starts in an utterance that has other words; the first of the list that fits."""
+    w, own = within_utterances(words)
     longest = max(len(p.split()) for p in phrases)
-    ahead = [F.lead("norm", k).over(by_word()).alias(f"w{k}") if k else F.col("norm").alias("w0") for k in range(longest)]
-    own = words.select("rush_id", "idx", *ahead)
-    test = lambda p: reduce(lambda a, b: a & b, [F.col(f"w{k}") == w for k, w in enumerate(p.split())])
+    said = F.count_if(F.col("norm") != "").over(W.partitionBy("rush_id", "run", "part"))
+    ahead = [F.lead("norm", k).over(own).alias(f"w{k}") if k else F.col("norm").alias("w0") for k in range(longest)]
+    w = w.select("rush_id", "idx", said.alias("said"), *ahead)
+    test = lambda p: reduce(lambda a, b: a & b, [F.col(f"w{k}") == x for k, x in enumerate(p.split())]) & (F.col("said") > len(p.split()))
     found = F.coalesce(*(F.when(test(p), F.lit(p)) for p in phrases))
-    return own.withColumn("phrase", found).where("phrase is not null").select("rush_id", "idx", "phrase")
+    return w.withColumn("phrase", found).where("phrase is not null").select("rush_id", "idx", "phrase")
 
 
 FOUND = "array<struct<kind string, words array<int>, start_ms long, end_ms long, confidence double, text string, kept_text string>>"

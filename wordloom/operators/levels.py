@@ -1,4 +1,4 @@
-"""Levels over time: reference percentiles, sessions, budgets, retention."""
+"""Levels over time: reference percentiles, sessions, retention."""
 
 from __future__ import annotations
 
@@ -19,16 +19,6 @@ def gap_sessions(rows: DataFrame, key: str, at: Column, gap: int) -> DataFrame:
     return own.groupBy(key, "session").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
 
 
-def budget(rows: DataFrame, key: str, ratio: float, exempt: float) -> DataFrame:
-    """Cancels removals (key, id, duration, confidence) from the least sure until ``ratio`` of all is not exceeded."""
-    own = rows.withColumn("limit", F.floor(F.sum("duration").over(W.partitionBy(key)) * ratio))
-    order = W.partitionBy(key).orderBy("confidence", F.desc("duration"), "id").rowsBetween(W.unboundedPreceding, -1)
-    free = F.when(F.col("confidence") < exempt, F.col("duration")).otherwise(0)
-    own = own.withColumn("before", F.coalesce(F.sum(free).over(order), F.lit(0)))
-    over = F.sum("duration").over(W.partitionBy(key)) - F.col("before") > F.col("limit")
-    return own.withColumn("applied", ~(over & (F.col("confidence") < exempt))).select(key, "id", "duration", "applied")
-
-
 def retained(entries: DataFrame, newest: int = 60, days: int = 120) -> DataFrame:
     """Entries (id, at) that a cache keeps: the newest, and none older than ``days`` before the newest of all.
 

@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import lexicon as L
 from wordloom.functions import markers as M
+from wordloom.functions import numbers
 from wordloom.functions import text as T
-from wordloom.operators import disfluency, intervals, levels, retakes, seams, timeline, words
+from wordloom.operators import cuts, disfluency, intervals, levels, retakes, seams, timeline, words, zoom
+
+
+#: Turns in which the markers of correction occur, which the tables' invented prose lacks.
+SCRIPT = (
+    (-1, 0, "Non, je recommence."), (-1, 1, "Attends, je refais la phrase sur le moteur."), (-1, 2, "Bref."), (-1, 3, "On coupe, la question du moteur reste."),
+    (-1, 4, "Sorry, wait."), (-1, 5, "Let me rephrase."), (-1, 6, "Scratch that!"), (-1, 7, "I messed that up, the engine is new"), (-1, 8, "Non non non"), (-1, 9, "Une phrase sans rien"),
+)
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -56,11 +64,15 @@ def ngram_phrases(spark, sf):
     return disfluency.phrase_hits(clock(spark, sf), (*L.FILLER_PHRASES, "of the", "de la", "the"))
 
 
-def shots(spark, sf):
+def _gap_cuts(found: DataFrame) -> DataFrame:
+    """What gaps lose: a share of what is kept stays before the cut, the rest after it."""
+    before = cuts.kept_before(F.col("kept"))
+    return found.where("removed > 0").select("rush_id", (F.col("start") + before).alias("start"), (F.col("end") - F.col("kept") + before).alias("end"))
+
+
+def shots(spark: SparkSession, sf: str) -> DataFrame:
     w = clock(spark, sf)
-    g = words.gaps(w).where("removed > 0")
-    cuts = g.select("rush_id", (F.col("start") + F.floor(F.col("kept") * 55 / 100)).alias("start"), (F.col("end") - (F.col("kept") - F.floor(F.col("kept") * 55 / 100))).alias("end"))
-    return timeline.shots(w, cuts)
+    return timeline.shots_between(w, _gap_cuts(words.gaps(w)))
 
 
 def timeline_shots(spark, sf):
@@ -110,8 +122,41 @@ def event_level_percentiles(spark, sf):
 
 
 def removal_budget(spark, sf):
-    e = _read(spark, sf, "events").select("user_id", F.col("event_id").alias("id"), (1 + F.col("event_id") % 37).alias("duration"), ((F.col("event_id") * 7) % 100 / 100).alias("confidence"))
-    return levels.budget(e, "user_id", 0.35, 0.75)
+    """Removals of each user, of whom speech is a third to twice what is to be removed, under the limit on removed speech."""
+    e = _read(spark, sf, "events").select(F.col("user_id").alias("rush_id"), F.col("event_id").alias("id"), (1 + F.col("event_id") % 37).alias("duration"), ((F.col("event_id") * 7) % 100 / 100).alias("confidence"))
+    speech = e.groupBy("rush_id").agg((F.sum("duration") * (1 + F.col("rush_id") % 3) * 2 / 3).cast("long").alias("speech"))
+    return cuts.limited(e, speech, from_ms=500).select(F.col("rush_id").alias("user_id"), "id", "duration", "applied")
+
+
+def silence_cuts(spark, sf):
+    """Gaps between kept words and at the ends, after the hard fillers are cut out."""
+    w = clock(spark, sf)
+    ends = w.groupBy("rush_id").agg((F.max("end_ms") + 800).alias("end_ms"))
+    return cuts.silences(w, disfluency.hard_fillers(w), ends)
+
+
+def number_texts(spark, sf):
+    """Durations in words, stepwise mapped values, and the frame rates near quarter steps."""
+    x, k = F.col("k") / 4.0, F.col("k")
+    rate = numbers.frame_rate(x)
+    return spark.range(600).select(F.col("id").alias("k")).select(
+        "k", numbers.human_duration(x * 37).alias("duration"), F.round(numbers.remap(x, 10, 100, 4, 20), 6).alias("mapped"),
+        rate["base"].alias("base"), rate["slowed"].alias("slowed"), numbers.ticks(k / 1000.0).alias("ticks"), numbers.overlap(k, k + 10, F.lit(50), F.lit(90)).alias("shared"),
+    )
+
+
+def shot_scores(spark, sf):
+    """Tags of shots as text, and how well a zoom would stand at each."""
+    own = zoom.tagged(shots(spark, sf), clock(spark, sf))
+    scored = zoom.shot_scores(own).select("rush_id", "shot", F.round("score", 6).alias("score"))
+    return own.select("rush_id", "shot", F.array_join("tags", ",").alias("tags")).join(scored, ["rush_id", "shot"])
+
+
+def minimum_shots(spark, sf):
+    """Shots of a second at least."""
+    w = clock(spark, sf)
+    ends = w.groupBy("rush_id").agg(F.max("end_ms").cast("long").alias("total"))
+    return timeline.long_enough(shots(spark, sf), ends, 1000)
 
 
 def cache_retention(spark, sf):
@@ -147,7 +192,8 @@ def weak_markers(spark, sf):
 
 
 def strong_markers(spark, sf):
-    c = _read(spark, sf, "conversations").select("conv_id", "turn", T.normalize_text("text").alias("norm"))
+    c = _read(spark, sf, "conversations").select("conv_id", "turn", "text").unionByName(spark.createDataFrame(list(SCRIPT), "conv_id long, turn long, text string"))
+    c = c.select("conv_id", "turn", T.normalize_text("text").alias("norm"))
     return c.select("conv_id", "turn", M.strong_marker(F.col("norm")).alias("strong"), M.standalone_marker(F.col("norm")).alias("alone")).where("strong or alone")
 
 
@@ -201,15 +247,14 @@ def seam_checks(spark, sf):
     w = clock(spark, sf)
     fillers = disfluency.hard_fillers(w).select("rush_id", "idx")
     spoken = w.join(fillers, ["rush_id", "idx"]).select("rush_id", F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))
-    g = words.gaps(w).where("removed > 0").select("rush_id", (F.col("start") + F.floor(F.col("kept") * 55 / 100)).alias("start"), (F.col("end") - (F.col("kept") - F.floor(F.col("kept") * 55 / 100))).alias("end"))
-    return seams.seams(timeline.shots(w, g.unionByName(spoken)), w, fillers, fillers)
+    return seams.seams(timeline.shots(w, _gap_cuts(words.gaps(w)).unionByName(spoken)), w, fillers, fillers)
 
 
 QUERIES = (
     word_clock, utterance_sessions, gap_summary, hard_fillers, soft_fillers, stutter_runs, abandoned_words, disfluencies, ngram_phrases, timeline_shots, frame_clips,
     short_shots, merge_intervals, subtract_intervals, interval_totals, spaced_topk, event_sessions, event_level_percentiles, removal_budget,
     cache_retention, content_jaccard, language_characters, role_words, weak_markers,
-    strong_markers, content_words, curve_samples, language_durations, onset_strength, pair_similarity, retake_groups, fragments, edit_lists, seam_checks,
+    strong_markers, silence_cuts, number_texts, shot_scores, minimum_shots, content_words, curve_samples, language_durations, onset_strength, pair_similarity, retake_groups, fragments, edit_lists, seam_checks,
 )
 
 

@@ -6,6 +6,8 @@ from wordloom.functions import lexicon as L
 from wordloom.functions import markers as M
 from wordloom.functions import text as T
 from wordloom.functions import vocabulary as V
+from wordloom.functions.numbers import RATES
+from wordloom.plans.catalogue import SCRIPT
 
 
 def q(s: str) -> str:
@@ -56,6 +58,14 @@ s AS (SELECT rush_id, run, part, min(idx) AS first_idx, count(*) AS n_words, min
 SELECT rush_id, row_number() OVER o - 1 AS utt_id, first_idx, n_words, start_ms, end_ms, reason,
   coalesce(start_ms - lag(end_ms) OVER o, start_ms) AS gap_before, coalesce(lead(start_ms) OVER o - end_ms, 0) AS gap_after, text FROM s WINDOW o AS (PARTITION BY rush_id ORDER BY first_idx)"""
 
+SPOKEN = f"""{WORDS},
+r AS (SELECT *, CASE WHEN p IS NULL THEN 'start' WHEN {SENTENCE} THEN 'sentence' WHEN {SUSPENSION} THEN 'suspension' WHEN gap >= 1150 THEN 'long_gap' WHEN gap >= 620 THEN 'gap'
+  WHEN right(trim(p), 1) IN ('-', '_') AND length(trim(p)) > 1 AND gap >= 120 THEN 'truncated' END AS reason FROM l),
+n AS (SELECT *, sum(CASE WHEN reason IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY rush_id ORDER BY idx) AS run FROM r),
+m AS (SELECT *, (row_number() OVER (PARTITION BY rush_id, run ORDER BY idx) - 1) // 48 AS part FROM n),
+uw AS (SELECT rush_id, run, part, idx, text, norm, start_ms, end_ms, before_ms, rtrim(norm, {q("-_'")}) AS stem, lag(norm) OVER o AS before, lead(norm) OVER o AS target, start_ms - lag(end_ms) OVER o AS behind,
+  lead(start_ms) OVER o - end_ms AS ahead, count(*) FILTER (norm <> '') OVER (PARTITION BY rush_id, run, part) AS said FROM m WINDOW o AS (PARTITION BY rush_id, run, part ORDER BY idx))"""
+
 GAPS = f"""{WORDS},
 k AS (SELECT *, start_ms - before_ms AS d, CASE WHEN start_ms - before_ms <= 300 THEN 'short' WHEN start_ms - before_ms >= 950 THEN 'long' WHEN {SENTENCE} THEN 'sentence'
   WHEN {CLAUSE} THEN 'comma' ELSE 'hesitation' END AS kind FROM l WHERE p IS NOT NULL AND start_ms > before_ms),
@@ -81,8 +91,8 @@ def _phrases() -> str:
     phrases = (*L.FILLER_PHRASES, "of the", "de la", "the")
     longest = max(len(p.split()) for p in phrases)
     ahead = ", ".join(f"lead(norm, {k}) OVER o AS w{k}" if k else "norm AS w0" for k in range(longest))
-    cases = " ".join("WHEN " + " AND ".join(f"w{k} = {q(x)}" for k, x in enumerate(p.split())) + f" THEN {q(p)}" for p in phrases)
-    return f"WITH {WORDS}, a AS (SELECT rush_id, idx, {ahead} FROM w WINDOW o AS (PARTITION BY rush_id ORDER BY idx)) SELECT * FROM (SELECT rush_id, idx, CASE {cases} END AS phrase FROM a) WHERE phrase IS NOT NULL"
+    cases = " ".join("WHEN " + " AND ".join(f"w{k} = {q(x)}" for k, x in enumerate(p.split())) + f" AND said > {len(p.split())} THEN {q(p)}" for p in phrases)
+    return f"WITH {SPOKEN}, a AS (SELECT rush_id, idx, said, {ahead} FROM uw WINDOW o AS (PARTITION BY rush_id, run, part ORDER BY idx)) SELECT * FROM (SELECT rush_id, idx, CASE {cases} END AS phrase FROM a) WHERE phrase IS NOT NULL"
 
 
 TOKENS = f"list_filter(string_split({normal_text('text')}, ' '), lambda x: x <> '')"
@@ -93,7 +103,8 @@ CONTENT = f"(length(x) >= 2 AND x NOT IN {among([*V.STOPWORDS, *L.HARD_FILLERS])
 
 def _strong() -> str:
     weak = q(M._WEAK_WORD)
-    return f"""WITH n AS (SELECT conv_id, turn, {normal_text('text')} AS norm FROM conversations),
+    script = ", ".join(f"({c}, {t}, {q(x)})" for c, t, x in SCRIPT)
+    return f"""WITH c AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT * FROM (VALUES {script})), n AS (SELECT conv_id, turn, {normal_text('text')} AS norm FROM c),
 s AS (SELECT *, regexp_matches(norm, {q(M.STRONG)}) AS strong, list_filter(string_split(norm, ' '), lambda x: x <> '') AS said FROM n),
 a AS (SELECT conv_id, turn, strong, CASE WHEN len(said) = 0 THEN false WHEN norm IN {among(V.STANDALONE_MARKERS)} THEN true
   WHEN strong THEN len(list_filter(regexp_split_to_array(regexp_replace(norm, {q(M.STRONG)}, ' ', 'g'), ' +'), lambda x: {CONTENT})) = 0
@@ -116,16 +127,63 @@ SELECT rush_id, 'TITLE: rush' || chr(10) || 'FCM: NON-DROP FRAME' || chr(10) ||
   || string_agg(printf('%03d  AX       AA/V  C        ', shot + 1) || array_to_string(c, ' ') || chr(10), chr(10) ORDER BY shot) AS edl FROM codes GROUP BY rush_id"""
 
 
+def _silences() -> str:
+    hard = among(L.HARD_FILLERS)
+    return f"""WITH {WORDS},
+a AS (SELECT rush_id, idx, text, start_ms, end_ms, lag(end_ms) OVER o AS any_end, lead(start_ms) OVER o AS any_start, max(end_ms) OVER (PARTITION BY rush_id) + 800 AS total, norm IN {hard} AND end_ms - start_ms <= 1200 AS gone FROM w WINDOW o AS (PARTITION BY rush_id ORDER BY idx)),
+k AS (SELECT *, lag(idx) OVER o AS p_idx, lag(text) OVER o AS p, lag(end_ms) OVER o AS p_end, lag(any_start) OVER o AS p_any, lead(idx) OVER o AS next_idx FROM a WHERE NOT gone WINDOW o AS (PARTITION BY rush_id ORDER BY idx)),
+i AS (SELECT *, start_ms - p_end AS d, idx <> p_idx + 1 AS holds, least(120, greatest(greatest(0, least(p_any, start_ms) - p_end), 60)) AS o0, least(70, greatest(greatest(0, start_ms - greatest(any_end, p_end)), 60)) AS i0 FROM k WHERE p_idx IS NOT NULL AND start_ms > p_end),
+j AS (SELECT *, CASE WHEN holds THEN 'removed speech' WHEN d <= 300 THEN 'short' WHEN d >= 950 THEN 'long' WHEN {SENTENCE} THEN 'sentence' WHEN {CLAUSE} THEN 'comma' ELSE 'hesitation' END AS kind, greatest(0, d - 90) AS budget FROM i),
+h AS (SELECT *, least(d, greatest(CASE kind WHEN 'short' THEN d WHEN 'long' THEN 300 WHEN 'sentence' THEN 340 WHEN 'comma' THEN 200 ELSE 220 END, least(d, 190))) AS plain FROM j),
+g AS (SELECT *, CASE WHEN NOT holds THEN floor(plain * 55 / 100) WHEN o0 + i0 > budget THEN floor(o0 * budget / (o0 + i0)) ELSE o0 END AS co, CASE WHEN NOT holds THEN plain - floor(plain * 55 / 100) WHEN o0 + i0 > budget THEN floor(i0 * budget / (o0 + i0)) ELSE i0 END AS ci FROM h),
+c AS (SELECT *, d - co - ci > 0 AND (holds OR d - co - ci >= 90) AS cut FROM g),
+f AS (SELECT rush_id, p_end AS "start", start_ms AS "end", kind, CASE WHEN cut THEN co + ci ELSE d END AS kept, CASE WHEN cut THEN p_end + co END AS cut_start, CASE WHEN cut THEN start_ms - ci END AS cut_end, holds AS holds_removed FROM c WHERE cut OR d >= 120 OR holds
+UNION ALL SELECT rush_id, 0, start_ms, 'edge', least(250, greatest(0, start_ms - coalesce(any_end, 0))), 0, greatest(0, start_ms - least(250, greatest(0, start_ms - coalesce(any_end, 0)))), idx > 0 FROM k
+  WHERE p_idx IS NULL AND start_ms > 340 AND start_ms - least(250, greatest(0, start_ms - coalesce(any_end, 0))) > 90
+UNION ALL SELECT rush_id, end_ms, total, 'edge', least(250, greatest(0, coalesce(any_start, total) - end_ms)), end_ms + least(250, greatest(0, coalesce(any_start, total) - end_ms)), total, any_start IS NOT NULL FROM k
+  WHERE next_idx IS NULL AND total - end_ms > 340 AND total - end_ms - least(250, greatest(0, coalesce(any_start, total) - end_ms)) > 90)
+SELECT rush_id, CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end", kind, CAST(kept AS BIGINT) AS kept, CAST(cut_start AS BIGINT) AS cut_start, CAST(cut_end AS BIGINT) AS cut_end, holds_removed FROM f"""
+
+
+def _shot_scores() -> str:
+    return f"""WITH {SHOTS},
+x AS (SELECT rush_id, idx, text, norm, (start_ms + end_ms) / 2.0 AS mid FROM w),
+s AS (SELECT sh.rush_id, sh.shot, list(x.norm ORDER BY idx) FILTER (idx IS NOT NULL) AS norms, min(idx) AS first_idx, max(idx) AS last_idx, arg_max(text, idx) AS last_text, any_value(sh."end" - sh."start") / 1000.0::DOUBLE AS sec
+  FROM sh LEFT JOIN x ON x.rush_id = sh.rush_id AND x.mid BETWEEN sh."start" AND sh."end" GROUP BY sh.rush_id, sh.shot),
+b AS (SELECT *, lag(last_idx) OVER o AS before, lag(last_text) OVER o AS p FROM s WINDOW o AS (PARTITION BY rush_id ORDER BY shot)),
+f AS (SELECT *, norms IS NOT NULL AND (before IS NULL OR {SENTENCE} OR {SUSPENSION}) AS fresh FROM b),
+tg AS (SELECT rush_id, shot, norms, sec, fresh, last_text AS p, norms IS NOT NULL AND NOT fresh AND first_idx <> before + 1 AS cut FROM f)
+SELECT rush_id, shot, concat_ws(',', CASE WHEN norms IS NULL THEN 'silent' END, CASE WHEN fresh THEN 'sentence start' WHEN cut THEN 'after cut' END, CASE WHEN norms IS NOT NULL AND {SENTENCE} THEN 'sentence end' END, CASE WHEN norms IS NOT NULL AND sec >= 6 THEN 'long' END) AS tags,
+  round(CASE WHEN norms IS NULL OR sec < 0.8 THEN -5.0::DOUBLE ELSE CASE WHEN len(list_filter(norms[1:4], lambda z: z IN {among(V.IDEA_SHIFTS)})) > 0 THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN len(list_filter(norms, lambda z: z IN {among(V.EMPHASIS)})) > 0 THEN 0.45::DOUBLE ELSE 0 END
+    + CASE WHEN fresh THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN sec >= 5 THEN least(0.5::DOUBLE, 0.5::DOUBLE * (sec - 5) / 12 + 0.16::DOUBLE) ELSE 0 END + CASE WHEN cut THEN -0.45::DOUBLE ELSE 0 END + 0.25::DOUBLE * least(1.0::DOUBLE, sec / 6) END, 6) AS score FROM tg"""
+
+
+def _numbers() -> str:
+    rates = ", ".join(f"({k}, {b}, {str(s).lower()}, {round(b * 1000 / 1001 if s else float(b), 3)}::DOUBLE)" for k, (b, s) in enumerate(RATES))
+    return f"""WITH g AS (SELECT range AS k, range / 4.0::DOUBLE AS x FROM range(600)), rates(i, base, slowed, fps) AS (VALUES {rates}),
+b AS (SELECT k, base, slowed, abs(fps - x) AS off, row_number() OVER (PARTITION BY k ORDER BY abs(fps - x), i) AS nth FROM g CROSS JOIN rates),
+s AS (SELECT g.k, x, base, slowed, off, x * 37 AS sec, CAST(round_even(x * 37, 0) AS BIGINT) AS n FROM g JOIN b ON b.k = g.k AND nth = 1)
+SELECT k, CASE WHEN sec < 60 THEN printf('%.1f s', sec) WHEN n < 3600 THEN printf('%d min %02d s', n // 60, n % 60) ELSE printf('%d h %02d min', n // 3600, (n // 60) % 60) END AS duration,
+  round(4 + 16 * greatest(0, least(1, (x - 10) / 90)), 6) AS mapped, CAST(CASE WHEN x <= 0 THEN 25 WHEN off <= 0.08 THEN base ELSE greatest(1, round_even(x, 0)) END AS INTEGER) AS base,
+  x > 0 AND off <= 0.08 AND slowed AS slowed, k * 254016000 AS ticks, greatest(0, least(k + 10, 90) - greatest(k, 50)) AS shared FROM s"""
+
+
 def oracle_sql() -> dict[str, str]:
     hard, soft = among(L.HARD_FILLERS), among(L.SOFT_FILLERS)
     return {
+        "silence_cuts": _silences(),
+        "shot_scores": _shot_scores(),
+        "number_texts": _numbers(),
         "word_clock": f"WITH {WORDS} SELECT * FROM w",
         "utterance_sessions": UTTERANCES,
         "gap_summary": f"WITH {GAPS} SELECT kind, count(*) AS n, CAST(sum(removed) AS BIGINT) AS removed_ms, CAST(sum(duration) AS BIGINT) AS duration_ms FROM gp GROUP BY kind",
         "hard_fillers": f"WITH {WORDS} SELECT rush_id, idx, norm, CASE WHEN length(norm) <= 4 THEN 0.95::DOUBLE ELSE 0.88::DOUBLE END AS confidence FROM w WHERE norm IN {hard} AND end_ms - start_ms <= 1200",
-        "soft_fillers": f"WITH {WORDS} SELECT rush_id, idx, norm, 0.64::DOUBLE AS confidence FROM l WHERE norm IN {soft} AND (coalesce(before IN {hard}, false) OR coalesce(target IN {hard}, false) OR start_ms - coalesce(before_ms, 0) >= 200) AND end_ms - start_ms <= 1200",
-        "stutter_runs": f"WITH {WORDS}, s AS (SELECT *, sum(CASE WHEN norm = before AND start_ms - before_ms <= 900 THEN 0 ELSE 1 END) OVER (PARTITION BY rush_id ORDER BY idx) AS run FROM l) SELECT rush_id, min(idx) AS first_idx, any_value(norm) AS norm, count(*) AS n FROM s GROUP BY rush_id, run HAVING count(*) > 1 AND any_value(norm) <> '' AND any_value(norm) NOT IN {among([*L.INTENSIFIERS, *L.GRAMMATICAL_DOUBLES])}",
-        "abandoned_words": f"WITH {WORDS} SELECT rush_id, idx, norm, target, 0.66::DOUBLE AS confidence FROM l WHERE end_ms - start_ms <= 850 AND ahead <= 250 AND length(norm) BETWEEN 2 AND 5 AND starts_with(target, norm) AND length(target) >= length(norm) + 2 AND norm NOT IN {among(L.COMMON_SHORT_WORDS)}",
+        "soft_fillers": f"WITH {SPOKEN} SELECT rush_id, idx, norm, 0.64::DOUBLE AS confidence FROM uw WHERE (norm IN {soft} OR stem IN {soft}) AND norm NOT IN {hard} AND (coalesce(before IN {hard}, false) OR coalesce(target IN {hard}, false) OR start_ms - coalesce(before_ms, 0) >= 200) AND end_ms - start_ms <= 1200",
+        "stutter_runs": f"WITH {SPOKEN}, s AS (SELECT *, sum(CASE WHEN norm = before AND behind <= 900 THEN 0 ELSE 1 END) OVER (PARTITION BY rush_id, run, part ORDER BY idx) AS again FROM uw) SELECT rush_id, min(idx) AS first_idx, any_value(norm) AS norm, count(*) AS n FROM s GROUP BY rush_id, run, part, again HAVING count(*) > 1 AND any_value(norm) <> '' AND any_value(norm) NOT IN {among([*L.INTENSIFIERS, *L.GRAMMATICAL_DOUBLES])}",
+        "abandoned_words": f"""WITH {SPOKEN}, a AS (SELECT *, right({opened('text')}, 1) IN ('-', '_') AND length({opened('text')}) > 1 AS marked FROM uw
+  WHERE end_ms - start_ms <= 850 AND length(stem) >= 2 AND starts_with(target, stem) AND length(target) > length(stem)),
+c AS (SELECT *, CASE WHEN marked AND ahead <= 600 THEN 0.93::DOUBLE WHEN NOT marked AND ahead <= 250 AND length(stem) <= 5 AND length(target) >= length(stem) + 2 AND stem NOT IN {among([*L.COMMON_SHORT_WORDS, *V.STOPWORDS])} THEN 0.66::DOUBLE END AS confidence FROM a)
+SELECT rush_id, idx, norm, target, confidence FROM c WHERE confidence IS NOT NULL""",
         "ngram_phrases": _phrases(),
         "timeline_shots": f"WITH {SHOTS} SELECT * FROM sh",
         "frame_clips": f"""WITH {SHOTS}, f AS (SELECT rush_id, shot, "start", CAST(round_even("start" * 25 / 1000.0, 0) AS BIGINT) AS a, CAST(round_even("end" * 25 / 1000.0, 0) AS BIGINT) AS b FROM sh)
@@ -139,8 +197,9 @@ i AS (SELECT k, day, day - row_number() OVER (PARTITION BY k ORDER BY day) AS g
         "event_sessions": "WITH e AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), s AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) >= 21600 THEN 1 ELSE 0 END AS new FROM e), r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id) AS BIGINT) AS session FROM s) SELECT user_id, session, count(*) AS n, min(t) AS first_at, max(t) AS last_at FROM r GROUP BY user_id, session",
         "event_level_percentiles": 'SELECT event_type, round(quantile_cont(value, 0.08), 6) AS "floor", round(quantile_cont(value, 0.88), 6) AS speech, count(*) AS n FROM events GROUP BY event_type',
         "removal_budget": """WITH e AS (SELECT user_id, event_id AS id, 1 + event_id % 37 AS duration, ((event_id * 7) % 100) / 100 AS confidence FROM events),
-s AS (SELECT *, sum(duration) OVER (PARTITION BY user_id) AS total, coalesce(sum(CASE WHEN confidence < 0.75 THEN duration ELSE 0 END) OVER (PARTITION BY user_id ORDER BY confidence, duration DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
-SELECT user_id, id, duration, NOT (total - before > floor(total * 0.35::DOUBLE) AND confidence < 0.75) AS applied FROM s""",
+t AS (SELECT user_id, CAST(sum(duration) AS BIGINT) AS total, CAST(floor(sum(duration) * (1 + user_id % 3) * 2 / 3) AS BIGINT) AS speech FROM e GROUP BY user_id),
+s AS (SELECT e.*, total, speech, coalesce(sum(CASE WHEN confidence < 0.75 THEN duration ELSE 0 END) OVER (PARTITION BY e.user_id ORDER BY confidence, duration DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e JOIN t USING (user_id))
+SELECT user_id, id, duration, NOT (confidence < 0.75 AND speech >= 500 AND total - before > floor(speech * 0.55::DOUBLE)) AS applied FROM s""",
         "cache_retention": "SELECT o_orderkey AS id FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS r, max(o_orderdate) OVER () AS m FROM orders) WHERE r <= 60 AND o_orderdate >= m - INTERVAL 120 DAY",
         "content_jaccard": f"WITH b AS (SELECT item_id, list_distinct({TOKENS}) AS w FROM benchmark), t AS (SELECT item_id, len(w) AS n, unnest(w) AS w FROM b), p AS (SELECT t.item_id, u.item_id AS other_id, t.n, u.n AS m, count(*) AS k FROM t JOIN t u ON t.w = u.w AND t.item_id < u.item_id GROUP BY ALL) SELECT item_id, other_id, round(k / (n + m - k), 6) AS jaccard FROM p",
         "language_characters": "SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang",
