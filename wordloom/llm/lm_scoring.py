@@ -325,7 +325,7 @@ def scores(docs: DataFrame, order: int = 2, min_count: int = 2) -> DataFrame:
     own = rows.select("uid", "doc_id", "n_words", part.alias("part"), asks.alias("word")).where("part <> 0 or word is not null or n_words is not null")
     own = own.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("part").alias("part"), F.sort_array(F.collect_list("word")).alias("words"))
     own = cut(own, "parts")  # a row for each document, with words of its own
-    rare = words.where(F.col("n") * WORDS < max(total, 1)).select(F.col("word").bitwiseOR(int(_SIGN)).alias("code"), "n")
+    rare = words.where((F.col("n") * WORDS < max(total, 1)) & (F.col("n") > 1)).select(F.col("word").bitwiseOR(int(_SIGN)).alias("code"), "n")  # the logarithm of 1 adds nothing
     asked = own.select("uid", F.explode("words").alias("word")).withColumn("code", F.col("word").bitwiseOR(int(_SIGN))).join(rare, "code")
     asked = asked.groupBy("uid").agg(F.sum(F.when(F.col("word") < 0, 1).otherwise(-1) * log(F.col("n"))).alias("more"))
     out = own.drop("words").join(asked, "uid", "left").withColumn("score", F.col("part") + F.coalesce("more", F.lit(0)))
