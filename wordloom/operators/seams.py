@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import markers as M
 from wordloom.functions import text as T
 from wordloom.functions import vocabulary as V
+from wordloom.operators.timeline import to_timeline
 
 
 def words_in_shots(words: DataFrame, shots: DataFrame) -> DataFrame:
@@ -52,3 +53,24 @@ def seams(shots: DataFrame, words: DataFrame, removed: DataFrame, benign: DataFr
     }
     found = own.select("rush_id", F.explode(F.array(*checks.values())).alias("c")).where("c.category is not null")
     return found.select("rush_id", F.col("c.at").alias("shot"), "c.category", "c.severity")
+
+
+def utterance_checks(utterances: DataFrame, words: DataFrame, shots: DataFrame, removed: DataFrame) -> DataFrame:
+    """(rush_id, utt_id, t, timeline_t, category, severity) of utterances that should not have been left, or not so.
+
+    ``kept marker``: a marker of correction of which any word stays, at its start; ``empty rest``: one of
+    which only function words stay, at the first of them. Times that are in no shot give nothing.
+    """
+    gone = removed.select("rush_id", "idx", F.lit(True).alias("gone")).distinct()
+    own = M.with_marks(utterances).select("rush_id", "utt_id", F.col("start_ms").alias("began"), "marker", "n_words", F.explode(F.sequence("first_idx", F.col("first_idx") + F.col("n_words") - 1)).alias("idx"))
+    own = own.join(words.select("rush_id", "idx", "text", "start_ms"), ["rush_id", "idx"]).join(gone, ["rush_id", "idx"], "left_anti")
+    kept = own.groupBy("rush_id", "utt_id", "began", "marker", "n_words").agg(F.array_sort(F.collect_list(F.struct("idx", "start_ms", "text"))).alias("kept"))
+    said = T.normalize_text(F.array_join(F.transform("kept", lambda w: F.trim(w["text"])), " "))
+    kept = kept.withColumn("said", said)
+    rest = (F.size("kept") < F.col("n_words")) & (F.size(M.content_words(F.filter(F.split("said", " "), lambda w: w != ""))) == 0) & ~M.standalone_marker(F.col("said"))
+    found = F.array(
+        F.struct(F.when(F.col("marker"), "kept marker").alias("category"), F.lit("high").alias("severity"), F.col("began").alias("t")),
+        F.struct(F.when(rest, "empty rest").alias("category"), F.lit("medium").alias("severity"), F.element_at("kept", 1)["start_ms"].alias("t")),
+    )
+    found = kept.select("rush_id", "utt_id", F.explode(found).alias("c")).where("c.category is not null").select("rush_id", "utt_id", "c.t", "c.category", "c.severity")
+    return to_timeline(found, shots).where("timeline_t is not null").select("rush_id", "utt_id", "t", "timeline_t", "category", "severity")

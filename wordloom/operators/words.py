@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
+from wordloom.operators.audio import is_breath
 
 def by_word():
     """One recording at a time, in order of words."""
@@ -29,6 +30,8 @@ class GapRules:
     pad_out: int = 120
     min_removal: int = 90
     recorded_from: int = 120
+    breath_max: int = 550
+    breath_keep: int = 320
 
 
 def gap_before(rush: Column, seg: Column, pos: Column, previous: Column) -> Column:
@@ -92,15 +95,19 @@ def utterances(words: DataFrame, most: int = 48) -> DataFrame:
 
 
 def gaps(words: DataFrame, rules: GapRules = GapRules()) -> DataFrame:
-    """Each gap between words, its kind, and what of it is kept (no audio, no removed words)."""
+    """Each gap between words, its kind, and what of it is kept (no removed words).
+
+    Where words have ``energy`` (0 to 1, of the gap before them), a short gap of some is a ``breath``.
+    """
     w = words.withColumn("_p", F.lag("text").over(by_word())).withColumn("start", F.lag("end_ms").over(by_word()))
     w = w.where(F.col("_p").isNotNull()).withColumn("d", F.col("start_ms") - F.col("start")).where("d > 0")
     short, long = F.col("d") <= rules.keep_below, F.col("d") >= rules.long_from
-    kind = F.when(short, "short").when(long, "long").when(T.ends_sentence("_p"), "sentence").when(T.ends_clause("_p"), "comma").otherwise("hesitation")
+    breath = is_breath(F.col("energy")) & (F.col("d") <= rules.breath_max) if "energy" in words.columns else F.lit(False)
+    kind = F.when(breath, "breath").when(short, "short").when(long, "long").when(T.ends_sentence("_p"), "sentence").when(T.ends_clause("_p"), "comma").otherwise("hesitation")
     w = w.withColumn("kind", kind)
     target = (
         F.when(F.col("kind") == "short", F.col("d")).when(F.col("kind") == "long", rules.long_target).when(F.col("kind") == "sentence", rules.sentence_target)
-        .when(F.col("kind") == "comma", rules.comma_target).otherwise(rules.target)
+        .when(F.col("kind") == "comma", rules.comma_target).when(F.col("kind") == "breath", F.greatest(F.lit(rules.target), F.least(F.col("d"), F.lit(rules.breath_keep)))).otherwise(rules.target)
     )
     kept = F.least(F.col("d"), F.greatest(target, F.least(F.col("d"), F.lit(rules.pad_in + rules.pad_out))))
     w = w.withColumn("removed", F.when(F.col("d") - kept >= rules.min_removal, F.col("d") - kept).otherwise(0))

@@ -94,12 +94,12 @@ def thinned(points: list[tuple[float, float]], tolerance: float) -> list[tuple[f
     return [points[k] for k in [0, *between(0, last), last]] if last > 0 else list(points)
 
 
-def keyframes(name: str, duration: float, start: float, end: float, fps: float = 30.0, most: int = 90, tolerance: float = 0.22) -> list[tuple[float, float]]:
-    """(time, value) of a curve sampled at each frame and thinned; the tolerance grows until there are no more than ``most``."""
+def keyframes(name: str, duration: float, start: float, end: float, fps: float = 30.0, most: int = 90, tolerance: float = 0.22, **shape: float) -> list[tuple[float, float]]:
+    """(time, value) of a curve sampled at each frame and thinned; the tolerance grows until there are no more than ``most``; ``shape`` is of the curve."""
     if duration <= 0:
         return [(0.0, end)]
     steps = min(4000, max(2, round(duration * (fps if fps > 0 else 30.0))))
-    points = [(round(k / steps * duration, 6), start + (end - start) * _at(name, k / steps)) for k in range(steps)] + [(round(duration, 6), end)]
+    points = [(round(k / steps * duration, 6), start + (end - start) * _at(name, k / steps, **shape)) for k in range(steps)] + [(round(duration, 6), end)]
     out = thinned(points, tolerance)
     while len(out) > most and tolerance < 50:
         tolerance *= 1.6

@@ -9,7 +9,9 @@ from wordloom.functions import lexicon as L
 from wordloom.functions import markers as M
 from wordloom.functions import numbers
 from wordloom.functions import text as T
-from wordloom.operators import cuts, disfluency, intervals, levels, retakes, seams, timeline, words, zoom
+from wordloom.operators import cuts, disfluency, intervals, levels, retakes, seams, splits, timeline, words, zoom
+from wordloom.operators import zoom_plan as zoom_plans
+from wordloom.sources import projects, transcripts
 
 
 #: Turns in which the markers of correction occur, which the tables' invented prose lacks.
@@ -250,11 +252,56 @@ def seam_checks(spark, sf):
     return seams.seams(timeline.shots(w, _gap_cuts(words.gaps(w)).unionByName(spoken)), w, fillers, fillers)
 
 
+def repaired_words(spark, sf):
+    """Words whose times overlap, run backwards or take no time at all, put right."""
+    w = clock(spark, sf).where("norm <> ''")
+    k, r = F.col("idx"), F.col("rush_id")
+    w = w.withColumns({"start_ms": F.greatest(F.lit(0), F.col("start_ms") - (37 * k + 11 * r) % 400), "end_ms": F.col("end_ms") - (53 * k + 7 * r) % 500})
+    return splits.repaired(w).select("rush_id", "idx", "text", "start_ms", "end_ms")
+
+
+def spread_words(spark, sf):
+    """Turns as cues of 90 ms a character, each third of no length, their words spread evenly."""
+    c = _read(spark, sf, "conversations").select(F.col("conv_id").alias("rush_id"), F.col("turn").alias("seg_idx"), (F.col("turn") * 10000).alias("start_ms"), "text")
+    c = c.withColumn("end_ms", F.col("start_ms") + F.when(F.col("seg_idx") % 3 == 0, 0).otherwise(90 * F.char_length("text")))
+    return transcripts.spread(c)
+
+
+def split_utterances(spark, sf):
+    return splits.split_utterances(clock(spark, sf))
+
+
+def utterance_checks(spark, sf):
+    """Whole utterances after the gaps are cut out, every third word and all of more than three characters taken as removed."""
+    w = clock(spark, sf)
+    gone = w.where("idx % 3 = 0 or length(norm) > 3").select("rush_id", "idx")
+    return seams.utterance_checks(splits.split_utterances(w), w, shots(spark, sf), gone)
+
+
+def zoom_plan(spark, sf):
+    """The zooms of each conversation, without their keyframes but for their number."""
+    own = shots(spark, sf)
+    scored = zoom.shot_scores(zoom.tagged(own, clock(spark, sf)))
+    plan = zoom_plans.zooms(own, scored)
+    rounded = [F.round(c, 6).alias(c) for c in ("t", "t_end", "start_scale", "end_scale", "peak", "seconds", "score")]
+    return plan.select("rush_id", "zoom", "shot", "kind", *rounded, "fills", F.size("keyframes").alias("n_keyframes"))
+
+
+def project_files(spark, sf):
+    """Length and checksum of each conversation's project text."""
+    own = shots(spark, sf)
+    plan = zoom_plans.zooms(own, zoom.shot_scores(zoom.tagged(own, clock(spark, sf))))
+    source = clock(spark, sf).groupBy("rush_id").agg(F.max("end_ms").alias("e")).select("rush_id", F.format_string("/media/rush %d.mp4", F.col("rush_id")).alias("path"), F.ceil(F.col("e") / 40).alias("frames"))
+    xml = projects.project_xml(timeline.frame_clips(own, 25), plan, source)
+    return xml.select("rush_id", F.char_length("xml").alias("n"), F.sha2("xml", 256).alias("sha256"))
+
+
 QUERIES = (
     word_clock, utterance_sessions, gap_summary, hard_fillers, soft_fillers, stutter_runs, abandoned_words, disfluencies, ngram_phrases, timeline_shots, frame_clips,
     short_shots, merge_intervals, subtract_intervals, interval_totals, spaced_topk, event_sessions, event_level_percentiles, removal_budget,
     cache_retention, content_jaccard, language_characters, role_words, weak_markers,
     strong_markers, silence_cuts, number_texts, shot_scores, minimum_shots, content_words, curve_samples, language_durations, onset_strength, pair_similarity, retake_groups, fragments, edit_lists, seam_checks,
+    repaired_words, spread_words, split_utterances, utterance_checks, zoom_plan, project_files,
 )
 
 

@@ -58,6 +58,19 @@ s AS (SELECT rush_id, run, part, min(idx) AS first_idx, count(*) AS n_words, min
 SELECT rush_id, row_number() OVER o - 1 AS utt_id, first_idx, n_words, start_ms, end_ms, reason,
   coalesce(start_ms - lag(end_ms) OVER o, start_ms) AS gap_before, coalesce(lead(start_ms) OVER o - end_ms, 0) AS gap_after, text FROM s WINDOW o AS (PARTITION BY rush_id ORDER BY first_idx)"""
 
+REPAIRED = f"""WITH RECURSIVE {WORDS},
+ra AS (SELECT rush_id, idx AS k, text, norm, greatest(0, start_ms - (37 * idx + 11 * rush_id) % 400) AS s, end_ms - (53 * idx + 7 * rush_id) % 500 AS e FROM w WHERE norm <> ''),
+rb AS (SELECT rush_id, row_number() OVER (PARTITION BY rush_id ORDER BY s, e, k) - 1 AS idx, text, s, greatest(s, e) AS e, length(norm) AS n FROM ra),
+rc AS MATERIALIZED (SELECT rush_id, idx, text, s, CASE WHEN e - s < 12 THEN s + greatest(50, 35 * n) ELSE e END AS e FROM rb),
+rz AS (SELECT rush_id, idx, text, s AS start_ms, e AS end_ms FROM rc WHERE idx = 0
+  UNION ALL SELECT rc.rush_id, rc.idx, rc.text, greatest(rc.s, rz.end_ms), CASE WHEN rc.e < rz.end_ms THEN rz.end_ms + 20 ELSE rc.e END FROM rz JOIN rc ON rc.rush_id = rz.rush_id AND rc.idx = rz.idx + 1)
+SELECT rush_id, idx, text, CAST(start_ms AS BIGINT) AS start_ms, CAST(end_ms AS BIGINT) AS end_ms FROM rz"""
+
+SPREAD = r"""WITH c AS (SELECT conv_id AS rush_id, turn AS seg_idx, turn * 10000 AS s, CASE WHEN turn % 3 = 0 THEN 0 ELSE 90 * length(text) END AS d,
+  list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '') AS x FROM conversations),
+e AS (SELECT *, CASE WHEN d > 0 THEN d / len(x) ELSE 250.0 END AS step FROM c WHERE len(x) > 0), u AS (SELECT *, unnest(range(0, len(x))) AS pos, unnest(x) AS text FROM e)
+SELECT rush_id, seg_idx, pos, text, CAST(s + floor(pos * step + 0.5) AS BIGINT) AS start_ms, CAST(s + floor((pos + 1) * step + 0.5) AS BIGINT) AS end_ms, CAST(0.5 AS DOUBLE) AS probability FROM u"""
+
 SPOKEN = f"""{WORDS},
 r AS (SELECT *, CASE WHEN p IS NULL THEN 'start' WHEN {SENTENCE} THEN 'sentence' WHEN {SUSPENSION} THEN 'suspension' WHEN gap >= 1150 THEN 'long_gap' WHEN gap >= 620 THEN 'gap'
   WHEN right(trim(p), 1) IN ('-', '_') AND length(trim(p)) > 1 AND gap >= 120 THEN 'truncated' END AS reason FROM l),
@@ -212,5 +225,7 @@ SELECT user_id, id, duration, NOT (confidence < 0.75 AND speech >= 500 AND total
 avg(value) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN CURRENT ROW AND 172800 FOLLOWING) AS a, avg(value) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 172800 PRECEDING AND 1 PRECEDING) AS b FROM e)
 SELECT event_id, round(a - coalesce(b, 0), 6) AS onset FROM o""",
         "edit_lists": EDL,
+        "repaired_words": REPAIRED,
+        "spread_words": SPREAD,
         "weak_markers": f"SELECT conv_id, turn FROM conversations WHERE regexp_matches({normal_text('text')}, {q(chr(92) + 'b(' + '|'.join(L.WEAK_MARKERS) + ')' + chr(92) + 'b')})",
     }

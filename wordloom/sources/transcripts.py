@@ -46,3 +46,26 @@ def srt_blocks(cues: DataFrame) -> DataFrame:
     cue = F.struct("seg_idx", F.concat_ws("\n", F.concat(srt_time(F.col("start_ms")), F.lit(" --> "), srt_time(F.col("end_ms"))), "text").alias("body"))
     rows = F.transform(F.array_sort(F.collect_list(cue)), lambda x, i: F.concat((i + 1).cast("string"), F.lit("\n"), x["body"], F.lit("\n")))
     return cues.groupBy("rush_id").agg(F.array_join(rows, "\n").alias("srt"))
+
+
+def spread(cues: DataFrame) -> DataFrame:
+    """(rush_id, seg_idx, pos, text, start_ms, end_ms, probability): cues without words of their own, their time dealt evenly among what blanks part.
+
+    A cue that takes no time gives 250 ms to each; all are half sure.
+    """
+    tokens = F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")
+    own = cues.withColumn("n", F.size(tokens)).withColumn("step", F.when(F.col("end_ms") > F.col("start_ms"), (F.col("end_ms") - F.col("start_ms")) / F.col("n")).otherwise(250.0))
+    at = lambda k: F.col("start_ms") + F.floor(k * F.col("step") + 0.5).cast("long")
+    rows = own.where("n > 0").select("rush_id", "seg_idx", "start_ms", "step", F.posexplode(tokens).alias("pos", "word"))
+    return rows.select("rush_id", "seg_idx", "pos", F.col("word").alias("text"), at(F.col("pos")).alias("start_ms"), at(F.col("pos") + 1).alias("end_ms"), F.lit(0.5).alias("probability"))
+
+
+def transcript_json(segments: DataFrame, words: DataFrame) -> DataFrame:
+    """(rush_id, json): segments (rush_id, seg_idx, start_ms, end_ms, text) with their words (rush_id, seg_idx, idx, text, start_ms, end_ms, probability), times in seconds of four decimals, as ``read_json`` reads them."""
+    seconds = lambda c: F.round(F.col(c) / 1000, 4)
+    word = F.struct("idx", F.struct("text", seconds("start_ms").alias("start"), seconds("end_ms").alias("end"), F.round("probability", 4).alias("probability")).alias("w"))
+    said = words.groupBy("rush_id", "seg_idx").agg(F.transform(F.array_sort(F.collect_list(word)), lambda x: x["w"]).alias("words"))
+    own = segments.join(said, ["rush_id", "seg_idx"], "left")
+    one = F.struct("seg_idx", F.struct(seconds("start_ms").alias("start"), seconds("end_ms").alias("end"), "text", F.coalesce("words", F.array()).alias("words")).alias("s"))
+    out = own.groupBy("rush_id").agg(F.round(F.max("end_ms") / 1000, 4).alias("duration"), F.transform(F.array_sort(F.collect_list(one)), lambda x: x["s"]).alias("segments"))
+    return out.select("rush_id", F.to_json(F.struct(F.lit("wordloom-transcript").alias("format"), F.lit(1).alias("version"), "duration", "segments")).alias("json"))
