@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordloom.functions import numbers as N
-from wordloom.operators import audio, cuts, timeline, zoom
+from wordloom.operators import audio, cuts, intervals, timeline, zoom
 
 WORDS = "rush_id long, idx int, text string, norm string, start_ms long, end_ms long"
 
@@ -118,3 +118,11 @@ def test_levels_of_sound(spark):
 ])
 def test_texts_and_numbers(spark, f, x, want):
     assert spark.createDataFrame([(x,)], "x string").select(f(F.col("x")).alias("y")).first().y == want
+
+
+def test_spaced_choice(spark):
+    rows = [(1, 0, 5.0, 1), (1, 5, 9.0, 2), (1, 10, 5.0, 3), (1, 11, 4.0, 4), (1, None, 99.0, 5), (2, 3, 1.0, 6), (2, 3, 1.0, 7), (None, 1, 1.0, 8), (3, 1, None, 9)]
+    own = spark.createDataFrame(rows, "k long, t long, score double, id long")
+    got = {(r.k, r["rank"], r.id) for r in intervals.spaced_top(own, "k", 6, 3).collect()}
+    assert got == {(1, 0, 2), (1, 1, 4), (2, 0, 6), (None, 0, 8)}  # 11 is 6 after 5; 0 and 10 are too near; equal rows: the first id
+    assert intervals.spaced_top(own.limit(0), "k", 6, 3).count() == 0

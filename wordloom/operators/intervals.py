@@ -31,9 +31,16 @@ def total(rows: DataFrame, key: str) -> DataFrame:
 
 
 def spaced_top(rows: DataFrame, key: str, spacing: float, k: int) -> DataFrame:
-    """Greedy choice of up to k of (key, t, score, id) by score, each at least ``spacing`` from those chosen."""
-    ranked = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", "t"))).alias("all"))
-    none = F.lit(None).cast(ranked.schema["all"].dataType)
-    step = lambda got, x: F.when((F.size(got) < k) & F.forall(got, lambda g: F.abs(g["t"] - x["t"]) >= spacing), F.concat(got, F.array(x))).otherwise(got)
-    chosen = ranked.select(key, F.aggregate("all", F.coalesce(none, F.array().cast(ranked.schema["all"].dataType)), step).alias("got"))
-    return chosen.select(key, F.posexplode("got").alias("rank", "x")).select(key, "rank", "x.id", "x.t")
+    """Greedy choice of up to k of (key, t, score, id) by score, then id, each at least ``spacing`` from those chosen.
+
+    k rounds, each an aggregation with partial results that takes the best row still free, so no key's
+    rows ever meet in one task. Rows without time or score are never chosen.
+    """
+    own = rows.select(F.col(key).alias("_k"), "id", "t", "score").where("t is not null and score is not null")
+    row = F.struct((-F.col("score")).alias("s"), "id", "t")
+    chosen = own.groupBy("_k").agg(F.array(F.min(row)).alias("got")).withColumnRenamed("_k", "_c")
+    for _ in range(k - 1):
+        free = F.forall("got", lambda g: F.abs(g["t"] - F.col("t")) >= spacing)
+        round_ = own.join(chosen, F.col("_k").eqNullSafe(F.col("_c"))).groupBy("_c").agg(F.min(F.when(free, row)).alias("next"), F.any_value("got").alias("got"))
+        chosen = round_.select("_c", F.when(F.col("next").isNull(), F.col("got")).otherwise(F.array_append("got", F.col("next"))).alias("got"))
+    return chosen.select(F.col("_c").alias(key), F.posexplode("got").alias("rank", "x")).select(key, "rank", "x.id", "x.t")

@@ -71,6 +71,14 @@ SPREAD = r"""WITH c AS (SELECT conv_id AS rush_id, turn AS seg_idx, turn * 10000
 e AS (SELECT *, CASE WHEN d > 0 THEN d / len(x) ELSE 250.0 END AS step FROM c WHERE len(x) > 0), u AS (SELECT *, unnest(range(0, len(x))) AS pos, unnest(x) AS text FROM e)
 SELECT rush_id, seg_idx, pos, text, CAST(s + floor(pos * step + 0.5) AS BIGINT) AS start_ms, CAST(s + floor((pos + 1) * step + 0.5) AS BIGINT) AS end_ms, CAST(0.5 AS DOUBLE) AS probability FROM u"""
 
+SPACED = """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r
+  FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+g AS (SELECT user_id, r, [id] AS ids, [t] AS times FROM e WHERE r = 1
+  UNION ALL SELECT user_id, r, CASE WHEN far THEN list_append(ids, id) ELSE ids END, CASE WHEN far THEN list_append(times, t) ELSE times END
+  FROM (SELECT e.*, ids, times, len(list_filter(times, lambda x: abs(x - t) < 86400)) = 0 AS far FROM g JOIN e ON e.user_id = g.user_id AND e.r = g.r + 1 WHERE len(ids) < 5)),
+b AS (SELECT user_id, arg_max(ids, r) AS ids, arg_max(times, r) AS times FROM g GROUP BY user_id)
+SELECT user_id, unnest(range(0, len(ids))) AS rank, unnest(ids) AS id, unnest(times) AS t FROM b"""
+
 SPOKEN = f"""{WORDS},
 r AS (SELECT *, CASE WHEN p IS NULL THEN 'start' WHEN {SENTENCE} THEN 'sentence' WHEN {SUSPENSION} THEN 'suspension' WHEN gap >= 1150 THEN 'long_gap' WHEN gap >= 620 THEN 'gap'
   WHEN right(trim(p), 1) IN ('-', '_') AND length(trim(p)) > 1 AND gap >= 120 THEN 'truncated' END AS reason FROM l),
@@ -227,5 +235,6 @@ SELECT event_id, round(a - coalesce(b, 0), 6) AS onset FROM o""",
         "edit_lists": EDL,
         "repaired_words": REPAIRED,
         "spread_words": SPREAD,
+        "spaced_topk": SPACED,
         "weak_markers": f"SELECT conv_id, turn FROM conversations WHERE regexp_matches({normal_text('text')}, {q(chr(92) + 'b(' + '|'.join(L.WEAK_MARKERS) + ')' + chr(92) + 'b')})",
     }
