@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import decontam, langid, line_dedup, lm_scoring, ngram_join, packing, quality, sharding, token_files, toxicity
+from wordloom.llm import decontam, interactions, langid, line_dedup, lm_scoring, ngram_join, packing, quality, search, sharding, token_files, toxicity, urls
 
 #: Name of the tokenizer file; a parameter of the operators.
 TOKENIZER = "word_bpe_49k.json"
@@ -69,8 +69,20 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs)).select("doc_id", toxicity.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op13_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_join, op2_token_files, op3_packing, op4_lm_scoring, op5_line_dedup, op6_decontamination, op7_sharding, op8_quality, op9_toxicity, op10_language)
+    own = (op1_ngram_join, op2_token_files, op3_packing, op4_lm_scoring, op5_line_dedup, op6_decontamination, op7_sharding, op8_quality, op9_toxicity, op10_language, op11_search, op12_url_filter, op13_interactions)
     return {f.__name__: f for f in own}
 
 
@@ -122,6 +134,40 @@ FROM m GROUP BY doc_id
 """
 
 
+_TERMS = r"list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+_SEARCH_SQL = f"""
+WITH d AS (SELECT doc_id, {_TERMS.format("coalesce(text, '')")} AS w FROM documents),
+k AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d),
+p AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d),
+f AS (SELECT doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS.format("coalesce(text, '')")}) AS term FROM benchmark) GROUP BY ALL),
+g AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS weight FROM f CROSS JOIN k WHERE term IN (SELECT term FROM q) GROUP BY term, docs),
+i AS (SELECT f.doc_id, f.term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total)) AS gain FROM f CROSS JOIN k WHERE f.term IN (SELECT term FROM q)),
+s AS (SELECT item_id, doc_id, CAST(sum(times * weight * gain) AS BIGINT) AS score FROM q JOIN g USING (term) JOIN i USING (term) GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+def _audit_sql() -> str:
+    steps = ", ".join(f"('{o}', {step}, {applied}, {'ABCDE'.index(f)})" for o, step, applied, f in interactions.orders(list("ABCDE")))
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {_WORDS.format("t")} AS w, row_number() OVER (PARTITION BY t ORDER BY doc_id) > 1 AS e FROM t),
+b AS (SELECT part, l.quality = 1 AS good, l.toxic = 1 AS toxic, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN e THEN 16 ELSE 0 END AS fails
+  FROM w LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM b GROUP BY part, fails),
+s(filter_order, step, applied, f) AS (VALUES {steps}),
+x AS (SELECT part, filter_order, step, f, CAST(sum(CASE WHEN fails & (applied | (1 << f)) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN fails & applied = 0 AND fails & (1 << f) > 0 THEN n ELSE 0 END) AS BIGINT) AS removed, CAST(sum(CASE WHEN fails & applied > 0 AND fails & (1 << f) > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN fails = (1 << f) THEN n ELSE 0 END) AS BIGINT) AS unique_fails, CAST(sum(CASE WHEN fails & applied = 0 AND fails & (1 << f) > 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN fails & applied = 0 AND fails & (1 << f) > 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost FROM g CROSS JOIN s GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM x
+"""
+
+
 def _quality_sql() -> str:
     words = list(dict.fromkeys(quality.COMMON_WORDS))
     strip, lefts = f"regexp_replace(t, '{quality._SPACES}', '', 'g')", []
@@ -160,4 +206,4 @@ FROM b LEFT JOIN d USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": _JOIN_SQL, "op4_lm_scoring": _LM_SQL, "op5_line_dedup": _LINES_SQL, "op8_quality": _quality_sql()}
+    return {"op1_ngram_join": _JOIN_SQL, "op4_lm_scoring": _LM_SQL, "op5_line_dedup": _LINES_SQL, "op8_quality": _quality_sql(), "op11_search": _SEARCH_SQL, "op13_interactions": _audit_sql()}
