@@ -91,92 +91,108 @@ def phrase_hits(words: DataFrame, phrases: tuple[str, ...] = L.FILLER_PHRASES) -
     return w.withColumn("phrase", found).where("phrase is not null").select("rush_id", "idx", "phrase")
 
 
-FOUND = "array<struct<kind string, words array<int>, start_ms long, end_ms long, confidence double, text string, kept_text string>>"
-
-
-def disfluencies(words: DataFrame, rules: DisfluencyRules = DisfluencyRules()) -> DataFrame:
-    """(rush_id, kind, words, start_ms, end_ms, confidence, text, kept_text): the ``idx`` of the words that go, and what stays in their place."""
+def distinct_phrases(phrases: tuple[str, ...]) -> list[list[str]]:
+    """The phrases as words; an error if one can begin inside another, for then the choice of one would bar the other."""
+    words = [p.split() for p in phrases]
+    for a in words:
+        for b in words:
+            if any(a[k : k + len(b)] == b[: len(a) - k] for k in range(1, len(a))):
+                raise ValueError(f"{' '.join(b)!r} can begin inside {' '.join(a)!r}")
+    return words
+
+
+def disfluencies(words: DataFrame, rules: DisfluencyRules = DisfluencyRules(), phrases: tuple[str, ...] = L.FILLER_PHRASES) -> DataFrame:
+    """(rush_id, kind, words, start_ms, end_ms, confidence, text, kept_text): the ``idx`` of the words that go, and what stays in their place.
+
+    Each kind masks the ones after it. All that can be told of a word and its neighbours is a window column;
+    one aggregation gathers an utterance with its few candidates, and only utterances that have several candidates
+    of repeats go through a fold that lets the longest group and then the earliest bar the others.
+    """
+    u = ("rush_id", "run", "part")
+    of, order = W.partitionBy(*u), W.partitionBy(*u).orderBy("idx")
     own = with_utterances(words.select("rush_id", "idx", "text", "norm", "start_ms", "end_ms"))
     own = own.withColumn("before", F.col("start_ms") - F.coalesce(F.lag("end_ms").over(by_word()), F.lit(0)))
-    said = F.array_sort(F.collect_list(F.struct("idx", "text", "norm", "start_ms", "end_ms", "before")))
-    own = own.groupBy("rush_id", "run", "part").agg(said.alias("said"))
-    find = F.udf(lambda said: _in_utterance(said, rules), FOUND)
-    return own.select("rush_id", F.explode(find("said")).alias("f")).select("rush_id", "f.*")
-
-
-def _in_utterance(said, rules: DisfluencyRules) -> list[tuple]:
-    """What is found in one utterance, each with the places of its words."""
-    found = _fillers(said, rules)
-    found += _stutters(said, {k for f in found for k in f[1]}, rules)
-    found += _abandoned(said, {k for f in found for k in f[1]}, rules)
-    gone = {k for f in found for k in f[1]}
-    if all(k in gone or not w.norm for k, w in enumerate(said)) and any(len(w.norm) > 1 and w.norm not in _EMPTY for w in said):
-        found = [f for f in found if f[0] != "stutter"]
-    clean = lambda places: " ".join(said[k].text.strip() for k in places)
-    return [(kind, [said[k].idx for k in at], said[at[0]].start_ms, said[at[-1]].end_ms, c, clean(at), clean(kept)) for kind, at, c, kept in sorted(found, key=lambda f: said[f[1][0]].start_ms)]
-
-
-def _fillers(said, rules: DisfluencyRules) -> list[tuple]:
-    norm, found, used = [w.norm for w in said], [], set()
-    for phrase in (p.split() for p in L.FILLER_PHRASES):
-        for at in range(len(norm) - len(phrase) + 1):
-            own = range(at, at + len(phrase))
-            if used.isdisjoint(own) and norm[at : at + len(phrase)] == phrase and any(x for k, x in enumerate(norm) if k not in own):
-                found.append(("filler_phrase", list(own), 0.80, []))
-                used.update(own)
-    for k, w in enumerate(said):
-        hard = w.norm in L.HARD_FILLERS
-        soft = rules.soft and (w.norm in L.SOFT_FILLERS or _stem(w.norm) in L.SOFT_FILLERS)
-        if k in used or not (hard or soft) or w.end_ms - w.start_ms > rules.longest_filler:
-            continue
-        if hard:
-            found.append(("filler", [k], 0.95 if len(w.norm) <= 4 else 0.88, []))
-        elif w.before >= 200 or any(x in L.HARD_FILLERS for x in (*norm[max(0, k - 1) : k], *norm[k + 1 : k + 2])):
-            found.append(("filler", [k], 0.64, []))
-    return found
-
-
-def _stutters(said, fillers: set[int], rules: DisfluencyRules) -> list[tuple]:
-    """Groups of words said again at once, the longest first, looking through fillers; all but the last go."""
-    place = [k for k, w in enumerate(said) if w.norm and k not in fillers]
-    norm, found, used = [said[k].norm for k in place], [], set()
+
+    known = distinct_phrases(phrases)
+    longest = max(map(len, known))
+    ahead = [F.lead("norm", k).over(order) if k else F.col("norm") for k in range(longest)]
+    own = own.withColumns({"k": F.row_number().over(order) - 1, "said": F.count_if(F.col("norm") != "").over(of), **{f"w{k}": c for k, c in enumerate(ahead)}})
+    fits = lambda p: reduce(lambda a, b: a & b, [F.col(f"w{k}") == x for k, x in enumerate(p)]) & (F.col("said") > len(p))
+    own = own.withColumn("phrase", F.coalesce(*(F.when(fits(p), len(p)) for p in known), F.lit(0)))
+    own = own.withColumn("in_phrase", F.max(F.col("k") + F.col("phrase")).over(order.rowsBetween(1 - longest, 0)) > F.col("k"))
+
+    hard = lambda c: F.coalesce(c.isin(*L.HARD_FILLERS), F.lit(False))
+    is_hard, quick = hard(F.col("norm")), F.col("end_ms") - F.col("start_ms") <= rules.longest_filler
+    filler = F.when(is_hard, F.when(F.char_length("norm") <= 4, 0.95).otherwise(0.88))
+    if rules.soft:
+        soft = F.col("norm").isin(*L.SOFT_FILLERS) | word_stem(F.col("norm")).isin(*L.SOFT_FILLERS)
+        beside = hard(F.lag("norm").over(order)) | hard(F.lead("norm").over(order)) | (F.col("before") >= 200)
+        filler = F.coalesce(filler, F.when(soft & beside, 0.64))
+    own = own.withColumn("filler", F.when(~F.col("in_phrase") & quick, filler))
+    own = own.withColumn("masked", F.col("in_phrase") | F.col("filler").isNotNull())
+
+    # repeats, looking through fillers: places count the words that are left
+    place = W.partitionBy(*u, "free").orderBy("idx")
+    own = own.withColumn("free", ~F.col("masked") & (F.col("norm") != ""))
+    own = own.withColumn("p", F.when(F.col("free"), F.row_number().over(place) - 1))
+    groups = []
     for n in range(rules.longest_group, 0, -1):
-        at = 0
-        while at + 2 * n <= len(place):
-            group = norm[at : at + n]
-            meant = n == 1 and (group[0] in L.INTENSIFIERS or group[0] in L.GRAMMATICAL_DOUBLES)
-            gap = said[place[at + n]].start_ms - said[place[at + n - 1]].end_ms
-            if not used.isdisjoint(range(at, at + 2 * n)) or group != norm[at + n : at + 2 * n] or meant or gap > rules.stutter_gap:
-                at += 1
-                continue
-            times = 2
-            while norm[at + times * n : at + (times + 1) * n] == group:
-                times += 1
-            end = at + times * n
-            found.append(("stutter", place[at : end - n][-rules.most_removed :], 0.92 if n == 1 else 0.86, place[end - n : end]))
-            used.update(range(at, end))
-            at = end
-    return found
-
-
-def _abandoned(said, taken: set[int], rules: DisfluencyRules) -> list[tuple]:
-    """Words that the next one begins with: surely where the word is marked as cut off, ``compe- competition``."""
-    found = []
-    for k in range(len(said) - 1):
-        word, target, stem = said[k], said[k + 1].norm, _stem(said[k].norm)
-        if k in taken or k + 1 in taken or len(stem) < rules.least_stem or not target.startswith(stem) or len(target) <= len(stem) or word.end_ms - word.start_ms > rules.longest_abandoned:
-            continue
-        gap, shown = said[k + 1].start_ms - word.end_ms, word.text.strip().rstrip("\"'»)]….")
-        if len(shown) > 1 and shown[-1] in "-_":
-            if gap <= rules.truncated_gap:
-                found.append(("abandoned", [k], 0.93, [k + 1]))
-        elif gap <= rules.abandoned_gap and len(stem) <= 5 and stem not in _COMMON and len(target) >= len(stem) + 2:
-            found.append(("abandoned", [k], 0.66, [k + 1]))
-    return found
-
-
-def _stem(norm: str) -> str:
-    return norm.rstrip("-_'")
+        same = F.coalesce(F.col("free") & (F.lead("norm", n).over(place) == F.col("norm")), F.lit(False))
+        own = own.withColumn(f"same{n}", same)
+        own = own.withColumn(f"alike{n}", F.min(F.when(~F.col(f"same{n}"), F.col("p"))).over(place.rowsBetween(0, W.unboundedFollowing)) - F.col("p"))
+        own = own.withColumn(f"gap{n}", F.lead("start_ms", n).over(place) - F.lead("end_ms", n - 1).over(place) if n > 1 else F.lead("start_ms").over(place) - F.col("end_ms"))
+        meant = F.col("norm").isin(*L.INTENSIFIERS, *L.GRAMMATICAL_DOUBLES) if n == 1 else F.lit(False)
+        ok = F.col("free") & (F.col(f"alike{n}") >= n) & (F.col(f"gap{n}") <= rules.stutter_gap) & ~meant
+        groups.append(F.when(ok, F.struct(F.lit(-n).alias("n"), F.col("p").alias("a"), (F.col("p") + n * (1 + F.floor(F.col(f"alike{n}") / n))).cast("int").alias("b"))))
+
+    # words that the next one begins with
+    stem, target = word_stem(F.col("norm")), F.lead("norm").over(order)
+    own = own.withColumns({"stem": stem, "target": target, "ahead": F.lead("start_ms").over(order) - F.col("end_ms"), "next_masked": F.lead("masked").over(order)})
+    m, t = F.char_length("stem"), F.char_length("target")
+    begun = (m >= rules.least_stem) & F.col("target").startswith(F.col("stem")) & (t > m) & (F.col("end_ms") - F.col("start_ms") <= rules.longest_abandoned) & ~F.col("masked") & ~F.col("next_masked")
+    marked = T.is_truncated(F.rtrim(F.trim("text"), F.lit("\"'»)]….")))
+    short = (F.col("ahead") <= rules.abandoned_gap) & (m <= 5) & (t >= m + 2) & ~F.col("stem").isin(*sorted(_COMMON))
+    given_up = F.when(begun & marked & (F.col("ahead") <= rules.truncated_gap), 0.93).when(begun & ~marked & short, 0.66)
+
+    each = own.groupBy(*u).agg(
+        F.array_sort(F.collect_list(F.struct("idx", "k", "p", "norm", "start_ms", "end_ms", F.trim("text").alias("text"), "masked"))).alias("said"),
+        F.collect_list(F.when(F.col("phrase") > 0, F.struct("k", F.col("phrase").alias("n")))).alias("phrases"),
+        F.collect_list(F.when(F.col("filler").isNotNull(), F.struct("k", F.col("filler").alias("c")))).alias("fillers"),
+        F.array_sort(F.flatten(F.collect_list(F.array_compact(F.array(*groups))))).alias("groups"),
+        F.collect_list(F.when(given_up.isNotNull(), F.struct("k", given_up.alias("c")))).alias("given_up"),
+    )
+    each = each.where((F.size("phrases") > 0) | (F.size("fillers") > 0) | (F.size("groups") > 0) | (F.size("given_up") > 0))
+
+    free = lambda taken, g: F.forall(taken, lambda x: (x["b"] <= g["a"]) | (x["a"] >= g["a"] - 2 * g["n"]))
+    none = F.array().cast("array<struct<n:int,a:int,b:int>>")
+    each = each.withColumn("groups", F.when(F.size("groups") > 1, F.aggregate("groups", none, lambda got, g: F.when(free(got, g), F.array_append(got, g)).otherwise(got))).otherwise(F.col("groups")))
+
+    size = "struct<kind string, words array<int>, kept array<int>, start_ms long, end_ms long, confidence double, text string, kept_text string>"
+
+    def found(kind: str, out, kept, confidence):
+        """Words and kept ones are parts of ``said``."""
+        names = lambda x: F.transform(x, lambda w: w["idx"])
+        texts = lambda x: F.array_join(F.transform(x, lambda w: w["text"]), " ")
+        return F.struct(
+            F.lit(kind).alias("kind"), names(out).alias("words"), names(kept).alias("kept"), F.element_at(out, 1)["start_ms"].alias("start_ms"), F.element_at(out, -1)["end_ms"].alias("end_ms"),
+            confidence.alias("confidence"), texts(out).alias("text"), texts(kept).alias("kept_text"),
+        ).cast(size)
+
+    said = F.col("said")
+    span = lambda k, n: F.slice(said, k + 1, n)
+    places = lambda a, b: F.filter(said, lambda w: (w["p"] >= a) & (w["p"] < b))
+    nothing = F.slice(said, 1, 0)
+    each = each.withColumn("stutters", F.transform("groups", lambda g: found("stutter", places(F.greatest(g["a"], g["b"] + g["n"] - rules.most_removed), g["b"] + g["n"]), places(g["b"] + g["n"], g["b"]), F.when(g["n"] == -1, 0.92).otherwise(0.86))))
+    each = each.withColumn("gone", F.flatten(F.transform("stutters", lambda f: f["words"])))
+    kept = F.filter("given_up", lambda c: ~F.array_contains("gone", F.get(said, c["k"])["idx"]) & ~F.array_contains("gone", F.get(said, c["k"] + 1)["idx"]))
+    each = each.withColumn("given_up", F.transform(kept, lambda c: found("abandoned", span(c["k"], F.lit(1)), span(c["k"] + 1, F.lit(1)), c["c"])))
+    gone = F.concat("gone", F.flatten(F.transform("given_up", lambda f: f["words"])))
+    emptied = F.forall(said, lambda w: w["masked"] | (w["norm"] == "") | F.array_contains(gone, w["idx"])) & F.exists(said, lambda w: (F.char_length(w["norm"]) > 1) & ~w["norm"].isin(*sorted(_EMPTY)))
+    every = F.concat(
+        F.transform("phrases", lambda c: found("filler_phrase", span(c["k"], c["n"]), nothing, F.lit(0.80))), F.transform("fillers", lambda c: found("filler", span(c["k"], F.lit(1)), nothing, c["c"])),
+        F.when((F.size("stutters") > 0) & emptied, F.slice("stutters", 1, 0)).otherwise(F.col("stutters")), F.col("given_up"),
+    )
+    return each.select("rush_id", F.explode(every).alias("f")).select("rush_id", "f.kind", "f.words", "f.start_ms", "f.end_ms", "f.confidence", "f.text", "f.kept_text")
 
 
 _COMMON = frozenset([*L.COMMON_SHORT_WORDS, *V.STOPWORDS])

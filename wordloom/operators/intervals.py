@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wordloom.tables import sound_unions
+
 
 def merge(rows: DataFrame, key: str, tolerance: int = 0) -> DataFrame:
     """Unions of intervals (key, start, end) that touch or lie within the tolerance."""
@@ -17,9 +19,11 @@ def merge(rows: DataFrame, key: str, tolerance: int = 0) -> DataFrame:
 
 
 def subtract(base: DataFrame, holes: DataFrame, key: str) -> DataFrame:
-    """What of the base is in no hole: both merged, then a sweep over their ends (one shuffle by key)."""
-    ends = lambda d, name, by: d.select(key, F.col("start").alias("t"), F.lit(by).alias(name)).unionByName(d.select(key, F.col("end").alias("t"), F.lit(-by).alias(name)))
-    both = ends(merge(base, key), "b", 1).unionByName(ends(merge(holes, key), "h", 1), allowMissingColumns=True)
+    """What of the base is in no hole: one sweep over the ends of both, counting how many intervals are open (one shuffle by key)."""
+    sound_unions(base.sparkSession)
+    step = lambda t, by: F.struct(F.col(t).alias("t"), F.lit(by).alias("by"))
+    ends = lambda d, name: d.where("end > start").select(key, F.explode(F.array(step("start", 1), step("end", -1))).alias("e")).select(key, "e.t", F.col("e.by").alias(name))
+    both = ends(base, "b").unionByName(ends(holes, "h"), allowMissingColumns=True)
     at = both.groupBy(key, "t").agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("h"), F.lit(0)).alias("h"))
     order = W.partitionBy(key).orderBy("t")
     at = at.withColumn("in_b", F.sum("b").over(order)).withColumn("in_h", F.sum("h").over(order)).withColumn("to", F.lead("t").over(order))

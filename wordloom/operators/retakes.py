@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.markers import with_marks
 from wordloom.operators.similarity import measures
+from wordloom.shipping import ship
 
 
 @dataclass(frozen=True)
@@ -156,6 +157,7 @@ def retakes(utterances: DataFrame, rules: RetakeRules = RetakeRules()) -> DataFr
     Lone connectors and lone strong markers are in no group: group_id and kept_utt are null there.
     An empty table gives no rows; null texts are utterances without words.
     """
+    ship(utterances.sparkSession)
     chosen = judged_pairs(utterance_pairs(utterances, rules), rules).groupBy("rush_id").applyInPandas(_choose, _CHOSEN)
     chosen = chosen.withColumn("confidence", F.round("confidence", 3))
     u = with_marks(utterances).withColumn("utt_id", F.col("utt_id").cast("long")).join(chosen.select("rush_id", "utt_id"), ["rush_id", "utt_id"], "left_anti")

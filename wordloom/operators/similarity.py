@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import lexicon as L
 from wordloom.functions import vocabulary as V
+from wordloom.shipping import ship
 
 _STEM = re.compile(rf"(.{{4,}}?)(?:{'|'.join(V.INFLECTIONS)})")
 _DROPPED = re.compile(rf"(?<!\S)(?:{'|'.join(V.FILLER_SEQUENCES)})(?!\S)")
@@ -155,4 +156,5 @@ def _measure(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 
 def measures(a: Column, b: Column) -> Column:
     """MEASURES of two columns of normal tokens, the earlier utterance first."""
+    ship()
     return F.pandas_udf(_measure, MEASURES)(a, b)

@@ -14,6 +14,7 @@ from wordloom.functions import markers as M
 from wordloom.functions import text as T
 from wordloom.operators.similarity import MEASURES, compare, degree
 from wordloom.operators.words import with_utterances
+from wordloom.shipping import ship
 
 #: Words on either side of a restart, at least; words of a marker at the head, at most.
 TAKE, HEAD = 3, 6
@@ -76,6 +77,7 @@ def _restarts(tokens: pd.Series) -> pd.Series:
 
 
 def restart_at(tokens: Column) -> Column:
+    ship()
     return F.pandas_udf(_restarts, "int")(tokens)
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from wordloom.operators.zoom import keyframes
+from wordloom.shipping import ship
 
 
 @dataclass(frozen=True)
@@ -143,6 +144,7 @@ def zooms(shots: DataFrame, scores: DataFrame, rules: ZoomRules = ZoomRules(), s
         out.insert(0, "rush_id", pdf["rush_id"].iloc[0])
         return out
 
+    ship(shots.sparkSession)
     kind = shots.schema["rush_id"].dataType.simpleString()
     own = shots.select("rush_id", "shot", "start", "end", "timeline_start").join(scores.select("rush_id", "shot", "score"), ["rush_id", "shot"], "left").na.fill({"score": -5.0})
     return own.groupBy("rush_id").applyInPandas(run, f"rush_id {kind}, {PLAN}")

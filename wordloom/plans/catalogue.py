@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,19 +11,22 @@ from wordloom.functions import lexicon as L
 from wordloom.functions import markers as M
 from wordloom.functions import numbers
 from wordloom.functions import text as T
-from wordloom.operators import cuts, disfluency, intervals, levels, retakes, seams, splits, timeline, words, zoom
+from wordloom.operators import cuts, decisions, disfluency, intervals, levels, retakes, seams, splits, timeline, words, zoom
 from wordloom.operators import zoom_plan as zoom_plans
 from wordloom.sources import projects, transcripts
+from wordloom.tables import cut, sound_unions
 
 
-#: Turns in which the markers of correction occur, which the tables' invented prose lacks.
-SCRIPT = (
-    (-1, 0, "Non, je recommence."), (-1, 1, "Attends, je refais la phrase sur le moteur."), (-1, 2, "Bref."), (-1, 3, "On coupe, la question du moteur reste."),
-    (-1, 4, "Sorry, wait."), (-1, 5, "Let me rephrase."), (-1, 6, "Scratch that!"), (-1, 7, "I messed that up, the engine is new"), (-1, 8, "Non non non"), (-1, 9, "Une phrase sans rien"),
-)
+#: What ``spoken`` puts into turns: markers of correction, stock phrases, words that can't end a sentence.
+MARKERS = ("Je recommence", "Attends, je refais la phrase", "On coupe", "Let me rephrase", "Scratch that", "I messed that up", "Non non non", "Sorry, wait")
+PHRASES = ("you know", "i mean", "je sais pas", "enfin bref", "comment dire", "what was it")
+LOOSE_ENDS = ("mais", "avec", "because", "the")
+#: The kinds of turns, by a number of conversation and turn; the other numbers leave a turn as it is.
+KINDS = 12
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    sound_unions(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -30,6 +35,27 @@ def clock(spark: SparkSession, sf: str) -> DataFrame:
     return words.word_clock(c.select(F.col("conv_id").alias("rush_id"), F.col("turn").alias("seg_idx"), "text"))
 
 
+def spoken(spark: SparkSession, sf: str) -> DataFrame:
+    """(rush_id, seg_idx, text): the turns of conversations as people speak, with restarts, repeats, markers and loose ends.
+
+    The tables' invented prose has none, so they are made from each turn's own words, by its numbers.
+    """
+    c = _read(spark, sf, "conversations").select(F.col("conv_id").alias("rush_id"), F.col("turn").alias("seg_idx"), "text")
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), ((F.col("rush_id") + F.col("seg_idx")) % len(words) + 1).cast("int"))
+    text, kind, first = F.col("text"), (7 * F.col("rush_id") + 3 * F.col("seg_idx")) % KINDS, lambda n: F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, n), " ")
+    made = (
+        F.concat(pick(MARKERS), F.lit(", "), text), F.concat(pick(MARKERS), F.lit(". "), text), F.concat(pick(PHRASES), F.lit(" "), text), F.concat(first(5), F.lit("- "), text),
+        F.concat(F.lit("euh "), text), F.concat(F.regexp_replace(text, r"[.!?]+$", ""), F.lit(" "), pick(LOOSE_ENDS)), F.concat(first(2), F.lit(" "), text), F.concat(first(3), F.lit(" "), text),
+        F.concat(first(1), F.lit(" "), first(1), F.lit(" "), text), F.concat(F.substring(first(1), 1, 3), F.lit("- "), text), F.concat(pick(MARKERS), F.lit(".")),
+    )
+    said = reduce(lambda c, k: c.when(kind == k, made[k]), range(1, len(made)), F.when(kind == 0, made[0])).otherwise(text)
+    return c.select("rush_id", "seg_idx", said.alias("text"))
+
+
+def spoken_clock(spark: SparkSession, sf: str) -> DataFrame:
+    return words.word_clock(spoken(spark, sf))
+
+
 def word_clock(spark, sf):
     return clock(spark, sf)
 
@@ -59,7 +85,8 @@ def abandoned_words(spark, sf):
 
 
 def disfluencies(spark, sf):
-    return disfluency.disfluencies(clock(spark, sf))
+    found = disfluency.disfluencies(spoken_clock(spark, sf))
+    return found.withColumn("words", F.array_join(F.col("words").cast("array<string>"), " "))
 
 
 def ngram_phrases(spark, sf):
@@ -194,8 +221,7 @@ def weak_markers(spark, sf):
 
 
 def strong_markers(spark, sf):
-    c = _read(spark, sf, "conversations").select("conv_id", "turn", "text").unionByName(spark.createDataFrame(list(SCRIPT), "conv_id long, turn long, text string"))
-    c = c.select("conv_id", "turn", T.normalize_text("text").alias("norm"))
+    c = spoken(spark, sf).select(F.col("rush_id").alias("conv_id"), F.col("seg_idx").alias("turn"), T.normalize_text("text").alias("norm"))
     return c.select("conv_id", "turn", M.strong_marker(F.col("norm")).alias("strong"), M.standalone_marker(F.col("norm")).alias("alone")).where("strong or alone")
 
 
@@ -296,12 +322,37 @@ def project_files(spark, sf):
     return xml.select("rush_id", F.char_length("xml").alias("n"), F.sha2("xml", 256).alias("sha256"))
 
 
+def _edit(spark, sf) -> decisions.Edit:
+    """Hesitations and lone strong markers to an edit with shots of a second at least."""
+    w = cut(spoken_clock(spark, sf), "clock")
+    alone = M.with_marks(words.utterances(w)).where("marker and strong")
+    alone = alone.select("rush_id", F.lit("marker").alias("source"), "start_ms", "end_ms", F.lit(0.88).alias("confidence"), F.sequence("first_idx", (F.col("first_idx") + F.col("n_words") - 1).cast("int")).alias("words"))
+    return decisions.edit(w, decisions.hesitations(w).unionByName(alone), decisions.EditRules(least_shot=1000))
+
+
+def edit_decisions(spark, sf):
+    """Each finding: whether it is applied, or was and is withdrawn because a word of it stands in a shot."""
+    own = _edit(spark, sf).removals
+    return own.select("rush_id", "source", "start_ms", "end_ms", "confidence", F.array_join(F.col("words").cast("array<string>"), " ").alias("words"), "applied", "limited", "withdrawn")
+
+
+def edit_shots(spark, sf):
+    return _edit(spark, sf).shots.select("rush_id", "shot", "start", "end", "timeline_start", "after")
+
+
+def edit_sets(spark, sf):
+    """Runs of removed and of benign words, without those that survive; whether all of a recording's removed words are benign."""
+    made = _edit(spark, sf)
+    both = made.removed.withColumn("kind", F.lit("removed")).unionByName(made.benign.withColumn("kind", F.lit("benign")))
+    return both.join(decisions.subset(made.removed, made.benign), "rush_id").select("rush_id", "kind", "start", "end", "inside")
+
+
 QUERIES = (
     word_clock, utterance_sessions, gap_summary, hard_fillers, soft_fillers, stutter_runs, abandoned_words, disfluencies, ngram_phrases, timeline_shots, frame_clips,
     short_shots, merge_intervals, subtract_intervals, interval_totals, spaced_topk, event_sessions, event_level_percentiles, removal_budget,
     cache_retention, content_jaccard, language_characters, role_words, weak_markers,
     strong_markers, silence_cuts, number_texts, shot_scores, minimum_shots, content_words, curve_samples, language_durations, onset_strength, pair_similarity, retake_groups, fragments, edit_lists, seam_checks,
-    repaired_words, spread_words, split_utterances, utterance_checks, zoom_plan, project_files,
+    repaired_words, spread_words, split_utterances, utterance_checks, zoom_plan, project_files, edit_decisions, edit_shots, edit_sets,
 )
 
 

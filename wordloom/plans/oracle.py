@@ -7,7 +7,7 @@ from wordloom.functions import markers as M
 from wordloom.functions import text as T
 from wordloom.functions import vocabulary as V
 from wordloom.functions.numbers import RATES
-from wordloom.plans.catalogue import SCRIPT
+from wordloom.plans.catalogue import KINDS, LOOSE_ENDS, MARKERS, PHRASES
 
 
 def q(s: str) -> str:
@@ -48,6 +48,24 @@ w AS (SELECT rush_id, seg_idx, idx, text, {normal("text")} AS norm, CAST(e - dur
 l AS (SELECT *, lag(text) OVER o AS p, greatest(0, start_ms - lag(end_ms) OVER o) AS gap, lag(end_ms) OVER o AS before_ms, lag(norm) OVER o AS before,
   lead(norm) OVER o AS target, lead(start_ms) OVER o - end_ms AS ahead FROM w WINDOW o AS (PARTITION BY rush_id ORDER BY idx))"""
 
+def picked(words) -> str:
+    return f"[{', '.join(map(q, words))}][1 + (conv_id + turn) % {len(words)}]"
+
+
+FIRST = "array_to_string(regexp_split_to_array(trim(text), '\\s+')[1:{}], ' ')"
+MADE = (
+    f"{picked(MARKERS)} || ', ' || text", f"{picked(MARKERS)} || '. ' || text", f"{picked(PHRASES)} || ' ' || text", f"{FIRST.format(5)} || '- ' || text", "'euh ' || text",
+    f"regexp_replace(text, '[.!?]+$', '') || ' ' || {picked(LOOSE_ENDS)}", f"{FIRST.format(2)} || ' ' || text", f"{FIRST.format(3)} || ' ' || text",
+    f"{FIRST.format(1)} || ' ' || {FIRST.format(1)} || ' ' || text", f"left({FIRST.format(1)}, 3) || '- ' || text", f"{picked(MARKERS)} || '.'",
+)
+TURNS = f"turns AS (SELECT conv_id, turn, CASE (7 * conv_id + 3 * turn) % {KINDS} {' '.join(f'WHEN {k} THEN {x}' for k, x in enumerate(MADE))} ELSE text END AS text FROM conversations)"
+
+
+def on_turns(sql: str) -> str:
+    """The same on what ``spoken`` makes of conversations."""
+    return TURNS + ",\n" + sql.lstrip().replace("FROM conversations", "FROM turns")
+
+
 UTTERANCES = f"""WITH {WORDS},
 r AS (SELECT *, CASE WHEN p IS NULL THEN 'start' WHEN {SENTENCE} THEN 'sentence' WHEN {SUSPENSION} THEN 'suspension' WHEN gap >= 1150 THEN 'long_gap' WHEN gap >= 620 THEN 'gap'
   WHEN right(trim(p), 1) IN ('-', '_') AND length(trim(p)) > 1 AND gap >= 120 THEN 'truncated' END AS reason FROM l),
@@ -124,8 +142,7 @@ CONTENT = f"(length(x) >= 2 AND x NOT IN {among([*V.STOPWORDS, *L.HARD_FILLERS])
 
 def _strong() -> str:
     weak = q(M._WEAK_WORD)
-    script = ", ".join(f"({c}, {t}, {q(x)})" for c, t, x in SCRIPT)
-    return f"""WITH c AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT * FROM (VALUES {script})), n AS (SELECT conv_id, turn, {normal_text('text')} AS norm FROM c),
+    return f"""WITH {TURNS}, n AS (SELECT conv_id, turn, {normal_text('text')} AS norm FROM turns),
 s AS (SELECT *, regexp_matches(norm, {q(M.STRONG)}) AS strong, list_filter(string_split(norm, ' '), lambda x: x <> '') AS said FROM n),
 a AS (SELECT conv_id, turn, strong, CASE WHEN len(said) = 0 THEN false WHEN norm IN {among(V.STANDALONE_MARKERS)} THEN true
   WHEN strong THEN len(list_filter(regexp_split_to_array(regexp_replace(norm, {q(M.STRONG)}, ' ', 'g'), ' +'), lambda x: {CONTENT})) = 0
@@ -134,6 +151,109 @@ a AS (SELECT conv_id, turn, strong, CASE WHEN len(said) = 0 THEN false WHEN norm
 SELECT conv_id, turn, strong, alone FROM a WHERE strong OR alone"""
 
 
+def _found() -> str:
+    """All kinds of hesitations in order, as ``fo``; ``dg`` goes through an utterance's candidates of repeats, the longest group and then the earliest first."""
+    longest = max(len(p.split()) for p in L.FILLER_PHRASES)
+    o = "PARTITION BY rush_id, run, part ORDER BY idx"
+    ahead = ", ".join(f"lead(norm, {k}) OVER o AS w{k}" if k else "norm AS w0" for k in range(longest))
+    fits = " ".join("WHEN " + " AND ".join(f"w{k} = {q(x)}" for k, x in enumerate(p.split())) + f" AND said > {len(p.split())} THEN {len(p.split())}" for p in L.FILLER_PHRASES)
+    same = ", ".join(f"coalesce(lead(norm, {n}) OVER v = norm, false) AS s{n}, lead(start_ms, {n}) OVER v - {f'lead(end_ms, {n - 1}) OVER v' if n > 1 else 'end_ms'} AS g{n}" for n in (1, 2, 3))
+    alike = ", ".join(f"min(CASE WHEN NOT s{n} THEN p END) OVER (PARTITION BY rush_id, run, part ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - p AS r{n}" for n in (1, 2, 3))
+    meant = among([*L.INTENSIFIERS, *L.GRAMMATICAL_DOUBLES])
+    groups = " UNION ALL ".join(f"SELECT rush_id, run, part, {n} AS n, p AS a, p + {n} * (1 + r{n} // {n}) AS b FROM alike WHERE r{n} >= {n} AND g{n} <= 900" + (f" AND norm NOT IN {meant}" if n == 1 else "") for n in (1, 2, 3))
+    shown = f"rtrim(trim(text), {q(chr(34) + chr(39) + '»)]….')})"
+    return f"""WITH RECURSIVE {on_turns(SPOKEN)},
+ka AS (SELECT rush_id, run, part, idx, text, norm, start_ms, end_ms, stem, target, ahead, said, row_number() OVER o - 1 AS k, {ahead} FROM uw WINDOW o AS ({o})),
+kb AS (SELECT *, CASE {fits} ELSE 0 END AS phrase FROM ka),
+kc AS (SELECT *, max(k + phrase) OVER ({o} ROWS BETWEEN {longest - 1} PRECEDING AND CURRENT ROW) > k AS in_phrase FROM kb),
+kd AS (SELECT *, CASE WHEN NOT in_phrase AND norm IN {among(L.HARD_FILLERS)} AND end_ms - start_ms <= 1200 THEN CASE WHEN length(norm) <= 4 THEN 0.95::DOUBLE ELSE 0.88::DOUBLE END END AS filler FROM kc),
+ke AS MATERIALIZED (SELECT *, in_phrase OR filler IS NOT NULL AS masked FROM kd),
+pl AS MATERIALIZED (SELECT *, row_number() OVER ({o}) - 1 AS p FROM ke WHERE NOT masked AND norm <> ''),
+sa AS (SELECT *, {same} FROM pl WINDOW v AS ({o})), alike AS MATERIALIZED (SELECT *, {alike} FROM sa),
+ca AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY rush_id, run, part ORDER BY n DESC, a) AS i FROM ({groups})),
+dg AS (SELECT rush_id, run, part, i, [{{'n': n, 'a': a, 'b': b}}] AS got FROM ca WHERE i = 1
+  UNION ALL SELECT ca.rush_id, ca.run, ca.part, ca.i, CASE WHEN len(list_filter(got, lambda x: x.b > ca.a AND x.a < ca.a + 2 * ca.n)) = 0 THEN list_append(got, {{'n': ca.n, 'a': ca.a, 'b': ca.b}}) ELSE got END
+  FROM dg JOIN ca ON ca.rush_id = dg.rush_id AND ca.run = dg.run AND ca.part = dg.part AND ca.i = dg.i + 1),
+gb AS (SELECT rush_id, run, part, unnest(arg_max(got, i)) AS x FROM dg GROUP BY rush_id, run, part),
+st AS MATERIALIZED (SELECT gb.rush_id, gb.run, gb.part, x, list(idx ORDER BY p) FILTER (p >= x.b - x.n - 4 AND p < x.b - x.n) AS words, min(start_ms) FILTER (p >= x.b - x.n - 4 AND p < x.b - x.n) AS start_ms,
+  max(end_ms) FILTER (p < x.b - x.n) AS end_ms, string_agg(trim(text), ' ' ORDER BY p) FILTER (p >= x.b - x.n - 4 AND p < x.b - x.n) AS text, string_agg(trim(text), ' ' ORDER BY p) FILTER (p >= x.b - x.n) AS kept_text
+  FROM gb JOIN pl ON pl.rush_id = gb.rush_id AND pl.run = gb.run AND pl.part = gb.part AND p >= x.a AND p < x.b GROUP BY ALL),
+sw AS (SELECT DISTINCT rush_id, unnest(words) AS idx FROM st),
+kf AS MATERIALIZED (SELECT *, masked OR (rush_id, idx) IN (SELECT rush_id, idx FROM sw) AS taken, trim(lead(text) OVER o) AS next_text FROM ke WINDOW o AS ({o})),
+ab AS (SELECT *, right({shown}, 1) IN ('-', '_') AND length({shown}) > 1 AS marked, lead(taken) OVER ({o}) AS next_taken FROM kf),
+ac AS MATERIALIZED (SELECT *, CASE WHEN marked AND ahead <= 600 THEN 0.93::DOUBLE WHEN NOT marked AND ahead <= 250 AND length(stem) <= 5 AND length(target) >= length(stem) + 2 AND stem NOT IN {among([*L.COMMON_SHORT_WORDS, *V.STOPWORDS])} THEN 0.66::DOUBLE END AS c
+  FROM ab WHERE NOT taken AND NOT next_taken AND length(stem) >= 2 AND starts_with(target, stem) AND length(target) > length(stem) AND end_ms - start_ms <= 850),
+em AS (SELECT rush_id, run, part FROM kf LEFT JOIN (SELECT rush_id, idx, true AS up FROM ac WHERE c IS NOT NULL) USING (rush_id, idx) GROUP BY rush_id, run, part
+  HAVING bool_and(taken OR norm = '' OR coalesce(up, false)) AND bool_or(length(norm) > 1 AND norm NOT IN {among([*V.STOPWORDS, *L.HARD_FILLERS])})),
+fo AS (SELECT rush_id, 'filler' AS kind, [idx] AS words, start_ms, end_ms, filler AS confidence, trim(text) AS text, '' AS kept_text FROM ke WHERE filler IS NOT NULL
+UNION ALL SELECT a.rush_id, 'filler_phrase', list(b.idx ORDER BY b.k), min(b.start_ms), max(b.end_ms), 0.8::DOUBLE, string_agg(trim(b.text), ' ' ORDER BY b.k), '' FROM ke a JOIN ke b ON b.rush_id = a.rush_id AND b.run = a.run AND b.part = a.part AND b.k >= a.k AND b.k < a.k + a.phrase WHERE a.phrase > 0 GROUP BY a.rush_id, a.idx
+UNION ALL SELECT rush_id, 'stutter', words, start_ms, end_ms, CASE WHEN x.n = 1 THEN 0.92::DOUBLE ELSE 0.86::DOUBLE END, text, kept_text FROM st ANTI JOIN em USING (rush_id, run, part)
+UNION ALL SELECT rush_id, 'abandoned', [idx], start_ms, end_ms, c, trim(text), next_text FROM ac WHERE c IS NOT NULL)"""
+
+
+def _disfluencies() -> str:
+    return _found() + " SELECT rush_id, kind, array_to_string(words, ' ') AS words, start_ms, end_ms, confidence, text, kept_text FROM fo"
+
+
+def least_shots(source: str, ends: str, least: int, changes: int = 60) -> str:
+    """``ls`` (rush_id, a, b): intervals of ``source`` (rush_id, a, b) in [0, total of ``ends``], of ``least`` at least; one change of a recording in each step."""
+    near = f"""SELECT *, s[k].a AS a, s[k].b AS b, greatest(0, s[k].a - CASE WHEN k > 1 THEN s[k - 1].b ELSE 0 END) AS lft, greatest(0, CASE WHEN k < len(s) THEN s[k + 1].a ELSE total END - s[k].b) AS rgt, {least} - (s[k].b - s[k].a) AS short
+    FROM (SELECT *, list_position(list_transform(s, lambda x: x.b - x.a < {least}), true) AS k FROM lx WHERE step < {changes}) WHERE k > 0"""
+    grown = "greatest(least(lft, short // 2), short - rgt)"
+    return f"""l0 AS (SELECT rush_id, total, list({{'a': CAST(a AS BIGINT), 'b': CAST(b AS BIGINT)}} ORDER BY a) AS s FROM {source} JOIN {ends} USING (rush_id) GROUP BY rush_id, total),
+lx AS (SELECT rush_id, CAST(total AS BIGINT) AS total, s, 0 AS step FROM l0
+  UNION ALL SELECT rush_id, total, CASE WHEN lft + rgt >= short THEN s[:k - 1] || [{{'a': CAST(a - {grown} AS BIGINT), 'b': CAST(b + short - {grown} AS BIGINT)}}] || s[k + 1:]
+    WHEN k > 1 AND (k = len(s) OR lft <= rgt) THEN s[:k - 2] || [{{'a': s[k - 1].a, 'b': b}}] || s[k + 1:] WHEN k < len(s) THEN s[:k - 1] || [{{'a': a, 'b': s[k + 1].b}}] || s[k + 2:] ELSE s[:k - 1] END, step + 1
+  FROM ({near})),
+ls AS (SELECT rush_id, x.a AS a, x.b AS b FROM (SELECT rush_id, unnest(arg_max(s, step)) AS x FROM lx GROUP BY rush_id) WHERE x.b > x.a)"""
+
+
+def _minimum_shots() -> str:
+    return f"""WITH RECURSIVE {SHOTS}, sk AS (SELECT rush_id, "start" AS a, "end" AS b FROM sh), en AS (SELECT rush_id, max(end_ms) AS total FROM w GROUP BY rush_id),
+{least_shots("sk", "en", 1000)} SELECT rush_id, a AS "start", b AS "end" FROM ls"""
+
+
+def marked(norm: str) -> tuple[str, str]:
+    """(strong, alone) of a normal text."""
+    said = f"list_filter(string_split({norm}, ' '), lambda x: x <> '')"
+    strong, weak = f"regexp_matches({norm}, {q(M.STRONG)})", q(M._WEAK_WORD)
+    alone = f"""CASE WHEN len({said}) = 0 THEN false WHEN {norm} IN {among(V.STANDALONE_MARKERS)} THEN true
+  WHEN {strong} THEN len(list_filter(regexp_split_to_array(regexp_replace({norm}, {q(M.STRONG)}, ' ', 'g'), ' +'), lambda x: {CONTENT})) = 0
+  ELSE len({said}) <= 4 AND len(list_filter({said}, lambda x: NOT regexp_matches(x, {weak}) AND x NOT IN {among([*L.HARD_FILLERS, *V.STOPWORDS])})) = 0
+    AND len(list_filter({said}, lambda x: regexp_matches(x, {weak}))) > 0 END"""
+    return strong, alone
+
+
+def _edit(select: str) -> str:
+    """The edit of hesitations and lone strong markers: ``re`` removals, ``es`` shots, ``ew`` removed words with ``up`` (survives) and ``light``."""
+    strong, alone = marked("nt")
+    return f"""{_found()},
+mk AS (SELECT rush_id, run, part, list(idx ORDER BY idx) AS words, min(start_ms) AS start_ms, max(end_ms) AS end_ms, {normal_text("string_agg(text, ' ' ORDER BY idx)")} AS nt FROM m GROUP BY rush_id, run, part),
+rf AS MATERIALIZED (SELECT row_number() OVER (ORDER BY rush_id, start_ms, end_ms, kind) AS id, * FROM (SELECT rush_id, kind, words, start_ms, end_ms, confidence FROM fo
+  UNION ALL SELECT rush_id, 'marker', words, start_ms, end_ms, 0.88::DOUBLE FROM mk WHERE {strong} AND {alone})),
+rw AS MATERIALIZED (SELECT id, rush_id, kind <> 'marker' AS light, unnest(words) AS idx FROM rf WHERE confidence >= 0.6),
+gw AS (SELECT DISTINCT rush_id, idx, true AS gone FROM rw),
+a AS (SELECT rush_id, idx, text, start_ms, end_ms, lag(end_ms) OVER o AS any_end, lead(start_ms) OVER o AS any_start, max(end_ms) OVER (PARTITION BY rush_id) AS total, coalesce(gone, false) AS gone FROM w LEFT JOIN gw USING (rush_id, idx) WINDOW o AS (PARTITION BY rush_id ORDER BY idx)),
+{SILENCE_STEPS},
+ec AS MATERIALIZED (SELECT rush_id, cut_start AS a, cut_end AS b, kind FROM f WHERE cut_start IS NOT NULL),
+en AS (SELECT rush_id, max(end_ms) AS total FROM w GROUP BY rush_id),
+ez AS (SELECT rush_id, a, lag(b) OVER (PARTITION BY rush_id ORDER BY a, b) AS prev FROM (SELECT rush_id, a, b FROM ec UNION ALL SELECT rush_id, total, NULL FROM en)),
+sk AS (SELECT rush_id, coalesce(prev, 0) AS a, a AS b FROM ez WHERE a > coalesce(prev, 0)),
+{least_shots("sk", "en", 1000)},
+es AS MATERIALIZED (SELECT ls.rush_id, row_number() OVER o - 1 AS shot, ls.a, ls.b, CAST(sum(ls.b - ls.a) OVER o - (ls.b - ls.a) AS BIGINT) AS timeline_start, ec.kind AS after FROM ls LEFT JOIN ec ON ec.rush_id = ls.rush_id AND ec.b = ls.a WINDOW o AS (PARTITION BY ls.rush_id ORDER BY ls.a)),
+ew AS MATERIALIZED (SELECT rush_id, idx, light, EXISTS (SELECT 1 FROM es WHERE es.rush_id = x.rush_id AND x.start_ms + x.end_ms BETWEEN 2 * es.a AND 2 * es.b) AS up FROM (SELECT rush_id, idx, bool_or(light) AS light, any_value(w.start_ms) AS start_ms, any_value(w.end_ms) AS end_ms FROM rw JOIN w USING (rush_id, idx) GROUP BY rush_id, idx) x),
+wd AS (SELECT DISTINCT id FROM rw JOIN ew USING (rush_id, idx) WHERE up),
+re AS (SELECT rush_id, kind, words, start_ms, end_ms, confidence, confidence >= 0.6 AND wd.id IS NULL AS applied, wd.id IS NOT NULL AS withdrawn FROM rf LEFT JOIN wd ON wd.id = rf.id)
+{select}"""
+
+
+EDIT_DECISIONS = "SELECT rush_id, kind AS source, start_ms, end_ms, confidence, array_to_string(words, ' ') AS words, applied, false AS limited, withdrawn FROM re"
+EDIT_SHOTS = 'SELECT rush_id, shot, a AS "start", b AS "end", timeline_start, after FROM es'
+EDIT_SETS = """SELECT rush_id, kind, "start", "end", NOT heavy AS inside FROM (SELECT rush_id, kind, CAST(min(idx) AS BIGINT) AS "start", CAST(max(idx) + 1 AS BIGINT) AS "end" FROM (
+  SELECT rush_id, kind, idx, idx - row_number() OVER (PARTITION BY rush_id, kind ORDER BY idx) AS g FROM (SELECT rush_id, 'removed' AS kind, idx FROM ew WHERE NOT up UNION ALL SELECT rush_id, 'benign', idx FROM ew WHERE NOT up AND light)) GROUP BY rush_id, kind, g)
+  JOIN (SELECT rush_id, bool_or(NOT light) AS heavy FROM ew WHERE NOT up GROUP BY rush_id) USING (rush_id)"""
+
+
 def _curves() -> str:
     soft = lambda t: f"({t}) * ({t}) * ({t}) * (({t}) * (({t}) * 6 - 15) + 10)"
     expo = lambda t: f"(1 - exp(-4.0::DOUBLE * ({t}))) / (1 - exp(-4.0::DOUBLE))"
@@ -148,11 +268,8 @@ SELECT rush_id, 'TITLE: rush' || chr(10) || 'FCM: NON-DROP FRAME' || chr(10) ||
   || string_agg(printf('%03d  AX       AA/V  C        ', shot + 1) || array_to_string(c, ' ') || chr(10), chr(10) ORDER BY shot) AS edl FROM codes GROUP BY rush_id"""
 
 
-def _silences() -> str:
-    hard = among(L.HARD_FILLERS)
-    return f"""WITH {WORDS},
-a AS (SELECT rush_id, idx, text, start_ms, end_ms, lag(end_ms) OVER o AS any_end, lead(start_ms) OVER o AS any_start, max(end_ms) OVER (PARTITION BY rush_id) + 800 AS total, norm IN {hard} AND end_ms - start_ms <= 1200 AS gone FROM w WINDOW o AS (PARTITION BY rush_id ORDER BY idx)),
-k AS (SELECT *, lag(idx) OVER o AS p_idx, lag(text) OVER o AS p, lag(end_ms) OVER o AS p_end, lag(any_start) OVER o AS p_any, lead(idx) OVER o AS next_idx FROM a WHERE NOT gone WINDOW o AS (PARTITION BY rush_id ORDER BY idx)),
+#: From words (rush_id, idx, text, start_ms, end_ms, any_end, any_start, total, gone) ``a`` to gaps ``f``.
+SILENCE_STEPS = f"""k AS (SELECT *, lag(idx) OVER o AS p_idx, lag(text) OVER o AS p, lag(end_ms) OVER o AS p_end, lag(any_start) OVER o AS p_any, lead(idx) OVER o AS next_idx FROM a WHERE NOT gone WINDOW o AS (PARTITION BY rush_id ORDER BY idx)),
 i AS (SELECT *, start_ms - p_end AS d, idx <> p_idx + 1 AS holds, least(120, greatest(greatest(0, least(p_any, start_ms) - p_end), 60)) AS o0, least(70, greatest(greatest(0, start_ms - greatest(any_end, p_end)), 60)) AS i0 FROM k WHERE p_idx IS NOT NULL AND start_ms > p_end),
 j AS (SELECT *, CASE WHEN holds THEN 'removed speech' WHEN d <= 300 THEN 'short' WHEN d >= 950 THEN 'long' WHEN {SENTENCE} THEN 'sentence' WHEN {CLAUSE} THEN 'comma' ELSE 'hesitation' END AS kind, greatest(0, d - 90) AS budget FROM i),
 h AS (SELECT *, least(d, greatest(CASE kind WHEN 'short' THEN d WHEN 'long' THEN 300 WHEN 'sentence' THEN 340 WHEN 'comma' THEN 200 ELSE 220 END, least(d, 190))) AS plain FROM j),
@@ -162,7 +279,14 @@ f AS (SELECT rush_id, p_end AS "start", start_ms AS "end", kind, CASE WHEN cut T
 UNION ALL SELECT rush_id, 0, start_ms, 'edge', least(250, greatest(0, start_ms - coalesce(any_end, 0))), 0, greatest(0, start_ms - least(250, greatest(0, start_ms - coalesce(any_end, 0)))), idx > 0 FROM k
   WHERE p_idx IS NULL AND start_ms > 340 AND start_ms - least(250, greatest(0, start_ms - coalesce(any_end, 0))) > 90
 UNION ALL SELECT rush_id, end_ms, total, 'edge', least(250, greatest(0, coalesce(any_start, total) - end_ms)), end_ms + least(250, greatest(0, coalesce(any_start, total) - end_ms)), total, any_start IS NOT NULL FROM k
-  WHERE next_idx IS NULL AND total - end_ms > 340 AND total - end_ms - least(250, greatest(0, coalesce(any_start, total) - end_ms)) > 90)
+  WHERE next_idx IS NULL AND total - end_ms > 340 AND total - end_ms - least(250, greatest(0, coalesce(any_start, total) - end_ms)) > 90)"""
+
+
+def _silences() -> str:
+    hard = among(L.HARD_FILLERS)
+    return f"""WITH {WORDS},
+a AS (SELECT rush_id, idx, text, start_ms, end_ms, lag(end_ms) OVER o AS any_end, lead(start_ms) OVER o AS any_start, max(end_ms) OVER (PARTITION BY rush_id) + 800 AS total, norm IN {hard} AND end_ms - start_ms <= 1200 AS gone FROM w WINDOW o AS (PARTITION BY rush_id ORDER BY idx)),
+{SILENCE_STEPS}
 SELECT rush_id, CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end", kind, CAST(kept AS BIGINT) AS kept, CAST(cut_start AS BIGINT) AS cut_start, CAST(cut_end AS BIGINT) AS cut_end, holds_removed FROM f"""
 
 
@@ -205,6 +329,11 @@ def oracle_sql() -> dict[str, str]:
   WHERE end_ms - start_ms <= 850 AND length(stem) >= 2 AND starts_with(target, stem) AND length(target) > length(stem)),
 c AS (SELECT *, CASE WHEN marked AND ahead <= 600 THEN 0.93::DOUBLE WHEN NOT marked AND ahead <= 250 AND length(stem) <= 5 AND length(target) >= length(stem) + 2 AND stem NOT IN {among([*L.COMMON_SHORT_WORDS, *V.STOPWORDS])} THEN 0.66::DOUBLE END AS confidence FROM a)
 SELECT rush_id, idx, norm, target, confidence FROM c WHERE confidence IS NOT NULL""",
+        "disfluencies": _disfluencies(),
+        "minimum_shots": _minimum_shots(),
+        "edit_decisions": _edit(EDIT_DECISIONS),
+        "edit_shots": _edit(EDIT_SHOTS),
+        "edit_sets": _edit(EDIT_SETS),
         "ngram_phrases": _phrases(),
         "timeline_shots": f"WITH {SHOTS} SELECT * FROM sh",
         "frame_clips": f"""WITH {SHOTS}, f AS (SELECT rush_id, shot, "start", CAST(round_even("start" * 25 / 1000.0, 0) AS BIGINT) AS a, CAST(round_even("end" * 25 / 1000.0, 0) AS BIGINT) AS b FROM sh)
