@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from wordloom.tables import sound_unions
+
 #: The white space that separates words: ``[\x20\x09-\x0D]``.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     executors of a cluster cannot see a folder of the driver's.
     """
     sc = spark.sparkContext
+    sound_unions(spark)
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
         if not sc.master.startswith("local"):
