@@ -94,6 +94,15 @@ def utterances(words: DataFrame, most: int = 48) -> DataFrame:
     return out.select("rush_id", "utt_id", "first_idx", "n_words", "start_ms", "end_ms", "reason", "gap_before", "gap_after", "text")
 
 
+def dominant(words: DataFrame, keys: list[str], value: str = "language") -> DataFrame:
+    """(keys, value): the commonest value of each group, the one that comes first (by ``idx``) on ties; groups without any have none.
+
+    Counts and first places are merged by partial aggregation, so a group of any size is no single task's.
+    """
+    n = words.where(F.coalesce(F.col(value), F.lit("")) != "").groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first"))
+    return n.groupBy(*keys).agg(F.max_by(value, F.struct("n", (-F.col("first")).alias("early"))).alias(value))
+
+
 def gaps(words: DataFrame, rules: GapRules = GapRules()) -> DataFrame:
     """Each gap between words, its kind, and what of it is kept (no removed words).
 

@@ -11,7 +11,7 @@ from wordloom.functions import lexicon as L
 from wordloom.functions import markers as M
 from wordloom.functions import numbers
 from wordloom.functions import text as T
-from wordloom.operators import cuts, decisions, disfluency, intervals, levels, retakes, seams, splits, timeline, words, zoom
+from wordloom.operators import alignment, containment, cuts, decisions, disfluency, intervals, levels, ranges, retakes, seams, splits, timeline, words, zoom
 from wordloom.operators import zoom_plan as zoom_plans
 from wordloom.sources import projects, transcripts
 from wordloom.tables import cut, sound_unions
@@ -165,11 +165,14 @@ def silence_cuts(spark, sf):
 
 
 def number_texts(spark, sf):
-    """Durations in words, stepwise mapped values, and the frame rates near quarter steps."""
-    x, k = F.col("k") / 4.0, F.col("k")
+    """Durations in words, mapped and held values, times of day read and written, and the frame rates near quarter steps, of each order."""
+    x, k = F.col("k") % 600 / 4.0, F.col("k")
     rate = numbers.frame_rate(x)
-    return spark.range(600).select(F.col("id").alias("k")).select(
-        "k", numbers.human_duration(x * 37).alias("duration"), F.round(numbers.remap(x, 10, 100, 4, 20), 6).alias("mapped"),
+    shown = numbers.shown_size(k % 1920, k % 1080, (k % 4 * 90).cast("int"))
+    return _read(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("k")).select(
+        "k", T.timecode(x * 37).alias("code"), F.round(numbers.fraction(F.concat(k.cast("string"), F.lit("/1001"))), 6).alias("ratio"), T.clamp(k % 100, F.lit(70), F.lit(20)).alias("held"),
+        numbers.parse_timecode(F.concat_ws(":", *((c).cast("string") for c in (k % 5, k % 60, k * 7 % 60)))).alias("seconds"), shown["width"].alias("width"), shown["height"].alias("height"),
+        numbers.human_duration(x * 37).alias("duration"), F.round(numbers.remap(x, 10, 100, 4, 20), 6).alias("mapped"),
         rate["base"].alias("base"), rate["slowed"].alias("slowed"), numbers.ticks(k / 1000.0).alias("ticks"), numbers.overlap(k, k + 10, F.lit(50), F.lit(90)).alias("shared"),
     )
 
@@ -232,9 +235,9 @@ def content_words(spark, sf):
 
 
 def curve_samples(spark, sf):
-    x = F.col("k") / 100.0
+    x = F.col("k") % 101 / 100.0
     names = ("linear", "smoothstep", "smootherstep", "progressive", "ease_out_expo", "ballistic")
-    return spark.range(101).select(F.col("id").alias("k")).select("k", *(F.round(timeline.curve(n, x), 6).alias(n) for n in names))
+    return _read(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("k")).select("k", *(F.round(timeline.curve(n, x), 6).alias(n) for n in names))
 
 
 def language_durations(spark, sf):
@@ -347,12 +350,75 @@ def edit_sets(spark, sf):
     return both.join(decisions.subset(made.removed, made.benign), "rush_id").select("rush_id", "kind", "start", "end", "inside")
 
 
+def range_assign(spark, sf):
+    """Events of a user in the overlapping spans that orders make: how many hold each, and the one that begins first."""
+    e = _read(spark, sf, "events").select((F.col("user_id") % 50).cast("long").alias("k"), "event_id", (F.unix_timestamp(F.col("ts").cast("timestamp")) % 864000).alias("t"))
+    o = _read(spark, sf, "orders")
+    start = F.col("o_orderkey") * 977 % 864000
+    spans = o.select((F.col("o_custkey") % 50).cast("long").alias("k"), start.cast("long").alias("start"), (start + 600 + F.col("o_orderkey") % 7200).cast("long").alias("end"), "o_orderkey")
+    met = ranges.hits(e, spans, "k", 7200).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("span.start", "span.o_orderkey")).alias("f"))
+    return met.select("event_id", "n", F.col("f.o_orderkey").alias("first_order"))
+
+
+def instants(spark, sf):
+    """The first utterance that holds each fifth second of a conversation, null between utterances."""
+    u = words.utterances(clock(spark, sf)).select("rush_id", F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), "utt_id")
+    t = u.groupBy("rush_id").agg(F.max("end").alias("e")).select("rush_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("e"), F.lit(5000).cast("long"))).alias("t"))
+    return ranges.first_hit(t, u, "rush_id", ["rush_id", "t"], 10_000, F.col("span.utt_id")).select("rush_id", "t", F.col("span.utt_id").alias("utt_id"))
+
+
+def window_words(spark, sf):
+    """Words whose centre lies in spans of seven seconds that overlap by two."""
+    w = clock(spark, sf).select("rush_id", (F.col("start_ms") + F.col("end_ms")).alias("t"), "idx")
+    at = w.groupBy("rush_id").agg(F.max("t").alias("e")).select("rush_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("e"), F.lit(10_000).cast("long"))).alias("start"))
+    met = ranges.hits(w, at.withColumn("end", F.col("start") + 14_000), "rush_id", 14_000)
+    return met.groupBy("rush_id", "span.start").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx")).select("rush_id", "start", "n", "first_idx", "last_idx")
+
+
+def chunk_words(spark, sf):
+    """Words heard in windows of twenty seconds with two more on either side, each kept once."""
+    w = clock(spark, sf).select("rush_id", "idx", "text", "start_ms", "end_ms")
+    return ranges.owned(ranges.heard(w, 20_000, 2_000), "rush_id", 20_000, 2_000).select("rush_id", "idx", "text", "start_ms", "end_ms", "window")
+
+
+def utterance_chunks(spark, sf):
+    """Utterances in chunks of five, and what each chunk spans."""
+    own = ranges.chunked(words.utterances(clock(spark, sf)), "rush_id", "utt_id", 5)
+    return own.groupBy("rush_id", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum("n_words").alias("n_words"))
+
+
+def content_loss(spark, sf):
+    """Benchmark items of whose content words a document holds a quarter or more by weight, and how many are lost."""
+    few = _read(spark, sf, "benchmark").select(F.col("item_id").alias("small_id"), "text")
+    many = _read(spark, sf, "documents").select(F.col("doc_id").alias("large_id"), "text")
+    found = containment.held(few, many, 0.25)
+    return found.select(F.col("small_id").alias("item_id"), F.col("large_id").alias("doc_id"), F.size("shared").alias("shared"), F.size("lost").alias("lost"), F.round("containment", 6).alias("containment"))
+
+
+def lcs_align(spark, sf):
+    """What of an utterance stands in order in each of the next three."""
+    u = words.utterances(spoken_clock(spark, sf)).select("rush_id", "utt_id", alignment.described(T.tokens("text")).alias("w"))
+    a = u.select("rush_id", F.col("utt_id").alias("a"), "w", F.explode(F.sequence(F.col("utt_id") + 1, F.col("utt_id") + 3)).alias("b"))
+    pairs = a.join(u.select("rush_id", F.col("utt_id").alias("b"), F.col("w").alias("v")), ["rush_id", "b"])
+    return pairs.select("rush_id", "a", "b", F.round(alignment.align(F.col("w"), F.col("v")), 6).alias("align"))
+
+
+def utterance_language(spark, sf):
+    """The language of most words of an utterance, the first on ties, and how whole the utterance is; words get a language by their place and length."""
+    tag = F.when((F.char_length("text") + F.col("idx")) % 3 == 0, "fr").when((F.char_length("text") + F.col("idx")) % 3 == 1, "en")
+    w = words.with_utterances(spoken_clock(spark, sf)).withColumn("language", tag)
+    said = words.dominant(w, ["rush_id", "run", "part"]).join(w.groupBy("rush_id", "run", "part").agg(F.min("idx").alias("first_idx")), ["rush_id", "run", "part"], "right")
+    whole = M.with_marks(words.utterances(spoken_clock(spark, sf))).select("rush_id", "utt_id", "first_idx", F.round(M.completeness(), 6).alias("completeness"))
+    return whole.join(said, ["rush_id", "first_idx"]).select("rush_id", "utt_id", "language", "completeness")
+
+
 QUERIES = (
     word_clock, utterance_sessions, gap_summary, hard_fillers, soft_fillers, stutter_runs, abandoned_words, disfluencies, ngram_phrases, timeline_shots, frame_clips,
     short_shots, merge_intervals, subtract_intervals, interval_totals, spaced_topk, event_sessions, event_level_percentiles, removal_budget,
     cache_retention, content_jaccard, language_characters, role_words, weak_markers,
     strong_markers, silence_cuts, number_texts, shot_scores, minimum_shots, content_words, curve_samples, language_durations, onset_strength, pair_similarity, retake_groups, fragments, edit_lists, seam_checks,
     repaired_words, spread_words, split_utterances, utterance_checks, zoom_plan, project_files, edit_decisions, edit_shots, edit_sets,
+    range_assign, instants, window_words, chunk_words, utterance_chunks, content_loss, lcs_align, utterance_language,
 )
 
 

@@ -7,6 +7,7 @@ from wordloom.functions import markers as M
 from wordloom.functions import text as T
 from wordloom.functions import vocabulary as V
 from wordloom.functions.numbers import RATES
+from wordloom.operators.alignment import _STEM
 from wordloom.plans.catalogue import KINDS, LOOSE_ENDS, MARKERS, PHRASES
 
 
@@ -259,7 +260,7 @@ def _curves() -> str:
     expo = lambda t: f"(1 - exp(-4.0::DOUBLE * ({t}))) / (1 - exp(-4.0::DOUBLE))"
     thrown = f"CASE WHEN x <= 0.55 THEN 1.11 * {expo('x / 0.55::DOUBLE')} ELSE 1.11 - 0.11 * {soft('(x - 0.55::DOUBLE) / 0.45::DOUBLE')} END"
     known = {"linear": "x", "smoothstep": "x * x * (3 - 2 * x)", "smootherstep": soft("x"), "progressive": f"0.72 * x + 0.28 * {soft('x')}", "ease_out_expo": expo("x"), "ballistic": thrown}
-    return "SELECT k, " + ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS {n}" for n, v in known.items()) + " FROM (SELECT range AS k, range / 100.0::DOUBLE AS x FROM range(101))"
+    return "SELECT k, " + ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS {n}" for n, v in known.items()) + " FROM (SELECT o_orderkey AS k, (o_orderkey % 101) / 100.0::DOUBLE AS x FROM orders)"
 
 
 EDL = f"""WITH {SHOTS}, times AS (SELECT rush_id, shot, [CAST(round_even(v * 25 / 1000.0, 0) AS BIGINT) FOR v IN ["start", "end", timeline_start, timeline_start + "end" - "start"]] AS n FROM sh),
@@ -305,12 +306,66 @@ SELECT rush_id, shot, concat_ws(',', CASE WHEN norms IS NULL THEN 'silent' END,
 
 def _numbers() -> str:
     rates = ", ".join(f"({k}, {b}, {str(s).lower()}, {round(b * 1000 / 1001 if s else float(b), 3)}::DOUBLE)" for k, (b, s) in enumerate(RATES))
-    return f"""WITH g AS (SELECT range AS k, range / 4.0::DOUBLE AS x FROM range(600)), rates(i, base, slowed, fps) AS (VALUES {rates}),
+    return f"""WITH g AS (SELECT o_orderkey AS k, (o_orderkey % 600) / 4.0::DOUBLE AS x FROM orders), rates(i, base, slowed, fps) AS (VALUES {rates}),
 b AS (SELECT k, base, slowed, abs(fps - x) AS off, row_number() OVER (PARTITION BY k ORDER BY abs(fps - x), i) AS nth FROM g CROSS JOIN rates),
 s AS (SELECT g.k, x, base, slowed, off, x * 37 AS sec, CAST(round_even(x * 37, 0) AS BIGINT) AS n FROM g JOIN b ON b.k = g.k AND nth = 1)
 SELECT k, CASE WHEN sec < 60 THEN printf('%.1f s', sec) WHEN n < 3600 THEN printf('%d min %02d s', n // 60, n % 60) ELSE printf('%d h %02d min', n // 3600, (n // 60) % 60) END AS duration,
   round(4 + 16 * greatest(0, least(1, (x - 10) / 90)), 6) AS mapped, CAST(CASE WHEN x <= 0 THEN 25 WHEN off <= 0.08 THEN base ELSE greatest(1, round_even(x, 0)) END AS INTEGER) AS base,
-  x > 0 AND off <= 0.08 AND slowed AS slowed, k * 254016000 AS ticks, greatest(0, least(k + 10, 90) - greatest(k, 50)) AS shared FROM s"""
+  x > 0 AND off <= 0.08 AND slowed AS slowed, k * 254016000 AS ticks, greatest(0, least(k + 10, 90) - greatest(k, 50)) AS shared,
+  CASE WHEN sec * 1000 < 3600000 THEN printf('%02d:%02d.%03d', ms // 60000, (ms // 1000) % 60, ms % 1000) ELSE printf('%d:%02d:%02d.%03d', ms // 3600000, (ms // 60000) % 60, (ms // 1000) % 60, ms % 1000) END AS code,
+  round(k / 1001.0::DOUBLE, 6) AS ratio, greatest(20, least(k % 100, 70)) AS held, CAST((k % 5) * 3600 + (k % 60) * 60 + (k * 7) % 60 AS DOUBLE) AS seconds,
+  CASE WHEN k % 4 IN (1, 3) THEN k % 1080 ELSE k % 1920 END AS width, CASE WHEN k % 4 IN (1, 3) THEN k % 1920 ELSE k % 1080 END AS height FROM (SELECT *, CAST(round_even(sec * 1000, 0) AS BIGINT) AS ms FROM s)"""
+
+
+def _content_loss() -> str:
+    own = lambda table, i: f"SELECT {i}, list_distinct(list_filter({TOKENS}, lambda x: {CONTENT})) AS w FROM {table}"
+    heavy = f"CASE WHEN w IN {among(L.COMMON_SHORT_WORDS)} THEN 35 ELSE 100 END"
+    return f"""WITH b AS ({own("benchmark", "item_id")}), d AS ({own("documents", "doc_id")}), x AS (SELECT item_id, unnest(w) AS w FROM b), y AS (SELECT doc_id, unnest(w) AS w FROM d),
+n AS (SELECT item_id, count(*) AS n, sum({heavy}) AS whole FROM x GROUP BY item_id), s AS (SELECT item_id, doc_id, count(*) AS shared, sum({heavy}) AS got FROM x JOIN y USING (w) GROUP BY item_id, doc_id)
+SELECT item_id, doc_id, CAST(shared AS INTEGER) AS shared, CAST(n - shared AS INTEGER) AS lost, round(got / whole, 6) AS containment FROM s JOIN n USING (item_id) WHERE got >= 0.25 * whole"""
+
+
+def _align() -> str:
+    """``z`` goes through the words of the first utterance; its list holds the row of the matrix before."""
+    stem = f"CASE WHEN regexp_matches(x, {q(_STEM)}) THEN regexp_extract(x, {q(_STEM)}, 1) ELSE x END"
+    heavy = f"CASE WHEN length(x) < 2 OR x IN {among([*V.STOPWORDS, *L.HARD_FILLERS])} THEN 0.15::DOUBLE WHEN x IN {among(L.COMMON_SHORT_WORDS)} THEN 0.35::DOUBLE ELSE 1.0::DOUBLE END"
+    short = "least(length(x.w), length(y.w))"
+    n = f"greatest(4, CAST(ceil({short} * 0.70::DOUBLE - 1e-9) AS INTEGER))"
+    degree = f"CASE WHEN x.w = y.w THEN 1.0::DOUBLE WHEN x.stem = y.stem THEN 0.92::DOUBLE WHEN {short} >= {n} AND left(x.w, {n}) = left(y.w, {n}) THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END"
+    return f"""WITH RECURSIVE {on_turns(UTTERANCES.removeprefix("WITH ").rsplit("SELECT rush_id, row_number()", 1)[0].rstrip())},
+uu AS MATERIALIZED (SELECT rush_id, row_number() OVER (PARTITION BY rush_id ORDER BY first_idx) - 1 AS utt_id, list_transform({TOKENS}, lambda x: {{'w': x, 'stem': {stem}, 'heavy': {heavy}}}) AS w FROM s),
+pa AS MATERIALIZED (SELECT a.rush_id, a.utt_id AS a, b.utt_id AS b, a.w, b.w AS v FROM uu a JOIN uu b ON b.rush_id = a.rush_id AND b.utt_id BETWEEN a.utt_id + 1 AND a.utt_id + 3),
+z AS (SELECT rush_id, a, b, 1 AS i, list_transform(range(0, len(v) + 1), lambda j: 0.0::DOUBLE) AS row FROM pa WHERE len(w) > 0 AND len(v) > 0
+  UNION ALL SELECT rush_id, a, b, i + 1, [0.0::DOUBLE] || list_transform(range(1, len(top) + 1), lambda j: list_max(top[:j]))
+  FROM (SELECT z.rush_id, z.a, z.b, i, list_transform(range(1, len(v) + 1), lambda j: greatest(row[j + 1], gains[j] * CASE WHEN gains[j] > 0 THEN 1 ELSE 0 END + CASE WHEN gains[j] > 0 THEN row[j] ELSE 0 END)) AS top
+    FROM (SELECT *, list_transform(v, lambda y: {degree} * x.heavy) AS gains FROM (SELECT z.*, v, w[i] AS x FROM z JOIN pa ON pa.rush_id = z.rush_id AND pa.a = z.a AND pa.b = z.b WHERE i <= len(w))) z)),
+ze AS (SELECT rush_id, a, b, arg_max(row, i)[-1] AS got FROM z GROUP BY rush_id, a, b)
+SELECT pa.rush_id, pa.a, pa.b, round(coalesce(got / list_sum(list_transform(w, lambda x: x.heavy)), 0), 6) AS align FROM pa LEFT JOIN ze ON ze.rush_id = pa.rush_id AND ze.a = pa.a AND ze.b = pa.b"""
+
+
+def _utterance_language() -> str:
+    strong, alone = marked("nt")
+    words = f"list_filter(list_transform(regexp_split_to_array(trim(text), '\\s+'), lambda y: {normal('y')}), lambda y: y <> '')"
+    return f"""WITH {on_turns(UTTERANCES.removeprefix("WITH ").rsplit("SELECT rush_id, row_number()", 1)[0].rstrip())},
+lg AS (SELECT rush_id, run, part, CASE (length(text) + idx) % 3 WHEN 0 THEN 'fr' WHEN 1 THEN 'en' END AS language, count(*) AS n, min(idx) AS early FROM m GROUP BY ALL),
+lb AS (SELECT rush_id, run, part, language FROM (SELECT *, row_number() OVER (PARTITION BY rush_id, run, part ORDER BY n DESC, early) AS nth FROM lg WHERE language IS NOT NULL) WHERE nth = 1),
+ua AS (SELECT s.*, row_number() OVER (PARTITION BY rush_id ORDER BY first_idx) - 1 AS utt_id, regexp_split_to_array(trim(text), '\\s+')[-1] AS p, {words} AS said, {normal_text('text')} AS nt FROM s),
+ub AS (SELECT *, {SENTENCE} AS terminal, {SUSPENSION} AS suspended, right(trim(p), 1) IN ('-', '_') AND length(trim(p)) > 1 AS truncated, len(list_filter(said, lambda x: {CONTENT})) AS n_content FROM ua),
+uc AS (SELECT *, coalesce(said[-1] IN {among(V.DANGLING)}, false) AND NOT terminal AS dangling, {alone} AS alone FROM ub)
+SELECT rush_id, utt_id, language, round(greatest(0, least(1, CASE WHEN terminal THEN 0.42::DOUBLE ELSE 0 END + CASE WHEN dangling THEN 0 ELSE 0.18::DOUBLE END + CASE WHEN truncated THEN 0 ELSE 0.1::DOUBLE END + CASE WHEN suspended THEN 0 ELSE 0.1::DOUBLE END
+  + least(0.2::DOUBLE, 0.028::DOUBLE * n_content) - CASE WHEN alone THEN 0.45::DOUBLE ELSE 0 END)), 6) AS completeness FROM uc LEFT JOIN lb USING (rush_id, run, part)"""
+
+
+RANGES = {
+    "range_assign": """WITH e AS (SELECT user_id % 50 AS k, event_id, CAST(floor(epoch(ts)) AS BIGINT) % 864000 AS t FROM events), o AS (SELECT o_custkey % 50 AS k, o_orderkey, o_orderkey * 977 % 864000 AS a FROM orders)
+SELECT event_id, count(*) AS n, arg_min(o_orderkey, (a, o_orderkey)) AS first_order FROM e JOIN o ON o.k = e.k AND t BETWEEN a AND a + 600 + o_orderkey % 7200 GROUP BY event_id""",
+    "instants": f"""WITH u AS ({UTTERANCES}), t AS (SELECT rush_id, unnest(range(0, CAST(max(end_ms) AS BIGINT) + 1, 5000)) AS t FROM u GROUP BY rush_id)
+SELECT t.rush_id, t.t, min(utt_id) AS utt_id FROM t LEFT JOIN u ON u.rush_id = t.rush_id AND t.t BETWEEN start_ms AND end_ms GROUP BY t.rush_id, t.t""",
+    "window_words": f"""WITH {WORDS}, c AS (SELECT rush_id, idx, start_ms + end_ms AS t FROM w), b AS (SELECT rush_id, unnest(range(0, max(t) + 1, 10000)) AS a FROM c GROUP BY rush_id)
+SELECT c.rush_id, a AS "start", count(*) AS n, CAST(min(idx) AS INTEGER) AS first_idx, CAST(max(idx) AS INTEGER) AS last_idx FROM c JOIN b ON b.rush_id = c.rush_id AND t BETWEEN a AND a + 14000 GROUP BY c.rush_id, a""",
+    "chunk_words": f"WITH {WORDS} SELECT rush_id, CAST(idx AS INTEGER) AS idx, text, start_ms, end_ms, CASE WHEN start_ms >= 20000 AND start_ms % 20000 < 250 THEN start_ms // 20000 - 1 ELSE start_ms // 20000 END AS window FROM w",
+    "utterance_chunks": f"WITH u AS ({UTTERANCES}) SELECT rush_id, utt_id // 5 AS chunk, count(*) AS n, min(start_ms) AS start_ms, max(end_ms) AS end_ms, CAST(sum(n_words) AS BIGINT) AS n_words FROM u GROUP BY rush_id, utt_id // 5",
+}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -331,6 +386,10 @@ c AS (SELECT *, CASE WHEN marked AND ahead <= 600 THEN 0.93::DOUBLE WHEN NOT mar
 SELECT rush_id, idx, norm, target, confidence FROM c WHERE confidence IS NOT NULL""",
         "disfluencies": _disfluencies(),
         "minimum_shots": _minimum_shots(),
+        **RANGES,
+        "content_loss": _content_loss(),
+        "lcs_align": _align(),
+        "utterance_language": _utterance_language(),
         "edit_decisions": _edit(EDIT_DECISIONS),
         "edit_shots": _edit(EDIT_SHOTS),
         "edit_sets": _edit(EDIT_SETS),
