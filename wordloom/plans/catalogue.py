@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,8 +14,9 @@ from wordloom.functions import numbers
 from wordloom.functions import text as T
 from wordloom.operators import alignment, containment, cuts, decisions, disfluency, intervals, levels, ranges, retakes, seams, splits, timeline, words, zoom
 from wordloom.operators import zoom_plan as zoom_plans
-from wordloom.sources import projects, transcripts
-from wordloom.tables import cut, sound_unions
+from wordloom.sources import projects, store, transcripts
+from wordloom.streaming import sessions
+from wordloom.tables import cut, shared_folder, sound_unions
 
 
 #: What ``spoken`` puts into turns: markers of correction, stock phrases, words that can't end a sentence.
@@ -412,13 +414,56 @@ def utterance_language(spark, sf):
     return whole.join(said, ["rush_id", "first_idx"]).select("rush_id", "utt_id", "language", "completeness")
 
 
+def streamed_utterances(spark, sf):
+    """The words of all conversations as a stream of files, each a stretch of time, through the stateful sessions to a table."""
+    where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    w = cut(clock(spark, sf).select("rush_id", F.col("idx").cast("long").alias("idx"), "text", "start_ms", "end_ms", F.timestamp_millis("start_ms").alias("at")), "clock")
+    end = w.agg(F.max("start_ms")).first()[0] or 0
+    bounds = [end * k // 3 for k in range(4)]
+    for low, high in zip(bounds, [*bounds[1:-1], end + 1]):  # one after another, for files are read in order of time
+        w.where((F.col("start_ms") >= low) & (F.col("start_ms") < high)).coalesce(1).write.mode("append").parquet(f"{where}/words")
+    last = spark.range(1).select((-F.col("id") - 1).alias("rush_id"), F.lit(0).cast("long").alias("idx"), F.lit("end").alias("text"), *(F.lit(end + 86_400_000).cast("long").alias(c) for c in ("start_ms", "end_ms")))
+    last.withColumn("at", F.timestamp_millis("start_ms")).coalesce(1).write.mode("append").parquet(f"{where}/words")
+    stream = spark.readStream.schema(w.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/words")
+    out = sessions.stream_utterances(stream).writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return spark.read.schema(sessions.OUT).parquet(f"{where}/out").where("rush_id >= 0")
+
+
+def transcript_files(spark, sf):
+    """Conversations written as JSON (even ones) and as cues (odd ones), a file each, and read again by the files' suffixes."""
+    where = f"{shared_folder(spark)}/transcripts-{uuid.uuid4().hex}"
+    w = cut(clock(spark, sf), "clock")
+    cues = w.groupBy("rush_id", "seg_idx").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ").alias("text"))
+    said = w.where("rush_id % 2 = 0").select("rush_id", "seg_idx", "idx", "text", "start_ms", "end_ms", F.lit(0.9).alias("probability"))
+    transcripts.transcript_json(cues.where("rush_id % 2 = 0"), said).write.partitionBy("rush_id").text(f"{where}/json")
+    transcripts.srt_blocks(cues.where("rush_id % 2 = 1")).write.partitionBy("rush_id").option("lineSep", "\n").text(f"{where}/cues")
+    read = [transcripts.read(spark, f"{where}/json"), transcripts.read(spark, f"{where}/cues", (*transcripts.CUES, ".txt"))]
+    rush = F.regexp_extract("rush_id", r"/rush_id=(\d+)/", 1).cast("long")
+    return read[0].unionByName(read[1]).select(rush.alias("rush_id"), "idx", "text", "start_ms", "end_ms", "probability")
+
+
+def store_hits(spark, sf):
+    """Orders as results in a store: the early ones are put, all are asked for, and what is too old or too many is purged."""
+    o = _read(spark, sf, "orders").select(F.concat(F.lit("/media/"), F.col("o_custkey").cast("string")).alias("source"), F.col("o_orderkey").alias("size"), F.to_timestamp("o_orderdate").alias("at"), "o_totalprice")
+    o = o.withColumn("key", store.key(F.col("source"), F.col("size"), F.col("at"), {"model": "small", "device": "cpu"}, "1"))
+    own = store.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", "double")
+    for part in (0, 1):
+        own.put(o.where(f"size % 4 = {part}").select("key", "at", F.col("o_totalprice").cast("double").alias("value")))
+    again = own.put(o.where("size % 4 < 2").select("key", "at", F.lit(0.0).alias("value")))
+    found = own.get(o.select("key", "size"))
+    hits = cut(found.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.round(F.sum("value"), 2).alias("value")), "hits")
+    kept, gone = own.purge(1000, 400)
+    return hits.select("hits", "misses", "value", F.lit(again is not None).alias("written_again"), F.lit(kept).cast("long").alias("kept"), F.lit(gone).cast("long").alias("purged"), F.lit(own.rows().count()).cast("long").alias("left"))
+
+
 QUERIES = (
     word_clock, utterance_sessions, gap_summary, hard_fillers, soft_fillers, stutter_runs, abandoned_words, disfluencies, ngram_phrases, timeline_shots, frame_clips,
     short_shots, merge_intervals, subtract_intervals, interval_totals, spaced_topk, event_sessions, event_level_percentiles, removal_budget,
     cache_retention, content_jaccard, language_characters, role_words, weak_markers,
     strong_markers, silence_cuts, number_texts, shot_scores, minimum_shots, content_words, curve_samples, language_durations, onset_strength, pair_similarity, retake_groups, fragments, edit_lists, seam_checks,
     repaired_words, spread_words, split_utterances, utterance_checks, zoom_plan, project_files, edit_decisions, edit_shots, edit_sets,
-    range_assign, instants, window_words, chunk_words, utterance_chunks, content_loss, lcs_align, utterance_language,
+    range_assign, instants, window_words, chunk_words, utterance_chunks, content_loss, lcs_align, utterance_language, streamed_utterances, transcript_files, store_hits,
 )
 
 

@@ -387,6 +387,14 @@ SELECT rush_id, idx, norm, target, confidence FROM c WHERE confidence IS NOT NUL
         "disfluencies": _disfluencies(),
         "minimum_shots": _minimum_shots(),
         **RANGES,
+        "transcript_files": rf"""WITH {WORDS}, cu AS (SELECT rush_id, seg_idx, min(start_ms) AS s, max(end_ms) AS e, count(*) AS n FROM w GROUP BY rush_id, seg_idx),
+sp AS (SELECT rush_id, idx, text, s, CASE WHEN e > s THEN (e - s) / n ELSE 250.0 END AS step, row_number() OVER (PARTITION BY rush_id, seg_idx ORDER BY idx) - 1 AS pos FROM w JOIN cu USING (rush_id, seg_idx) WHERE rush_id % 2 = 1)
+SELECT rush_id, CAST(idx AS INTEGER) AS idx, text, start_ms, end_ms, 0.9::DOUBLE AS probability FROM w WHERE rush_id % 2 = 0
+UNION ALL SELECT rush_id, CAST(idx AS INTEGER), text, CAST(s + floor(pos * step + 0.5) AS BIGINT), CAST(s + floor((pos + 1) * step + 0.5) AS BIGINT), 0.5::DOUBLE FROM sp""",
+        "store_hits": """WITH p AS (SELECT o_orderkey, o_orderdate AS d, o_totalprice FROM orders WHERE o_orderkey % 4 < 2), r AS (SELECT *, row_number() OVER (ORDER BY d DESC, o_orderkey) AS nth, max(d) OVER () AS m FROM p),
+k AS (SELECT count(*) AS kept FROM r WHERE nth <= 1000 AND d >= m - INTERVAL 400 DAY)
+SELECT (SELECT count(*) FROM p) AS hits, (SELECT count(*) FROM orders WHERE o_orderkey % 4 >= 2) AS misses, (SELECT round(CAST(sum(CAST(o_totalprice AS DOUBLE)) AS DOUBLE), 2) FROM p) AS value, false AS written_again, kept, (SELECT count(*) FROM p) - kept AS purged, kept AS "left" FROM k""",
+        "streamed_utterances": f"WITH u AS ({UTTERANCES}) SELECT rush_id, first_idx, n_words, start_ms, end_ms, reason, text FROM u",
         "content_loss": _content_loss(),
         "lcs_align": _align(),
         "utterance_language": _utterance_language(),

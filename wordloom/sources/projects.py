@@ -152,11 +152,24 @@ def project_xml(clips: DataFrame, zooms: DataFrame, sources: DataFrame, media: M
     return whole.select("rush_id", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE xmeml>\n'), tag("xmeml", sequence, version="5"), F.lit("\n")).alias("xml"))
 
 
+def read_decisions(spark: SparkSession, path: str, **parts: str) -> dict[str, DataFrame]:
+    """The tables that ``decisions_json`` wrote (one text a file or line), by name; parts name their columns (DDL, without rush_id).
+
+    A text that is no such edit, or of another version, is an error that names the file.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    shape = "format string, format_version int, rush_id long, " + ", ".join(f"{n} array<struct<{', '.join(c.strip().replace(' ', ': ', 1) for c in ddl.split(','))}>>" for n, ddl in parts.items())
+    own = raw.select("file", F.from_json("value", shape).alias("t"))
+    right = F.coalesce((F.col("t.format") == "wordloom-edit") & (F.col("t.format_version") == 2), F.lit(False))
+    own = own.select(F.when(right, F.col("t")).otherwise(F.raise_error(F.concat(F.lit("no edit of version 2: "), "file"))).alias("t"))
+    return {n: own.select("t.rush_id", F.inline(f"t.{n}")) for n in parts}
+
+
 def decisions_json(**parts: DataFrame) -> DataFrame:
     """(rush_id, json): the rows of the named tables (rush_id and more), in order of their columns, under their names; format version 2."""
     out = None
     for name, rows in parts.items():
         own = rows.groupBy("rush_id").agg(F.array_sort(F.collect_list(F.struct(*(c for c in rows.columns if c != "rush_id")))).alias(name))
         out = own if out is None else out.join(own, "rush_id", "full")
-    body = F.struct(F.lit("wordloom-edit").alias("format"), F.lit(2).alias("format_version"), *(F.coalesce(F.col(n), F.array()).alias(n) for n in parts))
+    body = F.struct(F.lit("wordloom-edit").alias("format"), F.lit(2).alias("format_version"), "rush_id", *(F.coalesce(F.col(n), F.array()).alias(n) for n in parts))
     return out.select("rush_id", F.to_json(body).alias("json"))

@@ -3,21 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wordloom.tables import sound_unions
+
 _WORD = "array<struct<text: string, word: string, start: double, `end`: double, probability: double, score: double, language: string>>"
 _SCHEMA = f"language string, duration double, segments array<struct<start: double, `end`: double, text: string, language: string, words: {_WORD}>>, words {_WORD}"
 
 
+#: Suffixes of cue files; all others are JSON.
+CUES = (".srt", ".vtt")
+
+
+def read(spark: SparkSession, path: str, cues: tuple[str, ...] = CUES) -> DataFrame:
+    """(rush_id, idx, text, start_ms, end_ms, probability) of the files of a folder, each read as its suffix says; rush_id is the file's path.
+
+    Files come through Spark's readers, from any store that Spark knows, a file at a time. A path without files is an
+    error, and so is a file that is not JSON, or a cue file in which no cue has times; the error names the file.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("rush_id"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    named = F.lower(F.regexp_extract("rush_id", r"(\.[^./]*)$", 1)).isin(*cues)
+    timed = F.when(F.col("value").rlike(r"\d+:\d+:\d+[,.]\d+\s*-->"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("no cue has times in "), "rush_id")))
+    said = spread(_cues(raw.where(named).withColumn("value", timed)))
+    parsed = raw.where(~named).select("rush_id", F.from_json("value", _SCHEMA, {"mode": "PERMISSIVE"}).alias("t"), F.get_json_object("value", "$").alias("ok"))
+    fields = ("language", "duration", "segments", "words")
+    checked = F.when(F.col("ok").isNull() | F.forall(F.array(*(F.col(f"t.{f}").isNull() for f in fields)), lambda x: x), F.raise_error(F.concat(F.lit("not a transcript: "), "rush_id"))).otherwise(F.col("t"))
+    own = _words(parsed.select("rush_id", checked.alias("t")).select("rush_id", "t.*"))
+    said = said.withColumn("idx", F.row_number().over(W.partitionBy("rush_id").orderBy("seg_idx", "pos")) - 1)
+    sound_unions(spark)
+    return own.unionByName(said.select(*own.columns))
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """(rush_id, idx, text, start_ms, end_ms, probability): words of segments, or of the root if no segment has any."""
-    raw = spark.read.schema(_SCHEMA).option("multiLine", True).json(path).withColumn("rush_id", F.input_file_name())
+    return _words(spark.read.schema(_SCHEMA).option("multiLine", True).json(path).withColumn("rush_id", F.input_file_name()))
+
+
+def _words(raw: DataFrame) -> DataFrame:
     nested = F.flatten(F.transform(F.coalesce("segments", F.array()), lambda s: F.coalesce(s["words"], F.array())))
     w = raw.select("rush_id", F.posexplode(F.when(F.size(nested) > 0, nested).otherwise(F.coalesce("words", F.array()))).alias("at", "w"))
     text = F.trim(F.coalesce("w.text", "w.word"))
     own = w.select("rush_id", "at", text.alias("text"), F.rint(F.col("w.start") * 1000).cast("long").alias("start_ms"), F.rint(F.col("w.end") * 1000).cast("long").alias("end_ms"), F.coalesce(F.nullif(F.coalesce("w.probability", "w.score"), F.lit(0.0)), F.lit(1.0)).alias("probability"))
-    from pyspark.sql import Window as W
-
     own = own.where("text <> '' and start_ms is not null and end_ms is not null")
     return own.withColumn("idx", F.row_number().over(W.partitionBy("rush_id").orderBy("start_ms", "end_ms", "at")) - 1).drop("at")
 
@@ -29,7 +56,11 @@ def _stamp(c: Column) -> Column:
 
 def read_srt(spark: SparkSession, path: str) -> DataFrame:
     """(rush_id, seg_idx, start_ms, end_ms, text): cues whose times (with hours) stand in the first two lines."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("rush_id"), F.replace(F.regexp_replace("value", "^﻿", ""), F.lit("\r"), F.lit("")).alias("v"))
+    return _cues(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("rush_id"), F.regexp_replace("value", "^\ufeff", "").alias("value")))
+
+
+def _cues(raw: DataFrame) -> DataFrame:
+    raw = raw.select("rush_id", F.replace("value", F.lit("\r"), F.lit("")).alias("v"))
     blocks = raw.select("rush_id", F.posexplode(F.split(F.trim("v"), r"\n\s*\n")).alias("seg_idx", "block")).withColumn("lines", F.split("block", "\n"))
     timed = F.when(F.get("lines", F.lit(0)).contains("-->"), 0).when(F.get("lines", F.lit(1)).contains("-->"), 1)
     own = blocks.withColumn("at", timed).where("at is not null").withColumn("sides", F.split(F.get("lines", F.col("at")), "-->"))
