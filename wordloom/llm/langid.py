@@ -1,23 +1,25 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text is built; a text is parsed greedily into the
-longest phrases that occur in it, and the language that needs fewest phrases for a character wins.
-The automata are made total (a character that cannot go on starts the next phrase), so
-numpy steps many blocks of text through all of them at once. Texts are read whole, in blocks of
-``BLOCK`` characters, each of which starts a new phrase.
-
-The automata are built on the driver from a bounded sample: ``budget`` characters over all
-languages (at least 2,000 each), at most ``per_document`` from one document, documents taken in
-order of a hash of doc_id. Case is folded, and what is no letter is one space; characters beyond the
-``ALPHABET`` most frequent end a phrase. A text that is null or has no letter is ``und`` with score
-0; with no labelled rows every text is; ties go to the language that comes first in the alphabet;
-repeated rows are judged each for itself; other columns are not read.
+longest phrases that occur in it, and the language that needs fewest phrases wins. Texts are parsed as
+UTF-8, so scripts of any number of characters have an alphabet of 256 at most and none is left out.
+The automata are made total (a byte that cannot go on starts the next phrase), so
+numpy steps many blocks of text through all of them at once. Texts are read whole, of any length, in blocks of
+``BLOCK`` bytes, each of which starts a new phrase.
+
+The automata are built on the driver from a bounded sample: ``budget`` bytes over all
+languages (at least 2,000 each), the ``languages`` most frequent labels (so their automata are bounded too: about two
+states a byte, 256 cells of four bytes each at most), at most ``per_document`` characters from one document, documents taken in
+order of a hash of doc_id, as many as their mean length asks for. Case is folded, and what is no letter is one space;
+bytes that no sample has end a phrase. A text that is null or has no letter is ``und`` with score
+0; with no labelled rows (an empty table among others) every text is; ties go to the language that comes first in the alphabet;
+repeated rows are judged each for itself; other columns are not read. A doc_id is null or of any type.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +31,6 @@ from wordloom.llm.common import ship, with_id
 from wordloom.llm.toxicity import held_out
 
 BLOCK = 1024
-ALPHABET = 254
 #: Blocks that are parsed side by side.
 WIDTH = 4096
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -75,14 +76,13 @@ class Parser:
     """All automata in one table: cell [state * width + symbol] holds twice the next row's start, plus 1 if a phrase starts."""
 
     languages: list[str]
-    symbols: np.ndarray  # by code point
+    symbols: np.ndarray  # by byte
     width: int
     roots: np.ndarray
     table: np.ndarray
 
     def codes(self, text: str) -> np.ndarray:
-        points = np.frombuffer(fold(text).encode("utf-32-le", "surrogatepass"), "<u4")
-        return self.symbols[points]
+        return self.symbols[np.frombuffer(fold(text).encode("utf-8", "surrogatepass"), np.uint8)]
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """[text, language]: phrases of each text."""
@@ -119,18 +119,17 @@ class Parser:
         np.add.at(out, np.array(owner)[order], ended.T)
 
 
-def build(samples: dict[str, str]) -> Parser:
+def build(samples: dict[str, bytes]) -> Parser:
+    """The automata of folded samples in UTF-8."""
     languages = sorted(samples)
-    common = Counter()
-    for t in samples.values():
-        common.update(t)
-    kept = [c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
-    symbols = np.zeros(0x110000, np.int16)
-    for k, c in enumerate(kept):
-        symbols[ord(c)] = k + 1
+    kept = np.unique(np.frombuffer(b"".join(samples.values()), np.uint8))
+    symbols = np.zeros(256, np.int16)
+    symbols[kept] = np.arange(1, len(kept) + 1)
     width, tables, roots, base = len(kept) + 1, [], [], 0
+    if 2 * sum(map(len, samples.values())) * width >= 1 << 30:
+        raise ValueError("the samples are too large for cells of 32 bits; lower the budget or the number of languages")
     for name in languages:
-        text = symbols[np.frombuffer(samples[name].encode("utf-32-le", "surrogatepass"), "<u4")].tolist()
+        text = symbols[np.frombuffer(samples[name], np.uint8)].tolist()
         nxt = suffix_automaton(text)
         start = np.full(width, 2 * base + 1, np.int64)
         for c, s in nxt[0].items():
@@ -147,23 +146,24 @@ def build(samples: dict[str, str]) -> Parser:
     return Parser(languages, symbols, width, np.array(roots, np.int32), np.concatenate(tables) if tables else np.zeros(0, np.int32))
 
 
-def fit(docs: DataFrame, budget: int = 120_000, per_document: int = 1500) -> Parser:
+def fit(docs: DataFrame, budget: int = 120_000, per_document: int = 1500, languages: int = 60) -> Parser:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}  # a row for each language
-    if not counts:
+    used = F.least(F.char_length("text"), F.lit(per_document))
+    labels = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(used).alias("mean")).orderBy(F.desc("n"), "lang").limit(languages).collect()  # `languages` rows at most
+    if not labels:
         return build({})
-    each = max(2000, budget // len(counts))
-    want = 4 * -(-each // per_document)
+    each = max(2000, budget // len(labels))
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     chosen = F.lit(False)
-    for name, n in counts.items():
+    for name, n, mean in labels:  # twice as many as the mean length asks for
+        want = 4 + 2 * each / max(mean, 1.0)
         chosen = chosen | ((F.col("lang") == name) & (rank < int(min(1.0, want / n) * (1 << 30))))
-    rows = known.where(chosen).select("lang", rank.alias("rank"), "doc_id", F.substring("text", 1, per_document)).collect()
+    rows = known.where(chosen).select("lang", rank.alias("rank"), F.col("doc_id").cast("string").alias("doc_id"), F.substring("text", 1, per_document)).collect()  # about 2 * budget characters
     parts: dict[str, list] = defaultdict(list)
-    for r in sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3])):
+    for r in sorted(rows, key=lambda r: (r[0], r[1], len(r[2]), r[2], r[3])):
         if sum(map(len, parts[r[0]])) < each:
-            parts[r[0]].append(fold(r[3]))
-    return build({k: "\n".join(v)[:each] for k, v in parts.items()})
+            parts[r[0]].append(fold(r[3]).encode("utf-8", "surrogatepass"))
+    return build({k: b" ".join(v)[:each] for k, v in parts.items()})
 
 
 def predict(docs: DataFrame, parser: Parser) -> DataFrame:
