@@ -16,7 +16,7 @@ from wordloom.llm.common import cut
 HOT = 1024
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], total: int) -> DataFrame:
     """The inner join of rows with a table of one row a key, where ``n`` says how many of the ``total`` rows have that key.
 
     Frequent keys never meet in one task: their few rows of the table are sent to where the rows are.

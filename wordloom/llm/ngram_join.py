@@ -4,15 +4,17 @@ Words are runs of anything but ``[\\x20\\x09-\\x0D]`` in the lower-cased text; a
 words than n has one n-gram of them all; a text without words (or null) has none and joins nothing.
 Texts with equal sets form a class, and only its representative goes on. Signatures of
 ``bands * rows`` MinHashes are cut into bands; representatives that share the hash of a band are a
-candidate pair, which is verified on the full n-gram sets. With 32 bands of 6 rows a pair at Jaccard
-0.8 shares a band with probability 0.99994, at 0.85 with 0.9999999.
+candidate pair, which is verified on the full n-gram sets. ``bands_for`` chooses bands and rows so that a
+pair at the threshold shares a band with probability ``recall`` (0.99994 unless said), and pairs above it
+more surely: at 0.8 these are 32 bands of 6 rows, at 0.5 14 bands of one. Lower thresholds bring more unlike
+texts together for verification; ``most_bands`` allows more bands of more rows, which bring fewer.
 
 Pairs are never rows. The members of a bucket (the representatives with one hash in one band) are
 brought together with their sets, in blocks of ``BLOCK`` members or ``GRAMS`` n-grams; a larger
 bucket is dealt into pairs of blocks. A pair that shares several bands is counted in the first of
 them, and a bucket with the same members as an earlier one is left out. Where buckets overlap so much
 that their whole component (representatives joined by buckets) takes fewer rows, the component is
-brought together instead of its buckets. So the rows that carry sets are never more than one for each
+brought together instead of its buckets; there too only pairs that share a band count. So the rows that carry sets are never more than one for each
 member of a bucket, and with m members of one bucket (m * m / BLOCK rows for m * m / 2 candidate
 pairs) stay in proportion to the candidate pairs: exact numbers of links in a group of m texts, all
 different and all alike, are quadratic work.
@@ -26,6 +28,8 @@ gives no rows; other columns are not read. A doc_id is of any type that can be o
 
 from __future__ import annotations
 
+from math import ceil, log, log1p
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,7 +40,8 @@ from pyspark.sql import types as T
 from wordloom.llm.common import cut, grams, mix, ship, spare, with_id, word_hashes
 from wordloom.llm.components import components, lookup
 
-BANDS, ROWS = 32, 6
+#: The probability that a pair at the threshold is found, and the bands at most.
+RECALL, MOST_BANDS = 0.99994, 32
 #: Members of a block, and n-grams of all its members (or one member's); a task compares two blocks with each other.
 BLOCK, GRAMS = 128, 1 << 20
 
@@ -52,7 +57,18 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return (k >> 64) - (1 << 63), (k & (1 << 64) - 1) - (1 << 63)
 
 
-def band_hashes(s: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def bands_for(threshold: float, recall: float = RECALL, most_bands: int = MOST_BANDS) -> tuple[int, int]:
+    """(bands, rows): the most rows with which no more than ``most_bands`` bands reach the recall at the threshold."""
+    if not (0 < threshold <= 1 and 0 < recall < 1):
+        raise ValueError("the threshold must be above 0 and no more than 1, the recall between 0 and 1")
+    for rows in range(16, 0, -1):
+        bands = 1 if threshold == 1 else ceil(log(1 - recall) / log1p(-(threshold**rows)) - 1e-9)
+        if bands <= most_bands:
+            return bands, rows
+    raise ValueError(f"{most_bands} bands can't reach a recall of {recall} at {threshold}; allow more")
+
+
+def band_hashes(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A 64-bit hash for each band of the set's MinHash signature."""
     seeds = mix(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64))
     by, plus = (seeds[: bands * rows] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (seeds[bands * rows :] >> np.uint64(32)).astype(np.uint32)
@@ -69,16 +85,16 @@ def band_hashes(s: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return out
 
 
-def signatures(docs: DataFrame, n: int) -> DataFrame:
+def signatures(docs: DataFrame, n: int, bands: int, per_band: int) -> DataFrame:
     """(doc_id, th, k1, k2, n_grams, bands): th is the text's hash, k1 and k2 name the set."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for _, s in shingle_sets(batch.column(2).to_pylist(), n):
-                rows.append((*set_key(s), len(s), band_hashes(s).view(np.int64).tolist() if len(s) else None))
-            k1, k2, size, bands = zip(*rows) if rows else ([],) * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(size, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "th", "k1", "k2", "n_grams", "bands"])
+                rows.append((*set_key(s), len(s), band_hashes(s, bands, per_band).view(np.int64).tolist() if len(s) else None))
+            k1, k2, size, hashes = zip(*rows) if rows else ([],) * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(size, pa.int32()), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "th", "k1", "k2", "n_grams", "bands"])
 
     ship(docs.sparkSession)
     own = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
@@ -133,8 +149,8 @@ def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _verify(members: DataFrame, threshold: float) -> DataFrame:
     """(node, peer, links) of each linked node in each pair of blocks: peer is the least node linked with it, however far.
 
-    Groups are named by ``t`` and ``g``: with t of -1 a component, else a bucket of band t, in which
-    pairs count that share no band before t.
+    Groups are named by ``t`` and ``g``: with t of -1 a component, in which pairs count that share any
+    band, else a bucket of band t, in which pairs count that share no band before t.
     """
 
     def run(batches):
@@ -146,9 +162,9 @@ def _verify(members: DataFrame, threshold: float) -> DataFrame:
                 continue
             sets = [[np.frombuffer(r[4], np.uint64) for r in side] for side in sides]
             ok = linked(sets[0], sets[1] if i != j else None, threshold)
-            if t >= 0:
-                bands = [np.array([r[3] for r in side], np.int64) for side in sides]
-                ok &= first_shared(bands[0], bands[-1]) == t
+            bands = [np.array([r[3] for r in side], np.int64) for side in sides]
+            first = first_shared(bands[0], bands[-1])
+            ok &= first == t if t >= 0 else first < bands[0].shape[1]
             if i == j:
                 np.fill_diagonal(ok, False)
             nodes = [r[1] for side in sides for r in side]
@@ -230,9 +246,9 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = RECALL, most_bands: int = MOST_BANDS) -> DataFrame:
     """(doc_id, th, class_id, n_links, n_copies, kept): kept is true for one row of each group."""
-    sig = cut(signatures(docs, n).withColumn("uid", F.monotonically_increasing_id()))
+    sig = cut(signatures(docs, n, *bands_for(threshold, recall, most_bands)).withColumn("uid", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "uid"))
     classes = sig.where("n_grams > 0").groupBy("k1", "k2").agg(first.alias("f"), F.count(F.lit(1)).alias("n_copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
     classes = cut(classes.select("k1", "k2", F.col("f.doc_id").alias("rep"), F.col("f.th").alias("rep_th"), F.col("f.uid").alias("rep_uid"), "n_copies", "n_grams", "bands").withColumn("node", F.monotonically_increasing_id()))
@@ -249,8 +265,10 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame
     named = classes.drop("bands").join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = cut(named.select("k1", "k2", "rep", "rep_uid", "node", "n_copies", "root", "links"))
     least = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "rep_uid")).alias("least"), F.count(F.lit(1)).alias("n"))
-    labels = lookup(named, least, "root", named.count()).select("k1", "k2", "n_copies", "links", F.col("least.rep").alias("class_id"), F.col("least.rep_uid").alias("class_uid"))
-    out = sig.join(labels, ["k1", "k2"], "left")
+    labels = cut(lookup(named, least, "root", named.count()).select("k1", "k2", "n_copies", "links", F.col("least.rep").alias("class_id"), F.col("least.rep_uid").alias("class_uid")))
+    # copies of one set, and texts without n-grams, never meet in one task
+    said = lookup(sig.where("n_grams > 0"), labels.withColumn("n", F.col("n_copies")), ["k1", "k2"], sig.count())
+    out = said.unionByName(sig.where("n_grams = 0"), allowMissingColumns=True)
     return out.select(
         "doc_id", "th",
         F.when(F.col("n_copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -275,4 +293,4 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     return out.join(some, same, "left_anti").unionByName(once)
 
 
-__all__ = ["band_hashes", "keep_one", "linked", "ngram_join", "placements", "set_key", "shingle_sets", "signatures"]
+__all__ = ["band_hashes", "bands_for", "keep_one", "linked", "ngram_join", "placements", "set_key", "shingle_sets", "signatures"]
