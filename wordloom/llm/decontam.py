@@ -23,7 +23,8 @@ the documents for each; with several blocks the hits (or the documents kept) of
 shared folder before the next block is made, so one block is in memory at a time. Null and empty texts
 and items without words are never contaminated nor contaminate; each row is judged by its own text,
 whatever its doc_id (of any type); repeated items are reported each for itself; texts and items may be
-of any length; other columns are passed on whatever their names.
+of any length; other columns are passed on whatever their names. An item_id is null or of any type; an empty
+table of documents gives no rows, an empty benchmark contaminates nothing.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wordloom.llm.common import ALNUM, cut, mix, ship, with_id, word_hashes
 
@@ -298,8 +300,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     """A row for each passage near an item: its first word, its words, the word edits, 1 - edits / words of the item."""
     spark = docs.sparkSession
     ship(spark)
+    item_type = benchmark.schema["item_id"].dataType
     schema = with_id(docs, "item_id long", "start_word long", "n_words long", "edits long", "similarity double")
 
+    schema["item_id"].dataType = item_type
+    item_arrow = to_arrow_type(item_type)
+
     def search(items: Items, only: bool) -> DataFrame:
         sent = spark.sparkContext.broadcast(items)
 
@@ -307,8 +313,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
             items = sent.value
             for batch in batches:
                 rows = [(d, items.ids[k], s, n, e, 1 - e / len(items.words[k])) for d, k, s, n, e in verified(_texts(batch, 1), items)]
-                at, *rest, similar = zip(*rows) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in rest), pa.array(similar, pa.float64())], names=schema.names)
+                at, item, *rest, similar = zip(*rows) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, item_arrow), *(pa.array(c, pa.int64()) for c in rest), pa.array(similar, pa.float64())], names=schema.names)
 
         found = docs.select("doc_id", "text").mapInArrow(run, schema)
         if not only:
