@@ -1,7 +1,7 @@
-import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -127,7 +127,6 @@ def test_line_dedup(spark, mixed):
     assert out.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" double", "").replace(" int", "").split(", ")
     got = {r.doc_id: r.text for r in out.collect()}
     assert [got[i] or "" for i in range(len(mixed))] == want
-    assert hashlib.sha256(want[0].encode()).hexdigest()
 
 
 def distance(a, b):
@@ -182,7 +181,7 @@ def test_quality_base(spark, mixed):
     for i, t in enumerate(mixed):
         w = [x for x in re.split("[\x20\x09-\x0d]+", t or "") if x]
         windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
-        twice = {x for x in windows if windows.count(x) > 1} if len(w) < 500 else set(windows)
+        twice = {x for x, c in Counter(windows).items() if c > 1}
         repeats = len({k + j for k, x in enumerate(windows) if x in twice for j in range(3)})
         lines = [x for x in (t or "").split("\n") if x.strip("\x20\x09\x0a\x0b\x0c\x0d")]
         failed = len(w) < 50 or 100 * repeats > 50 * len(w)
@@ -235,7 +234,7 @@ def test_language(spark):
     docs = spark.createDataFrame([*rows, (900, None, "aa"), (901, "12 !", "bb"), (902, "", None)], "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in langid.predict(docs, langid.fit(docs)).collect()}
     assert all(got[i].lang_pred == k for i, _, k in rows) and [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3
-    parser = langid.build({"x": "abracadabra"})
+    parser = langid.build({"x": b"abracadabra"})
     assert parser.phrases(["abracabra", "zz", "abra" * 600])[:2, 0].tolist() == [2, 2]
 
 
