@@ -430,6 +430,13 @@ def streamed_utterances(spark, sf):
     return spark.read.schema(sessions.OUT).parquet(f"{where}/out").where("rush_id >= 0")
 
 
+def edit_seams(spark, sf):
+    """Joints of the edit of ``edit_shots``, where words are missing that were not benign."""
+    made = _edit(spark, sf)
+    gone = decisions.members(made.removed).unionByName(decisions.members(made.benign))
+    return seams.seams(made.shots, cut(spoken_clock(spark, sf), "clock"), gone, decisions.members(made.benign), short=1500, apart=2500)
+
+
 def transcript_files(spark, sf):
     """Conversations written as JSON (even ones) and as cues (odd ones), a file each, and read again by the files' suffixes."""
     where = f"{shared_folder(spark)}/transcripts-{uuid.uuid4().hex}"
@@ -462,7 +469,7 @@ QUERIES = (
     short_shots, merge_intervals, subtract_intervals, interval_totals, spaced_topk, event_sessions, event_level_percentiles, removal_budget,
     cache_retention, content_jaccard, language_characters, role_words, weak_markers,
     strong_markers, silence_cuts, number_texts, shot_scores, minimum_shots, content_words, curve_samples, language_durations, onset_strength, pair_similarity, retake_groups, fragments, edit_lists, seam_checks,
-    repaired_words, spread_words, split_utterances, utterance_checks, zoom_plan, project_files, edit_decisions, edit_shots, edit_sets,
+    repaired_words, spread_words, split_utterances, utterance_checks, zoom_plan, project_files, edit_decisions, edit_shots, edit_sets, edit_seams,
     range_assign, instants, window_words, chunk_words, utterance_chunks, content_loss, lcs_align, utterance_language, streamed_utterances, transcript_files, store_hits,
 )
 

@@ -248,6 +248,39 @@ re AS (SELECT rush_id, kind, words, start_ms, end_ms, confidence, confidence >=
 {select}"""
 
 
+def seam_steps(short: int, apart: int) -> str:
+    """``sq``: joints of shots ``sx`` (rush_id, shot, a, b), from words ``wx`` with gone and light."""
+    content = lambda x: f"list_filter(list_transform({x}, lambda z: z.norm), lambda x: {CONTENT})"
+    return f"""wr AS (SELECT *, sum(CASE WHEN light THEN 0 ELSE 1 END) OVER (PARTITION BY rush_id ORDER BY idx) AS r FROM wx),
+hd AS (SELECT sx.rush_id, shot, list({{'norm': norm, 'text': text, 'r': r}} ORDER BY idx) AS said FROM wr JOIN sx ON sx.rush_id = wr.rush_id AND start_ms + end_ms BETWEEN 2 * a AND 2 * b WHERE NOT gone GROUP BY sx.rush_id, shot),
+sv AS (SELECT sx.*, said, lag(said) OVER o AS before, lag(b - a) OVER o AS took FROM sx LEFT JOIN hd USING (rush_id, shot) WINDOW o AS (PARTITION BY rush_id ORDER BY shot)),
+sw2 AS (SELECT *, before[-1].text AS p, before[-1].norm AS last_norm, said[1].norm AS first_norm, coalesce(said[1].r - before[-1].r > 1, false) AS harmed FROM sv),
+sy AS (SELECT *, harmed AND NOT coalesce({SENTENCE}, false) AS open_end FROM sw2),
+sq AS (SELECT rush_id, shot, CASE WHEN last_norm IN {among(V.DANGLING)} THEN 'dangling end' ELSE 'awkward start' END AS category, 'medium' AS severity FROM sy WHERE open_end AND (last_norm IN {among(V.DANGLING)} OR first_norm IN {among(V.CANNOT_START)})
+UNION ALL SELECT rush_id, shot, 'repeated word', 'low' FROM sy WHERE harmed AND list_has_any({content("before[greatest(1, len(before) - 3):]")}, {content("said[:4]")})
+UNION ALL SELECT rush_id, shot - 1, 'close cuts', 'low' FROM sy WHERE shot >= 2 AND said IS NOT NULL AND before IS NOT NULL AND took < {apart}
+UNION ALL SELECT rush_id, shot, 'short shot', 'low' FROM sy WHERE b - a < {short})"""
+
+
+def _seam_checks() -> str:
+    hard = among(L.HARD_FILLERS)
+    return f"""WITH {GAPS}, hf AS (SELECT rush_id, idx, start_ms, end_ms FROM w WHERE norm IN {hard} AND end_ms - start_ms <= 1200),
+ct AS (SELECT rush_id, "start" + floor((duration - removed) * 55 / 100) AS a, "end" - ((duration - removed) - floor((duration - removed) * 55 / 100)) AS b FROM gp WHERE removed > 0 UNION ALL SELECT rush_id, start_ms, end_ms FROM hf),
+cf AS (SELECT *, max(b) OVER (PARTITION BY rush_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM ct),
+ci AS (SELECT *, sum(CASE WHEN far IS NULL OR a > far THEN 1 ELSE 0 END) OVER (PARTITION BY rush_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM cf), cm AS (SELECT rush_id, min(a) AS a, max(b) AS b FROM ci GROUP BY rush_id, island),
+cz AS (SELECT rush_id, a, lag(b) OVER (PARTITION BY rush_id ORDER BY a) AS prev FROM (SELECT * FROM cm UNION ALL SELECT rush_id, max(end_ms), NULL FROM w GROUP BY rush_id)),
+sx AS MATERIALIZED (SELECT rush_id, row_number() OVER (PARTITION BY rush_id ORDER BY a) - 1 AS shot, CAST(coalesce(prev, 0) AS BIGINT) AS a, CAST(a AS BIGINT) AS b FROM cz WHERE a > coalesce(prev, 0)),
+wx AS (SELECT w.*, hf.idx IS NOT NULL AS gone, hf.idx IS NOT NULL AS light FROM w LEFT JOIN hf USING (rush_id, idx)),
+{seam_steps(550, 750)} SELECT rush_id, shot, category, severity FROM sq"""
+
+
+def _edit_seams() -> str:
+    return _edit("SELECT rush_id, shot, category, severity FROM sq").replace("\nSELECT rush_id, shot, category", f""",
+sx AS (SELECT rush_id, shot, a, b FROM es), wx AS (SELECT w.*, ew.idx IS NOT NULL AS gone, coalesce(ew.light, false) AS light FROM w LEFT JOIN (SELECT rush_id, idx, light FROM ew WHERE NOT up) ew USING (rush_id, idx)),
+{seam_steps(1500, 2500)}
+SELECT rush_id, shot, category""")
+
+
 EDIT_DECISIONS = "SELECT rush_id, kind AS source, start_ms, end_ms, confidence, array_to_string(words, ' ') AS words, applied, false AS limited, withdrawn FROM re"
 EDIT_SHOTS = 'SELECT rush_id, shot, a AS "start", b AS "end", timeline_start, after FROM es'
 EDIT_SETS = """SELECT rush_id, kind, "start", "end", NOT heavy AS inside FROM (SELECT rush_id, kind, CAST(min(idx) AS BIGINT) AS "start", CAST(max(idx) + 1 AS BIGINT) AS "end" FROM (
@@ -387,6 +420,8 @@ SELECT rush_id, idx, norm, target, confidence FROM c WHERE confidence IS NOT NUL
         "disfluencies": _disfluencies(),
         "minimum_shots": _minimum_shots(),
         **RANGES,
+        "seam_checks": _seam_checks(),
+        "edit_seams": _edit_seams(),
         "transcript_files": rf"""WITH {WORDS}, cu AS (SELECT rush_id, seg_idx, min(start_ms) AS s, max(end_ms) AS e, count(*) AS n FROM w GROUP BY rush_id, seg_idx),
 sp AS (SELECT rush_id, idx, text, s, CASE WHEN e > s THEN (e - s) / n ELSE 250.0 END AS step, row_number() OVER (PARTITION BY rush_id, seg_idx ORDER BY idx) - 1 AS pos FROM w JOIN cu USING (rush_id, seg_idx) WHERE rush_id % 2 = 1)
 SELECT rush_id, CAST(idx AS INTEGER) AS idx, text, start_ms, end_ms, 0.9::DOUBLE AS probability FROM w WHERE rush_id % 2 = 0
