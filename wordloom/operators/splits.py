@@ -89,7 +89,7 @@ def _cut(groups: DataFrame, at: Column, reason: str) -> DataFrame:
     return own.select("rush_id", F.explode("parts").alias("g")).select("rush_id", "g.*")
 
 
-def split_utterances(words: DataFrame, most: int = 48, isolate_markers: bool = True) -> DataFrame:
+def split_utterances(words: DataFrame, most: int = 48, isolate_markers: bool = True, restarts: bool = True) -> DataFrame:
     """Utterances as ``words.utterances`` gives them, cut once behind a strong marker at the head (``marker``) and once at a restart (``restart``).
 
     A group has ``most`` words at most, so it is one row here.
@@ -100,8 +100,9 @@ def split_utterances(words: DataFrame, most: int = 48, isolate_markers: bool = T
     groups = groups.select("rush_id", F.when(F.col("part") > 0, "length").otherwise(F.col("reason")).alias("reason"), "said")
     if isolate_markers:
         groups = _cut(groups, _marker_end(F.col("said")), "marker")
-    norms = F.transform("said", lambda x: x["norm"])
-    groups = _cut(groups, restart_at(F.when(F.size("said") >= 2 * TAKE, norms)), "restart")
+    if restarts:
+        norms = F.transform("said", lambda x: x["norm"])
+        groups = _cut(groups, restart_at(F.when(F.size("said") >= 2 * TAKE, norms)), "restart")
     out = groups.select(
         "rush_id", F.element_at("said", 1)["idx"].alias("first_idx"), F.size("said").cast("long").alias("n_words"), F.element_at("said", 1)["start_ms"].alias("start_ms"),
         F.array_max(F.transform("said", lambda x: x["end_ms"])).alias("end_ms"), "reason", F.array_join(F.transform("said", lambda x: x["text"]), " ").alias("text"),

@@ -47,7 +47,7 @@ def spoken(spark: SparkSession, sf: str) -> DataFrame:
     text, kind, first = F.col("text"), (7 * F.col("rush_id") + 3 * F.col("seg_idx")) % KINDS, lambda n: F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, n), " ")
     made = (
         F.concat(pick(MARKERS), F.lit(", "), text), F.concat(pick(MARKERS), F.lit(". "), text), F.concat(pick(PHRASES), F.lit(" "), text), F.concat(first(5), F.lit("- "), text),
-        F.concat(F.lit("euh "), text), F.concat(F.regexp_replace(text, r"[.!?]+$", ""), F.lit(" "), pick(LOOSE_ENDS)), F.concat(first(2), F.lit(" "), text), F.concat(first(3), F.lit(" "), text),
+        F.concat(F.lit("euh "), text), F.concat(first(3), F.lit(" "), text), F.concat(first(2), F.lit(" "), text), F.concat(F.regexp_replace(text, r"[.!?]+$", ""), F.lit(" "), pick(LOOSE_ENDS)),
         F.concat(first(1), F.lit(" "), first(1), F.lit(" "), text), F.concat(F.substring(first(1), 1, 3), F.lit("- "), text), F.concat(pick(MARKERS), F.lit(".")),
     )
     said = reduce(lambda c, k: c.when(kind == k, made[k]), range(1, len(made)), F.when(kind == 0, made[0])).otherwise(text)
@@ -299,14 +299,19 @@ def spread_words(spark, sf):
 
 
 def split_utterances(spark, sf):
-    return splits.split_utterances(clock(spark, sf))
+    return splits.split_utterances(spoken_clock(spark, sf))
 
 
 def utterance_checks(spark, sf):
     """Whole utterances after the gaps are cut out, every third word and all of more than three characters taken as removed."""
-    w = clock(spark, sf)
+    w = cut(spoken_clock(spark, sf), "clock")
     gone = w.where("idx % 3 = 0 or length(norm) > 3").select("rush_id", "idx")
-    return seams.utterance_checks(splits.split_utterances(w), w, shots(spark, sf), gone)
+    return seams.utterance_checks(splits.split_utterances(w), w, timeline.shots_between(w, _gap_cuts(words.gaps(w))), gone)
+
+
+def marker_splits(spark, sf):
+    """Utterances cut behind the words that announce a correction, not yet where one begins anew."""
+    return splits.split_utterances(spoken_clock(spark, sf), restarts=False)
 
 
 def zoom_plan(spark, sf):
@@ -469,7 +474,7 @@ QUERIES = (
     short_shots, merge_intervals, subtract_intervals, interval_totals, spaced_topk, event_sessions, event_level_percentiles, removal_budget,
     cache_retention, content_jaccard, language_characters, role_words, weak_markers,
     strong_markers, silence_cuts, number_texts, shot_scores, minimum_shots, content_words, curve_samples, language_durations, onset_strength, pair_similarity, retake_groups, fragments, edit_lists, seam_checks,
-    repaired_words, spread_words, split_utterances, utterance_checks, zoom_plan, project_files, edit_decisions, edit_shots, edit_sets, edit_seams,
+    repaired_words, spread_words, split_utterances, utterance_checks, zoom_plan, project_files, edit_decisions, edit_shots, edit_sets, edit_seams, marker_splits,
     range_assign, instants, window_words, chunk_words, utterance_chunks, content_loss, lcs_align, utterance_language, streamed_utterances, transcript_files, store_hits,
 )
 

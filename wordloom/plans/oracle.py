@@ -56,7 +56,7 @@ def picked(words) -> str:
 FIRST = "array_to_string(regexp_split_to_array(trim(text), '\\s+')[1:{}], ' ')"
 MADE = (
     f"{picked(MARKERS)} || ', ' || text", f"{picked(MARKERS)} || '. ' || text", f"{picked(PHRASES)} || ' ' || text", f"{FIRST.format(5)} || '- ' || text", "'euh ' || text",
-    f"regexp_replace(text, '[.!?]+$', '') || ' ' || {picked(LOOSE_ENDS)}", f"{FIRST.format(2)} || ' ' || text", f"{FIRST.format(3)} || ' ' || text",
+    f"{FIRST.format(3)} || ' ' || text", f"{FIRST.format(2)} || ' ' || text", f"regexp_replace(text, '[.!?]+$', '') || ' ' || {picked(LOOSE_ENDS)}",
     f"{FIRST.format(1)} || ' ' || {FIRST.format(1)} || ' ' || text", f"left({FIRST.format(1)}, 3) || '- ' || text", f"{picked(MARKERS)} || '.'",
 )
 TURNS = f"turns AS (SELECT conv_id, turn, CASE (7 * conv_id + 3 * turn) % {KINDS} {' '.join(f'WHEN {k} THEN {x}' for k, x in enumerate(MADE))} ELSE text END AS text FROM conversations)"
@@ -389,6 +389,20 @@ SELECT rush_id, utt_id, language, round(greatest(0, least(1, CASE WHEN terminal
   + least(0.2::DOUBLE, 0.028::DOUBLE * n_content) - CASE WHEN alone THEN 0.45::DOUBLE ELSE 0 END)), 6) AS completeness FROM uc LEFT JOIN lb USING (rush_id, run, part)"""
 
 
+def _marker_splits() -> str:
+    strong, alone = marked("head")
+    steps = UTTERANCES.removeprefix("WITH ").rsplit("s AS (SELECT", 1)[0].rstrip().removesuffix(",")
+    head = normal_text("array_to_string(list_transform(s[1:n], lambda x: trim(x.text)), ' ')")
+    return f"""WITH {on_turns(steps)},
+gs AS MATERIALIZED (SELECT rush_id, run, part, list({{'idx': idx, 'text': text, 'start_ms': start_ms, 'end_ms': end_ms}} ORDER BY idx) AS s, CASE WHEN part > 0 THEN 'length' ELSE arg_min(reason, idx) END AS reason FROM m GROUP BY rush_id, run, part),
+hn AS (SELECT rush_id, run, part, n, {head} AS head FROM (SELECT *, unnest([2, 3, 4, 5, 6]) AS n FROM gs) WHERE len(s) >= greatest(4, n + 2)),
+hm AS (SELECT rush_id, run, part, max(n) AS n FROM hn WHERE {strong} AND {alone} GROUP BY rush_id, run, part),
+ht AS (SELECT rush_id, run, part, s, reason, n FROM gs LEFT JOIN hm USING (rush_id, run, part)),
+hp AS (SELECT rush_id, reason, CASE WHEN n IS NULL THEN s ELSE s[1:n] END AS s FROM ht UNION ALL SELECT rush_id, 'marker', s[n + 1:] FROM ht WHERE n IS NOT NULL),
+hu AS (SELECT rush_id, s[1].idx AS first_idx, len(s) AS n_words, s[1].start_ms AS start_ms, list_max(list_transform(s, lambda x: x.end_ms)) AS end_ms, reason, array_to_string(list_transform(s, lambda x: x.text), ' ') AS text FROM hp)
+SELECT rush_id, row_number() OVER o - 1 AS utt_id, first_idx, n_words, start_ms, end_ms, reason, greatest(0, coalesce(start_ms - lag(end_ms) OVER o, start_ms)) AS gap_before, greatest(0, coalesce(lead(start_ms) OVER o - end_ms, 0)) AS gap_after, text FROM hu WINDOW o AS (PARTITION BY rush_id ORDER BY first_idx)"""
+
+
 RANGES = {
     "range_assign": """WITH e AS (SELECT user_id % 50 AS k, event_id, CAST(floor(epoch(ts)) AS BIGINT) % 864000 AS t FROM events), o AS (SELECT o_custkey % 50 AS k, o_orderkey, o_orderkey * 977 % 864000 AS a FROM orders)
 SELECT event_id, count(*) AS n, arg_min(o_orderkey, (a, o_orderkey)) AS first_order FROM e JOIN o ON o.k = e.k AND t BETWEEN a AND a + 600 + o_orderkey % 7200 GROUP BY event_id""",
@@ -420,6 +434,7 @@ SELECT rush_id, idx, norm, target, confidence FROM c WHERE confidence IS NOT NUL
         "disfluencies": _disfluencies(),
         "minimum_shots": _minimum_shots(),
         **RANGES,
+        "marker_splits": _marker_splits(),
         "seam_checks": _seam_checks(),
         "edit_seams": _edit_seams(),
         "transcript_files": rf"""WITH {WORDS}, cu AS (SELECT rush_id, seg_idx, min(start_ms) AS s, max(end_ms) AS e, count(*) AS n FROM w GROUP BY rush_id, seg_idx),
