@@ -2,14 +2,16 @@
 
 Each document has two histograms: its characters by class, and its words by common word in lower case
 (any other is one bin). Each is compared by Jensen-Shannon distance (base 2, 0 to 1) with the reference of
-every language, which is the sum of the histograms of all documents of that ``lang``; the nearest
-language counts, so that lang need not be right. A document is kept if it passes the base rules and
+every language, which is the sum of the histograms of all documents of that ``lang`` that pass the base rules; the nearest
+language counts, so that lang need not be right. Of very many values of lang the ``languages`` most frequent have a
+reference (1,024, which bounds what is sent to the tasks). A document is kept if it passes the base rules and
 is within ``char_limit`` and ``word_limit`` of some language. Texts of fewer than ``min_chars``
 characters or ``min_words`` words are not judged by that histogram.
 
 Null and empty texts have no words and fail the base rules; a null lang adds to no reference, any other
 gives one, however few its documents; without any reference the base rules decide alone; repeated rows
-are judged each for itself; other columns are not read.
+are judged each for itself; texts may be of any length, each in one row's memory; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -77,11 +79,11 @@ def _covered(hashes: Column) -> Column:
     return F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(i, i + 1, i + 2)))))
 
 
-def references(counts: DataFrame) -> DataFrame:
-    """One row: ``refs``, the two histograms of each language as shares."""
+def references(counts: DataFrame, languages: int = 1024) -> DataFrame:
+    """One row: ``refs``, the two histograms of each of the most frequent languages as shares."""
     sizes = (len(CLASSES) + 2, len(dict.fromkeys(COMMON_WORDS)) + 1)
     sums = [F.sum(F.get(c, F.lit(k))).alias(f"{c}{k}") for c, n in zip(("chars", "common"), sizes, strict=True) for k in range(n)]
-    known = counts.where("lang is not null and n_words > 0").groupBy("lang").agg(*sums)
+    known = counts.where("lang is not null and n_words > 0").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums).orderBy(F.desc("n"), "lang").limit(languages)
     share = lambda c, n: F.transform(F.array(*(F.col(f"{c}{k}") for k in range(n))), lambda x: x / F.greatest(F.lit(1), reduce(add, (F.col(f"{c}{k}") for k in range(n)))))
     return known.agg(F.collect_list(F.struct(share("chars", sizes[0]).alias("chars"), share("common", sizes[1]).alias("common"))).alias("refs"))
 
@@ -98,13 +100,12 @@ def js_distance(counts: Column, total: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / (2 * math.log(2))))
 
 
-def judged(docs: DataFrame, char_limit: float = 0.25, word_limit: float = 0.35, min_chars: int = 200, min_words: int = 100) -> DataFrame:
+def judged(docs: DataFrame, char_limit: float = 0.25, word_limit: float = 0.35, min_chars: int = 200, min_words: int = 100, languages: int = 1024) -> DataFrame:
     """doc_id, the base columns, base_failed, the distances from the nearest language, kept."""
-    counts = cut(base_counts(docs))
-    known = cut(references(counts))
-    out = counts.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    out = cut(base_counts(docs)).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    known = cut(references(out.where(~F.col("base_failed")), languages))
     n_chars = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
-    out = out.withColumn("n_chars", n_chars).crossJoin(F.broadcast(known))
+    out = out.withColumn("n_chars", n_chars).crossJoin(F.broadcast(known))  # one row of at most `languages` references
     each = F.transform("refs", lambda r: F.struct(js_distance(F.col("chars"), F.col("n_chars"), r["chars"]).alias("c"), js_distance(F.col("common"), F.col("n_words"), r["common"]).alias("w")))
     out = out.withColumn("each", F.when(~F.col("base_failed"), each)).withColumn("far_c", F.col("n_chars") >= min_chars).withColumn("far_w", F.col("n_words") >= min_words)
     near = (F.size("refs") == 0) | F.exists("each", lambda x: (~F.col("far_c") | (x["c"] <= char_limit)) & (~F.col("far_w") | (x["w"] <= word_limit)))

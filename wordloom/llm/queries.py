@@ -196,8 +196,8 @@ r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i +
 c AS (SELECT h.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, length(l0) AS word_chars, length(l2) - length(l3) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
     [{chars}] AS chars, [{common}, len(w) - len(low)] AS common FROM h{n} h LEFT JOIN r USING (doc_id)),
-f AS (SELECT lang, {sums("chars", n + 2)} AS rc, {sums("common", len(words) + 1)} AS rw FROM c WHERE lang IS NOT NULL AND n_words > 0 GROUP BY lang),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+f AS (SELECT lang, {sums("chars", n + 2)} AS rc, {sums("common", len(words) + 1)} AS rw FROM b WHERE lang IS NOT NULL AND NOT base_failed GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1024),
 d AS (SELECT doc_id, bool_or((list_sum(chars) < 200 OR {far("chars", "rc")} <= 0.25) AND (n_words < 100 OR {far("common", "rw")} <= 0.35)) AS near
   FROM b CROSS JOIN f WHERE NOT base_failed GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(near, false) AS kept
