@@ -6,7 +6,8 @@ input or however often one document repeats, and each group is packed longest pi
 segment tree indexed by remaining capacity finds the open window that the piece fills most tightly.
 Only spans travel; ids stay where they were made.
 
-Nulls and empty texts give one piece with the closing id alone; repeated rows are packed each for
+Nulls and empty texts give one piece with the closing id alone; texts of any length are cut into full windows; pieces of
+equal length are taken in order of their rows, and of windows with equal room the last opened; repeated rows are packed each for
 itself; an empty table gives no rows; other columns are not read. A doc_id may be of any type and null.
 """
 

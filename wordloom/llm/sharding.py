@@ -9,7 +9,7 @@ them only if moving it to their edge would misplace more than ``GROUP_SLACK`` of
 Quantiles are found by sums over ten bits of the sort key at a time (a row for each node and value
 at most comes to the driver), never by sorting, until a cut is within ``SLACK`` of a shard. Places in
 a shard are numbered by counts of sorted partitions. Null texts have no bytes but the ``extra`` of
-each row; null doc_ids and repeated rows are rows like others; an empty table gives no rows; other
+each row; texts of any length count by their bytes alone, and one that is larger than a shard has its own; null doc_ids and repeated rows are rows like others; an empty table gives no rows; other
 columns are not read.
 """
 

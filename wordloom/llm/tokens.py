@@ -5,6 +5,9 @@ space-separated words. In texts of Latin letters up to U+017F without apostrophe
 joins a letter with anything else, and lower case letter by letter is what it applies; there the
 units are the runs of letters and of other characters, of which few differ. Each different unit
 is encoded by the library once and kept, so most of a text is looked up.
+
+Null texts are empty ones and have no ids but the closing one; equal texts have equal ids; texts of any length are cut before
+white space and encoded in parts; an empty list of texts gives nothing.
 """
 
 from __future__ import annotations

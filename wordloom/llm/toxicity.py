@@ -10,7 +10,7 @@ by a hash of doc_id) and at most ``active`` buckets, those whose share differs m
 labels. Scoring reads every document whole. Null and empty texts get the score of a document
 without any term; labels that are null or of unknown documents are not read; without both labels in
 the sample the score is the share of toxic rows (0 if there are none); repeated rows are scored
-each for itself; other columns are passed on whatever their names. A doc_id may be of any type and null;
+each for itself; texts may be of any length; an empty table gives no rows; other columns are passed on whatever their names. A doc_id may be of any type and null;
 labels are matched to it as text.
 """
 
