@@ -36,7 +36,7 @@ def test_bad_files_are_errors_that_name_them(spark, tmp_path, name, text):
 def test_edits_are_read_again(spark, tmp_path):
     shots = spark.createDataFrame([(1, 0, 0, 500), (1, 1, 700, 900), (2, 0, 0, 10)], "rush_id long, shot long, start long, end long")
     gone = spark.createDataFrame([(1, "filler", 0.95, None), (1, "marker", 0.88, "x")], "rush_id long, source string, confidence double, text string")
-    projects.decisions_json(shots=shots, removals=gone).select("json").write.text(f"{tmp_path}/edits")
+    projects.decisions_json(True, shots=shots, removals=gone).select("json").write.text(f"{tmp_path}/edits")
     again = projects.read_decisions(spark, f"{tmp_path}/edits", shots="shot long, start long, end long", removals="source string, confidence double, text string")
     assert sorted(map(tuple, again["shots"].collect())) == sorted(map(tuple, shots.collect()))
     assert sorted(map(tuple, again["removals"].collect()), key=str) == sorted(map(tuple, gone.collect()), key=str)

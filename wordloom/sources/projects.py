@@ -153,7 +153,7 @@ def project_xml(clips: DataFrame, zooms: DataFrame, sources: DataFrame, media: M
 
 
 def read_decisions(spark: SparkSession, path: str, **parts: str) -> dict[str, DataFrame]:
-    """The tables that ``decisions_json`` wrote (one text a file or line), by name; parts name their columns (DDL, without rush_id).
+    """The tables that ``decisions_json`` wrote, named (one text a file or line), by name; parts name their columns (DDL, without rush_id).
 
     A text that is no such edit, or of another version, is an error that names the file.
     """
@@ -165,11 +165,11 @@ def read_decisions(spark: SparkSession, path: str, **parts: str) -> dict[str, Da
     return {n: own.select("t.rush_id", F.inline(f"t.{n}")) for n in parts}
 
 
-def decisions_json(**parts: DataFrame) -> DataFrame:
-    """(rush_id, json): the rows of the named tables (rush_id and more), in order of their columns, under their names; format version 2."""
+def decisions_json(named: bool = False, /, **parts: DataFrame) -> DataFrame:
+    """(rush_id, json): the rows of the named tables (rush_id and more), in order of their columns, under their names; format version 2. ``named`` texts hold rush_id too, which ``read_decisions`` asks for."""
     out = None
     for name, rows in parts.items():
         own = rows.groupBy("rush_id").agg(F.array_sort(F.collect_list(F.struct(*(c for c in rows.columns if c != "rush_id")))).alias(name))
         out = own if out is None else out.join(own, "rush_id", "full")
-    body = F.struct(F.lit("wordloom-edit").alias("format"), F.lit(2).alias("format_version"), "rush_id", *(F.coalesce(F.col(n), F.array()).alias(n) for n in parts))
+    body = F.struct(F.lit("wordloom-edit").alias("format"), F.lit(2).alias("format_version"), *(["rush_id"] if named else []), *(F.coalesce(F.col(n), F.array()).alias(n) for n in parts))
     return out.select("rush_id", F.to_json(body).alias("json"))
