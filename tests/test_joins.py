@@ -1,6 +1,8 @@
 """Range assignment, containment, alignment, chunks and stable modes against plain Python."""
 
 import random
+from difflib import SequenceMatcher
+from os.path import commonprefix
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +72,31 @@ def test_alignment_against_the_matrix(spark):
         assert r.x == pytest.approx(similarity.in_order(gain) / whole if whole and b else 0.0)
 
 
+def plain_degree(x, y):
+    if x == y:
+        return 1.0
+    if similarity.stem(x) == similarity.stem(y):
+        return 0.92
+    start, shorter = len(commonprefix((x, y))), min(len(x), len(y))
+    if start >= 4 and start >= 0.70 * shorter:
+        return 0.80
+    return 0.80 if shorter >= 5 and SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.86 else 0.0
+
+
+def test_degrees_by_definition():
+    """Filters by lengths and trigrams lose no pair of words."""
+    rng, found = random.Random(0), 0
+    for _ in range(20_000):
+        x = "".join(rng.choices("abcde", k=rng.randint(1, 24)))
+        y = list(x)
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randint(0, 1)] = rng.choices("abcde", k=rng.randint(0, 1))
+        found += plain_degree(x, "".join(y)) > 0
+        assert similarity.degree(x, "".join(y)) == plain_degree(x, "".join(y))
+    assert found > 5_000
+
+
 def test_dominant_value_is_the_first_of_equals(spark):
     rows = [(1, 0, "fr"), (1, 1, "en"), (1, 2, "en"), (1, 3, "fr"), (2, 0, None), (2, 1, ""), (3, 0, None), (3, 5, "en"), (3, 4, "fr")]
     got = words.dominant(spark.createDataFrame(rows, "u int, idx int, language string"), ["u"])

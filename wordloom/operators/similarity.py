@@ -9,7 +9,7 @@ import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
-from os.path import commonprefix
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -46,16 +46,23 @@ def stem(word: str) -> str:
     return m.group(1) if m else word
 
 
+@lru_cache(1 << 14)
+def trigrams(word: str) -> frozenset[str]:
+    return frozenset(word[k : k + 3] for k in range(len(word) - 2))
+
+
 @lru_cache(1 << 17)
 def degree(x: str, y: str) -> float:
     if x == y:
         return 1.0
     if stem(x) == stem(y):
         return 0.92
-    start, shorter = len(commonprefix((x, y))), min(len(x), len(y))
-    if start >= 4 and start >= 0.70 * shorter:
+    shorter = min(len(x), len(y))
+    start = max(4, ceil(0.70 * shorter))
+    if shorter >= start and x[:start] == y[:start]:
         return 0.80
-    if shorter < 5 or 2 * shorter < 0.86 * (len(x) + len(y)):
+    # at a ratio of 0.86 so few characters are unmatched that some matching block has three at least
+    if shorter < 5 or 2 * shorter < 0.86 * (len(x) + len(y)) or trigrams(x).isdisjoint(trigrams(y)):
         return 0.0
     blocks = SequenceMatcher(None, x, y, autojunk=False)
     return 0.80 if blocks.quick_ratio() >= 0.86 and blocks.ratio() >= 0.86 else 0.0
