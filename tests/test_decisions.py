@@ -119,7 +119,7 @@ def test_shared_folder(spark):
     assert cut(spark.range(3)).count() == 3 and shared_folder(spark) == shared_folder(spark)
 
 
-UDFS = ("split_utterances", "retake_groups", "zoom_plan", "minimum_shots", "repaired_words")
+UDFS = ("split_utterances", "zoom_plan")
 
 
 def test_queries_from_another_folder(tmp_path):
