@@ -7,6 +7,7 @@ from os.path import commonprefix
 import pytest
 from pyspark.sql import functions as F
 
+from wordloom import catalogue
 from wordloom.functions import markers as M
 from wordloom.operators import alignment, containment, ranges, similarity, words
 
@@ -23,6 +24,35 @@ def test_hits_are_all_points_in_spans(spark, part, closed):
     assert ranges.hits(p.limit(0), s, "k", 10).count() == 0 == ranges.hits(p, s.limit(0), "k", 10).count()
 
 
+@pytest.mark.parametrize(("part", "closed"), [(1 << 16, True), (3, True), (3, False)])
+def test_holders_are_counted_without_their_meetings(spark, part, closed):
+    rng = random.Random(part)
+    points = [(rng.choice([1, 1, 1, 2, None]), rng.choice([None, 50, *range(100)]), i) for i in range(150)] + [(1, 50, 1)] * 20
+    spans = [(rng.choice([1, 2, None]), a, a + rng.choice([-1, 0, 5, 60]), i) for i, a in enumerate(rng.choices(range(-20, 100), k=60))] + [(1, None, 5, 99), (1, 30, None, 98), (1, 7, 7, 97)]
+    p, s = spark.createDataFrame(points, "k int, t long, id int"), spark.createDataFrame(spans, "k int, start long, end long, name int")
+    got = sorted((r.k, r.t, r.id, r.n, r.first.start, r.first.name) for r in ranges.holders(p, s, "k", 10, ["name"], closed, part).collect())
+    inside = lambda t, a, b: a <= t <= b if closed else a <= t < b
+    want = []
+    for k, t, i in points:
+        own = sorted((a, n) for j, a, b, n in spans if None not in (k, t, a, b) and k == j and inside(t, a, b))
+        want += [(k, t, i, len(own), *own[0])] if own else []
+    assert got == sorted(want)
+    assert ranges.holders(p.limit(0), s, "k", 10, ["name"]).count() == 0 == ranges.holders(p, s.limit(0), "k", 10, ["name"]).count()
+
+
+def test_range_assign_makes_no_pairs_of_points_and_spans(spark, tmp_path):
+    t = "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id % 500)"
+    spark.range(2000).selectExpr("id as event_id", f"{t} as ts", "0L as user_id").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(2000).selectExpr("id * 864000 as o_orderkey", "0L as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalogue.queries()["range_assign"](spark, str(tmp_path))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("Window", 1)[0]  # nothing meets after the sweep
+    day = 1704067200 % 864000
+    got = {(r.event_id, r.n, r.first_order) for r in got.collect()}
+    spans = [(0, 600 + k * 864000 % 7200, k * 864000) for k in range(2000)]
+    want = {(e, len(own), min(own)[1]) for e in range(2000) if (own := [(a, o) for a, b, o in spans if a <= day + e % 500 <= b])}
+    assert got == want
+
+
 def test_first_hit_keeps_every_point(spark):
     p, s = spark.createDataFrame([(1, 5), (1, 50), (None, 5)], "k int, t long"), spark.createDataFrame([(1, 0, 5, "b"), (1, 5, 9, "a")], "k int, start long, end long, name string")
     got = ranges.first_hit(p, s, "k", ["k", "t"], 10, F.col("span.start")).select("k", "t", "span.name").collect()
