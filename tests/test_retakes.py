@@ -81,6 +81,44 @@ def test_fragments(spark):
     assert [(r.utt_id, r.confidence, r.unique) for r in got] == [(1, 0.81, [])]
 
 
+def script(seed, n):
+    """Sentences with restarts, markers, loose ends and small slips among others that have nothing in common."""
+    r, out = random.Random(seed), []
+    vocabulary = "jouer jouaient joueurs le la competition competetion saison saisons fort classement mondial equipe equipes demain montagne japonais gagnent euh du coup pas mal de".split()
+    for k in range(n):
+        words_ = r.choices(vocabulary, k=r.randint(1, 14))
+        if out and r.random() < 0.4:
+            words_ = out[-1].rstrip(".-").split()[: r.randint(1, 9)] + r.choices(vocabulary, k=r.randint(0, 5))
+        out.append(" ".join(words_) + r.choice([".", ".", "-", " et", ""]))
+        if r.random() < 0.12:
+            out.append(r.choice(["Non, je recommence.", "Attends.", "On coupe.", "Et..."]))
+    return out
+
+
+def test_begins_is_false_only_where_nothing_starts_over():
+    r, n = random.Random(4), [0, 0]
+    said = [" ".join(t.lower().replace(".", "").replace(",", "").split()) for t in script(4, 600)]
+    for a, b in zip(said, said[1:]):
+        m = similarity.compare(a.split(), b.split())
+        want = m[9] or m[10]
+        n[bool(want)] += 1
+        assert similarity.begins(a, b) or not want
+    assert min(n) > 30 and not similarity.begins("", "a") and not similarity.begins("voici une autre table", "demain nous partons loin")
+
+
+def test_retakes_measure_only_pairs_that_may_decide(spark):
+    rules = retakes.RetakeRules()
+    rows = [(rush, i, 3000 * i, 3000 * i + 2000, t) for rush in range(3) for i, t in enumerate(script(rush, 120)) if (rush, i) != (0, 7)]
+    u = spark.createDataFrame(rows + [(None, 1, 0, 5, "Et la saison."), (9, None, 0, 5, "Et la saison.")], UTTERANCE)
+    every = retakes.judged_pairs(retakes.utterance_pairs(u), rules).groupBy("rush_id").applyInPandas(retakes._choose, retakes._CHOSEN).withColumn("confidence", F.round("confidence", 3))
+    own = retakes.retakes(u).where("group_id is not null")
+    assert sorted(every.collect()) == sorted(own.collect()) and own.count() > 30
+    at = [(rush, i) for rush, i, *_ in rows]
+    assert sorted((p.rush_id, p.a.utt_id, p.b.utt_id) for p in retakes.utterance_pairs(u).select("rush_id", "a", "b").collect()) == sorted((r, i, j) for r, i in at for j in range(i + 1, i + 6) if (r, j) in at)
+    alone = utterances(spark, [" ".join("".join(random.Random(100 * k + j).choices("bcdfgklmnprstvz", k=7)) for j in range(8)) + "." for k in range(40)])
+    assert retakes._deciding(retakes._neighbours(alone, rules), rules).count() < 40 / 4
+
+
 def test_seams(spark):
     w = words.word_clock(spark.createDataFrame([(1, 0, "je parle de euh choses et mais enfin voila de montagne")], "rush_id long, seg_idx long, text string"))
     cut = w.where("idx in (3, 6, 7)")

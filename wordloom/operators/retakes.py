@@ -1,7 +1,8 @@
 """Several attempts at one sentence: which utterances a later (or an earlier, better) one replaces.
 
-All that can be said of a pair of utterances is a column of the pair table, made by an equi-join on
-(recording, place), so a long recording is spread over tasks. Only the choice of attempts, in which
+All that can be said of a pair of utterances is a column of the pair table, made within blocks of
+utterances, so a long recording is spread over tasks. Pairs are measured only where a short look at their words
+leaves it open whether one starts over. Only the choice of attempts, in which
 one group's claims bar the next, goes through a recording in order, on flags and confidences alone.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.functions.markers import with_marks
-from wordloom.operators.similarity import measures
+from wordloom.operators.similarity import begun, measures
 from wordloom.shipping import ship
 
 
@@ -33,6 +34,8 @@ class RetakeRules:
     whole_from: int = 7
 
 
+#: Utterances of a recording that look for their neighbours in one task.
+BLOCK = 256
 _SIDE = ("utt_id", "start_ms", "end_ms", "tokens", "content", "complete", "abandoned", "marker", "strong")
 
 
@@ -41,11 +44,41 @@ def utterance_pairs(utterances: DataFrame, rules: RetakeRules = RetakeRules()) -
 
     Utterances have (rush_id, utt_id, start_ms, end_ms, text), utt_id counting from 0.
     """
-    u = with_marks(utterances)
-    a = u.select("rush_id", F.struct(*_SIDE).alias("a"), F.explode(F.sequence(F.lit(1), F.lit(rules.steps))).alias("step"))
-    a = a.select("rush_id", (F.col("a.utt_id") + F.col("step")).cast("long").alias("at"), "a")
-    b = u.select("rush_id", F.col("utt_id").cast("long").alias("at"), F.struct(*_SIDE).alias("b"))
-    near = a.join(b, ["rush_id", "at"]).where(F.col("b.start_ms") - F.col("a.end_ms") <= rules.window)
+    return _measured(_neighbours(utterances, rules))
+
+
+def _neighbours(utterances: DataFrame, rules: RetakeRules) -> DataFrame:
+    """(rush_id, near, b): each utterance with the few before it within the window, the nearest last.
+
+    Recordings are dealt in blocks of utterances, each with the last few of the block before.
+    """
+    u = with_marks(utterances).withColumn("at", F.col("utt_id").cast("long")).where("rush_id is not null")
+    block = lambda c: F.floor(c / BLOCK)
+    u = u.select("rush_id", "at", F.struct(*_SIDE).alias("b"), F.explode(F.sequence(block(F.col("at")), block(F.col("at") + rules.steps))).alias("block"))
+    before = W.partitionBy("rush_id", "block").orderBy("at").rangeBetween(-rules.steps, -1)
+    u = u.withColumn("near", F.collect_list("b").over(before)).where(block(F.col("at")) == F.col("block"))
+    return u.select("rush_id", F.filter("near", lambda a: F.col("b.start_ms") - a["end_ms"] <= rules.window).alias("near"), "b").where(F.size("near") > 0)
+
+
+def _loose(a: Column, rules: RetakeRules) -> Column:
+    return a["abandoned"] | ((F.size(a["tokens"]) < rules.whole_from) & ~a["complete"])
+
+
+def _deciding(neighbours: DataFrame, rules: RetakeRules) -> DataFrame:
+    """Without the utterances that can neither be kept nor go: none near starts over, and no marker stands before after loose ones.
+
+    An attempt passes only if it starts over; a walk back from a kept utterance gets to a marker only over markers and
+    attempts, and an attempt that does not pass is loose.
+    """
+    text = lambda x: F.when(~x["marker"], F.array_join(x["tokens"], " "))
+    nearest = F.element_at("near", -1)
+    own = neighbours.where("not b.marker").withColumn("begun", begun(F.transform("near", text), text(F.col("b"))))
+    marked = F.exists("near", lambda a: a["marker"]) & (nearest["marker"] | _loose(nearest, rules))
+    return own.where(F.exists("begun", lambda x: x) | marked).drop("begun")
+
+
+def _measured(neighbours: DataFrame) -> DataFrame:
+    near = neighbours.select("rush_id", F.explode("near").alias("a"), "b")
     spoken = ~F.col("a.marker") & ~F.col("b.marker")
     return near.select("rush_id", "a", "b", measures(F.when(spoken, F.col("a.tokens")), F.when(spoken, F.col("b.tokens"))).alias("m"))
 
@@ -84,7 +117,7 @@ def judged_pairs(pairs: DataFrame, rules: RetakeRules = RetakeRules()) -> DataFr
     cut_short = a["complete"] & (F.size(m["gained"]) == 0) & (F.size(b["content"]) < F.size(a["content"])) & (m["opening"] >= 0.95)
     b_weaker = (b["abandoned"] & ~a["abandoned"]) | cut_short
     thin = (F.size(a["content"]) >= 5) & (F.size(b["content"]) <= 1)
-    loose = a["abandoned"] | ((F.size(a["tokens"]) < rules.whole_from) & ~a["complete"])
+    loose = _loose(a, rules)
     gates = {False: passes(up, False, rules), True: passes(up, True, rules)}
     return pairs.select(
         "rush_id", a["utt_id"].cast("long").alias("a"), b["utt_id"].cast("long").alias("b"), a["marker"].alias("a_marker"), a["strong"].alias("a_strong"), a["abandoned"].alias("a_abandoned"),
@@ -158,7 +191,7 @@ def retakes(utterances: DataFrame, rules: RetakeRules = RetakeRules()) -> DataFr
     An empty table gives no rows; null texts are utterances without words.
     """
     ship(utterances.sparkSession)
-    chosen = judged_pairs(utterance_pairs(utterances, rules), rules).groupBy("rush_id").applyInPandas(_choose, _CHOSEN)
+    chosen = judged_pairs(_measured(_deciding(_neighbours(utterances, rules), rules)), rules).groupBy("rush_id").applyInPandas(_choose, _CHOSEN)
     chosen = chosen.withColumn("confidence", F.round("confidence", 3))
     u = with_marks(utterances).withColumn("utt_id", F.col("utt_id").cast("long")).join(chosen.select("rush_id", "utt_id"), ["rush_id", "utt_id"], "left_anti")
     connector = ~F.col("marker") & F.col("abandoned") & (F.size("tokens") <= 2) & (F.size("content") == 0) & (F.col("dangling") | F.col("suspended"))

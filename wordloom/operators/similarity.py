@@ -72,6 +72,7 @@ def is_content(word: str) -> bool:
     return len(word) >= 2 and word not in _EMPTY
 
 
+@lru_cache(1 << 17)
 def weight(word: str) -> float:
     return 0.15 if not is_content(word) else 0.35 if word in _GENERIC else 1.0
 
@@ -156,6 +157,68 @@ def compare(a: list[str] | None, b: list[str] | None) -> tuple:
     )
 
 
+@lru_cache(1 << 17)
+def _seen(word: str) -> tuple[str, str, int, int] | None:
+    """A content word with its start, length and letters (a bit each, of 64), None for other words."""
+    letters = 0
+    for c in word:
+        letters |= 1 << (ord(c) & 63)
+    return (word, word[:4], len(word), letters) if is_content(word) else None
+
+
+@lru_cache(1 << 14)
+def _said(text: str) -> tuple:
+    """Of normal tokens with single spaces: the words as ``compare`` takes them, their three-word beginnings without one, content words as ``_seen``."""
+    words = oral(text.split(" ")) if text else []
+    return words, {tuple(x[:3]) for x in _without(words[:4]) if len(x) > 2}, [x for x in map(_seen, dict.fromkeys(words)) if x]
+
+
+def _met(own: list[tuple], others: list[tuple]) -> list[list[tuple[str, str]]]:
+    """For each word, where there are any, the others it may have a degree above zero with: a common start of four, or letters that leave a ratio of 0.86 open."""
+    out = []
+    for x, start, n, letters in own:
+        near = [(x, y) for y, other, m, z in others if start == other or (n > 4 and m > 4 and (letters ^ z).bit_count() <= 0.1400001 * (n + m))]
+        if near:
+            out.append(near)
+    return out
+
+
+def _share_of_ends(a: list[str], b: list[str]) -> float:
+    w = np.array([weight(x) for x in a])
+    return _share(in_order(np.array([[degree(x, y) for y in b] for x in a]) * w[:, None]), min(w.sum(), np.array([weight(y) for y in b]).sum()))
+
+
+def begins(a: str, b: str) -> bool:
+    """False where ``compare`` finds neither ``restart_prefix`` nor ``restart_structure``, read off as little as that takes.
+
+    Of most pairs of sentences only the beginnings are read, and the starts and letters of words.
+    """
+    (own, starts, content), (others, other_starts, other_content) = _said(a), _said(b)
+    if tuple(own[:3]) in other_starts or tuple(others[:3]) in starts:
+        return True
+    met = _met(content, other_content)
+    if len(met) < 2:
+        return False
+    able = {near[0][0] for near in met}
+    most = lambda end: sum(weight(x) for x in own[end] if x in able or not is_content(x)) + 1e-9
+    need = lambda end: 0.60 * min(sum(map(weight, own[end])), sum(map(weight, others[end])))
+    if all(most(end) < need(end) for end in (slice(OPENING), slice(-TAIL, None))):
+        return False
+    if sum(any(degree(x, y) for x, y in near) for near in met) < 2:
+        return False
+    return _share_of_ends(own[:OPENING], others[:OPENING]) >= 0.60 or _share_of_ends(own[-TAIL:], others[-TAIL:]) >= 0.60
+
+
+def _begun(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([[x is not None and y is not None and begins(x, y) for x in xs] for xs, y in zip(a, b, strict=True)])
+
+
+def begun(a: Column, b: Column) -> Column:
+    """For each of the texts a (an array; of normal tokens) whether b may start it over, see ``begins``; null texts start nothing."""
+    ship()
+    return F.pandas_udf(_begun, "array<boolean>")(a, b)
+
+
 def _measure(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     names = [m.split()[0] for m in MEASURES.split(", ")]
     return pd.DataFrame([compare(x, y) for x, y in zip(a, b, strict=True)], columns=names)
