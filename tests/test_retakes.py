@@ -81,6 +81,20 @@ def test_fragments(spark):
     assert [(r.utt_id, r.confidence, r.unique) for r in got] == [(1, 0.81, [])]
 
 
+def test_fragments_between_the_nearest_kept(spark):
+    r, said = random.Random(8), script(8, 80)
+    u, gone = utterances(spark, said), {i for i in range(80) if r.random() < 0.4}
+    got = retakes.fragments(u, spark.createDataFrame([(1, i) for i in gone], "rush_id long, utt_id long"))
+    assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()  # such a frame is read anew for each row
+    content = {x.utt_id: x.content for x in M.with_marks(u).select("utt_id", "content").collect()}
+    rows = got.collect()
+    for x in rows:
+        left = next((content[i] for i in range(x.utt_id - 1, -1, -1) if i not in gone), [])
+        right = next((content[i] for i in range(x.utt_id + 1, len(said)) if i not in gone), [])
+        assert x.unique == sorted(set(content[x.utt_id]) - {*left, *right})
+    assert len(rows) > 5
+
+
 def script(seed, n):
     """Sentences with restarts, markers, loose ends and small slips among others that have nothing in common."""
     r, out = random.Random(seed), []

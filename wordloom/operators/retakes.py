@@ -213,11 +213,12 @@ def fragments(utterances: DataFrame, removed: DataFrame, longest: int = 2600, mo
     u = with_marks(utterances).withColumn("utt_id", F.col("utt_id").cast("long")).join(gone, ["rush_id", "utt_id"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     order = W.partitionBy("rush_id").orderBy("utt_id")
     beside = lambda c, f: F.coalesce(f(c).over(order), F.lit(False))
+    back = W.partitionBy("rush_id").orderBy(F.desc("utt_id")).rowsBetween(W.unboundedPreceding, -1)  # a frame that only grows; one to the end would be read anew for each row
     kept = F.when(~F.col("gone"), F.col("content"))
     u = u.withColumns({
         "gone_before": beside("gone", F.lag), "gone_after": beside("gone", F.lead), "near_marker": beside("marker", F.lag) | beside("marker", F.lead),
         "left": F.last(kept, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)),
-        "right": F.first(kept, ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)),
+        "right": F.last(kept, ignorenulls=True).over(back),
     })
     one, both = F.col("gone_before") | F.col("gone_after"), F.col("gone_before") & F.col("gone_after")
     u = u.where(~F.col("gone") & (F.col("end_ms") - F.col("start_ms") <= longest) & F.size("tokens").between(1, most) & (one | F.col("near_marker")))
