@@ -1,14 +1,16 @@
 """Ranked search, URL filters and the audit of filters, each against brute force, and on odd tables."""
 
+import pickle
 import random
 import re
 from itertools import permutations
 from math import floor, log
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.llm import interactions, search, urls
+from wordloom.llm import interactions, lm_scoring, search, urls
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LONG = "needle " + "hay " * 300_000 + "needle"
@@ -202,3 +204,17 @@ def test_audit_of_an_empty_table_and_hot_copies(spark, monkeypatch):
     for hot in (2, 1 << 20):
         monkeypatch.setattr(interactions, "HOT", hot)
         assert {r.doc_id for r in interactions.copies(own, 90).where("copy").collect()} == {i for i in range(90) if i % 3} - {1}
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 50_000])
+def test_frequent_hashes_are_found_by_their_leading_bits(n):
+    r = np.random.default_rng(n)
+    keys = np.unique(np.concatenate((r.integers(0, 2**64 - 1, n, dtype=np.uint64), np.arange(min(n, 40), dtype=np.uint64))))  # some share a bucket
+    hot = lm_scoring.Hot(keys, r.integers(1, 99, len(keys)))
+    assert len(pickle.dumps(hot)) < 40 * len(keys) + 2000  # the index of buckets is not sent
+    known = dict(zip(keys.tolist(), hot.counts.tolist()))
+    asked = np.concatenate((keys[:300], r.integers(0, 2**64 - 1, 300, dtype=np.uint64), np.array([0, 45, 2**63, 2**64 - 1], np.uint64)))
+    counts, codes = hot.find(asked)
+    assert counts.tolist() == hot.counted(asked).tolist() == [known.get(h, 0) for h in asked.tolist()]
+    rank = dict(zip(keys.tolist(), hot.ranks.tolist()))
+    assert codes.tolist() == [rank.get(h, (h | 1 << 63) - (1 << 64)) for h in asked.tolist()]

@@ -98,12 +98,31 @@ class Hot:
         self.keys, self.counts = np.append(keys[order], np.uint64(2**64 - 1)), np.append(counts[order], 0)
         self.ranks = np.empty(len(order) + 1, np.int64)
         self.ranks[np.lexsort((self.keys, -self.counts))] = np.arange(len(order) + 1)
+        self.starts = None  # of each bucket of leading bits; made where it is used, so it is not sent
+
+    def _at(self, h: np.ndarray) -> np.ndarray:
+        """The first place whose key is not below h: buckets are short, since hashes are spread evenly."""
+        if self.starts is None:
+            bits = min(20, len(self.keys).bit_length() + 1)
+            self.shift = np.uint64(64 - bits)
+            self.starts = np.searchsorted(self.keys[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        at = self.starts[h >> self.shift]
+        below = np.flatnonzero(self.keys[at] < h)
+        while len(below):
+            at[below] += 1
+            below = below[self.keys[at[below]] < h[below]]
+        return at
+
+    def counted(self, h: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Counts of h, 0 for those that are not frequent."""
+        at = self._at(h) if at is None else at
+        return np.where(self.keys[at] == h, self.counts[at], 0)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(counts, codes) of h: 0 and the hash with its sign bit set for those that are not frequent, else the rank as code."""
-        at = np.searchsorted(self.keys[:-1], h)
-        hit = (self.keys[at] == h) & (self.counts[at] > 0)
-        return np.where(hit, self.counts[at], 0), np.where(hit, self.ranks[at], h.view(np.int64) | _SIGN)
+        at = self._at(h)
+        n = self.counted(h, at)
+        return n, np.where(n > 0, self.ranks[at], h.view(np.int64) | _SIGN)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -150,14 +169,16 @@ def _hot_grams(docs: DataFrame, shorter: list[Hot], total: int) -> Hot:
 
             def flush():
                 keys, n = np.unique(np.concatenate(held), return_counts=True)
-                ok = (n >= 4) | (n * HOT >= size) if among is None else among.find(keys)[0] > 0
+                ok = (n >= 4) | (n * HOT >= size) if among is None else among.counted(keys) > 0
                 return pa.RecordBatch.from_arrays([pa.array(keys[ok].view(np.int64)), pa.array(n[ok].astype(np.int64))], names=["gram", "n"])
 
             for batch in batches:
                 for _, place, h, new, _ in _buffers(batch.column(0).to_pylist(), length):
                     grams = _grams(h, length)
-                    at = np.flatnonzero(new & (place >= length - 1) & (shorter[0].find(h)[0] > 0))
-                    held.append(grams[-1][at[shorter[-1].find(grams[-2][at - 1])[0] > 0]])
+                    known = shorter[0].counted(h) > 0
+                    at = np.flatnonzero(new & (place >= length - 1) & known)
+                    before = known[at - 1] if length == 2 else shorter[-1].counted(grams[-2][at - 1]) > 0
+                    held.append(grams[-1][at[before]])
                     size += int(new.sum())
                     if size >= TOGETHER:
                         yield flush()
