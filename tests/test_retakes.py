@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import markers as M
 from wordloom.functions import text as T
 from wordloom.operators import intervals, retakes, seams, similarity, timeline, words
+from wordloom.plans import catalogue
 
 UTTERANCE = "rush_id long, utt_id long, start_ms long, end_ms long, text string"
 
@@ -109,6 +110,40 @@ def script(seed, n):
     return out
 
 
+def test_scores_of_many_pairs_as_of_one():
+    names, r = [m.split()[0] for m in similarity.MEASURES.split(", ")], np.random.RandomState(5)
+    said = [" ".join(t.lower().replace(".", "").replace(",", "").split()) for t in script(5, 500)]
+    said += ["", "euh", "du coup", "a", "pas mal de gens", "x\u00a0y z", "\U0001f600 \U0001f600\U0001f600 saison", " ".join(said[:40]), " ".join(said[40:75])]
+    a, b = (np.concatenate([own, r.randint(-1, len(said), 2500)]) for own in (np.arange(len(said) - 1), np.arange(1, len(said))))
+    got = similarity.scores(said, a, b)
+    words_ = lambda k: None if k < 0 else said[k].split(" ") if said[k] else []
+    want = [similarity.compare(words_(x), words_(y)) for x, y in zip(a, b)]
+    for name in similarity.SCORES:
+        assert got[name].tolist() == [w[names.index(name)] for w in want], name
+    assert len(set(got["score"])) > 50 and all(not x.size for x in similarity.scores([], a[:0], b[:0]).values())
+
+
+def test_scores_look_at_few_cells_one_by_one(monkeypatch):
+    calls = []
+    for f in ("degree", "_begun_alike"):
+        monkeypatch.setattr(similarity, f, lambda x, y, f=getattr(similarity, f): (calls.append((x, y)), f(x, y))[1])
+    r = random.Random(6)
+    said = [" ".join("".join(r.choices("bcdfgklmnprstvz", k=7)) for _ in range(8)) for _ in range(1000)]
+    similarity.scores(said, np.arange(999), np.arange(1, 1000))
+    assert len(calls) < 999  # of 64 cells a pair
+
+
+def test_pair_similarity_makes_scores_of_many_pairs(spark):
+    sf = "/root/testdata/sf0.001"
+    p, own = retakes.utterance_pairs(words.utterances(catalogue.clock(spark, sf))), catalogue.pair_similarity(spark, sf)
+    want = p.select("rush_id", F.col("a.utt_id").cast("long").alias("a"), F.col("b.utt_id").cast("long").alias("b"), *(F.round(F.col("m")[c], 6).alias(c) for c in similarity.SCORES))
+    assert own.dtypes == want.dtypes and sorted(own.collect()) == sorted(want.collect()) and own.count() > 500
+    assert "MapInArrow" in (plan := own._jdf.queryExecution().executedPlan().toString()) and "ArrowEvalPython" not in plan
+    u = utterances(spark, ["Les joueurs gagnent.", "Je recommence.", None, "", "Les joueurs japonais gagnent."])
+    got = {(x.a, x.b): (x.score, x.align) for x in retakes.pair_scores(u).collect()}
+    assert {k: (x, y) for (k, x, y) in retakes.utterance_pairs(u).select(F.struct("a.utt_id", "b.utt_id"), "m.score", "m.align").collect()} == got and len(got) == 10 and got[0, 4] == (1.0, 1.0)
+
+
 def test_begins_is_false_only_where_nothing_starts_over():
     r, n = random.Random(4), [0, 0]
     said = [" ".join(t.lower().replace(".", "").replace(",", "").split()) for t in script(4, 600)]

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.functions.markers import with_marks
-from wordloom.operators.similarity import begun, measures
+from wordloom.operators.similarity import begun, measures, scored
 from wordloom.shipping import ship
 
 
@@ -47,14 +47,21 @@ def utterance_pairs(utterances: DataFrame, rules: RetakeRules = RetakeRules()) -
     return _measured(_neighbours(utterances, rules))
 
 
-def _neighbours(utterances: DataFrame, rules: RetakeRules) -> DataFrame:
+def pair_scores(utterances: DataFrame, rules: RetakeRules = RetakeRules()) -> DataFrame:
+    """(rush_id, a, b, SCORES): the pairs of ``utterance_pairs`` by their numbers, with the measures that are plain numbers, made for many pairs at a time."""
+    near = _neighbours(utterances, rules, ("utt_id", "start_ms", "end_ms", "said"))
+    number = lambda x: x["utt_id"].cast("long")
+    return scored(near.select("rush_id", F.transform("near", number).alias("near"), F.col("near.said").alias("near_said"), number(F.col("b")).alias("b"), "b.said"))
+
+
+def _neighbours(utterances: DataFrame, rules: RetakeRules, side: tuple[str, ...] = _SIDE) -> DataFrame:
     """(rush_id, near, b): each utterance with the few before it within the window, the nearest last.
 
     Recordings are dealt in blocks of utterances, each with the last few of the block before.
     """
-    u = with_marks(utterances).withColumn("at", F.col("utt_id").cast("long")).where("rush_id is not null")
+    u = with_marks(utterances).withColumn("said", F.when(~F.col("marker"), F.array_join("tokens", " "))).withColumn("at", F.col("utt_id").cast("long")).where("rush_id is not null")
     block = lambda c: F.floor(c / BLOCK)
-    u = u.select("rush_id", "at", F.struct(*_SIDE).alias("b"), F.explode(F.sequence(block(F.col("at")), block(F.col("at") + rules.steps))).alias("block"))
+    u = u.select("rush_id", "at", F.struct(*side).alias("b"), F.explode(F.sequence(block(F.col("at")), block(F.col("at") + rules.steps))).alias("block"))
     before = W.partitionBy("rush_id", "block").orderBy("at").rangeBetween(-rules.steps, -1)
     u = u.withColumn("near", F.collect_list("b").over(before)).where(block(F.col("at")) == F.col("block"))
     return u.select("rush_id", F.filter("near", lambda a: F.col("b.start_ms") - a["end_ms"] <= rules.window).alias("near"), "b").where(F.size("near") > 0)
